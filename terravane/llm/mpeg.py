@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import text_of
+from .frames import small_batches, text_of
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3.
 _KBPS = {
@@ -217,6 +217,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encode_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each whole text in UTF-8 (null: empty), padded with zeros to a positive multiple of 64, as MPEG audio."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text")).mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
 
 

@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .frames import materialize, partitions, text_of
+from .bytesops import slices, text_buffers
+from .frames import materialize, partitions, small_batches, text_of
+from .wordbpe import WordCache
 
 CAPACITY = 2048
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -32,53 +34,22 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordCache:
-    """Ids of a text as little-endian 32-bit bytes, through a bounded cache of white-space delimited chunks.
-
-    The tokenizer drops white space and splits at it before any merge, so the ids of a
-    text are the ids of its chunks in order.
-    """
-
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tok, self.most, self.known = Tokenizer.from_file(path), most, {}
-        self.tok.encode_special_tokens = True
-
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) > self.most:
-            self.known.clear()
-        for c, e in zip(chunks, self.tok.encode_batch(chunks, add_special_tokens=False)):
-            self.known[c] = np.asarray(e.ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").replace("\t", " ").split(" ")
-        known = self.known
-        new = [c for c in set(chunks) if c not in known]
-        if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(set(chunks))
-            for i in range(0, len(new), 20_000):
-                self._learn(new[i : i + 20_000])
-            if len(new) > self.most:  # one text of very many different chunks
-                return b"".join([known[c] if c in known else np.asarray(self.tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in chunks])
-        return b"".join([known[c] for c in chunks])
-
-
 def _cut(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(path)
+        cache = WordCache.of(path)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
+            raw, off = text_buffers(batch.column(1))
+            doc_ids = batch.column(0).to_pylist()
             rows: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = cache.ids(text.as_py() or "") + end
-                n = len(ids) // 4
-                for k, s in enumerate(range(0, n, capacity)):
-                    piece = ids[4 * s : 4 * (s + capacity)]
-                    for column, v in zip(rows, (doc, k, s, len(piece) // 4, zlib.crc32(piece))):
-                        column.append(v)
+            for i, j in slices(off):
+                for doc, ids in zip(doc_ids[i:j], cache.many(batch.column(1).slice(i, j - i).to_pylist())):
+                    ids += end
+                    n = len(ids) // 4
+                    for k, s in enumerate(range(0, n, capacity)):
+                        piece = ids[4 * s : 4 * (s + capacity)]
+                        for column, v in zip(rows, (doc, k, s, len(piece) // 4, zlib.crc32(piece))):
+                            column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _PIECES.types)], schema=_PIECES)
 
     return run
@@ -86,6 +57,7 @@ def _cut(path: str, capacity: int, end_id: int):
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut only beyond capacity. A null text is empty: one end id."""
+    small_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return src.mapInArrow(_cut(path or tokenizer_path(), capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import materialize, text_of
+from .frames import materialize, small_batches, text_of
 
 LEAST_REVISIT = 100
 _STEP = 64 << 10
@@ -78,6 +78,7 @@ def write_archives(pages: DataFrame, level: int = 1, segment_bytes: int = 4 << 2
     Of pages with equal payloads of at least 100 bytes, those of the smallest page_id are responses and the
     others revisit it; if none of them has a page_id, all are responses. Other columns are ignored.
     """
+    small_batches(pages.sparkSession)
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").cast("binary").alias("html"))
     src = src.withColumn("digest", F.sha2("html", 256))
     same = src.filter(F.length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).filter("n > 1")
