@@ -5,8 +5,11 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_nb_svm_quality": "quality",
+    "op3_bag_min_hash": "neardup",
     "op4_mpeg_audio": "mpeg",
     "op5_best_fit_packing": "packing",
+    "op7_suffix_dedup": "suffixes",
     "op8_warc": "warc",
 }
 
