@@ -6,6 +6,7 @@ from importlib import import_module
 
 _MODULES = {
     "op1_nb_svm_quality": "quality",
+    "op2_site_style_tree": "htmltext",
     "op3_bag_min_hash": "neardup",
     "op4_mpeg_audio": "mpeg",
     "op5_best_fit_packing": "packing",
