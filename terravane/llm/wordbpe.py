@@ -11,7 +11,8 @@ import re
 
 import numpy as np
 
-_SPLIT = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]){0,60})([!-/:-@\[-`{-~]{0,8})").fullmatch  # letters that fold byte by byte, then other ASCII signs
+_FOLDS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch  # letters that fold byte by byte
+_SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _CAPITAL = re.compile(rb"\xc3[\x80-\x96\x98-\x9e]").sub
 _NONE = np.int64(1 << 40)
 
@@ -93,7 +94,7 @@ _caches: dict[str, WordCache] = {}
 class WordCache:
     """Ids of texts as little-endian 32-bit bytes; the ids of a text are those of its chunks in order."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tok, self.most, self.known = Tokenizer.from_file(path), most, {}
@@ -114,26 +115,29 @@ class WordCache:
         return np.asarray(self.tok.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, chunks: list[bytes], known: dict[bytes, bytes]) -> None:
-        made, tails = [], self.tails
+        tails, stems = self.tails, []
         for c in chunks:
-            m = _SPLIT(c)
-            if m is None:
-                known[c] = self._encode(c)
-                continue
-            stem, tail = m.groups()
-            if tail and tail not in tails:
-                if len(tails) > 20_000:
-                    tails.clear()
-                    tails[b""] = b""
-                tails[tail] = self._encode(tail)
-            if b"\xc3" in stem:
+            stem = c.rstrip(_SIGNS)
+            if not stem.isalpha():  # of bytes: ASCII letters only
+                if len(stem) > 60 or len(c) - len(stem) > 8 or stem and not _FOLDS(stem):
+                    known[c] = self._encode(c)
+                    stems.append(None)
+                    continue
                 stem = _CAPITAL(lambda x: bytes([0xC3, x[0][1] + 0x20]), stem)
-            made.append((c, stem, tails[tail] if tail else b""))
-        words = list({stem for _, stem, _ in made} - known.keys())
+            stems.append(stem)
+        words = list({*stems} - known.keys() - {None})
         for i in range(0, len(words), 50_000):
             some = words[i : i + 50_000]
             known.update(zip(some, self.merges(some)))
-        known.update([(c, known[stem] + tail) for c, stem, tail in made])
+        for c, stem in zip(chunks, stems):
+            if stem is not None and c not in known:
+                tail = c[len(stem) :]  # folding keeps the length
+                if tail not in tails:
+                    if len(tails) > 20_000:
+                        tails.clear()
+                        tails[b""] = b""
+                    tails[tail] = self._encode(tail)
+                known[c] = known[stem] + tails[tail]
 
     def many(self, texts: list[str]) -> list[bytes]:
         """The ids of each of a few MB of texts."""
@@ -141,9 +145,11 @@ class WordCache:
         known = self.known
         new = set().union(*split) - known.keys()
         if len(known) + 2 * len(new) > self.most:
-            known.clear()
+            self.known = known = {c: v for c, v in known.items() if len(c) <= 8}  # short chunks are the frequent ones
+            if len(known) + 2 * len(new) > self.most:
+                known.clear()
             known[b""] = b""
-            new = set().union(*split)
+            new = set().union(*split) - known.keys()
         if new:
             self._learn(list(new), known)
         return [b"".join([known[c] for c in s]) for s in split]
