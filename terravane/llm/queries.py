@@ -13,6 +13,8 @@ _MODULES = {
     "op6_impact_top_k": "topk",
     "op7_suffix_dedup": "suffixes",
     "op8_warc": "warc",
+    "op9_sentencepiece_scan": "pieces",
+    "op10_weak_supervision_pii": "pii",
 }
 
 
