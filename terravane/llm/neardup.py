@@ -8,9 +8,10 @@ signature, and two signatures agree in a slot with probability equal to the weig
 Jaccard similarity. Points are drawn in rising order until they pass the largest slot.
 
 Bands of the signature give candidates; links are verified on the whole bags. A group
-of near copies is resolved by stars: a member of a bucket is compared with one hub, and
-only members of other components go on. What is left after the stars is compared block
-by block inside the bucket, where the whole signature rules most pairs out.
+of near copies is resolved in rounds: each member is compared with the hub that it shares
+most buckets with, then with its best partners by whole signature, and only members of
+other components go on. What is left is compared in full, block by block inside a bucket,
+where the signature rules most pairs out.
 """
 
 from __future__ import annotations
@@ -179,48 +180,58 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(labels.join(solved.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("nid", F.coalesce("root", "label").alias("label")), "node_labels")
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the members of one pair of blocks of a bucket: the pairs of other labels that the signatures don't rule out, in the first bucket that holds both."""
-    table = pa.Table.from_batches(list(batches))  # at most two blocks
-    nid, label = table["nid"].to_pylist(), table["label"].to_pylist()
-    names = {x: k for k, x in enumerate(set(label))}
-    lab = np.array([names[x] for x in label])
-    block = table["block"].to_numpy()
-    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, SLOTS)
-    band = table["band"][0].as_py()
-    one = table["i"][0].as_py() == table["j"][0].as_py()
-    left = np.arange(len(nid)) if one else np.flatnonzero(block == table["i"][0].as_py())
-    right = left if one else np.flatnonzero(block == table["j"][0].as_py())
-    out_a, out_b = [], []
-    least = int(np.ceil(_RULED_OUT * SLOTS))
-    for k, p in enumerate(left):
-        others = right[k + 1 :] if one else right
-        others = others[lab[others] != lab[p]]
-        if not len(others):
-            continue
-        same = sig[others] == sig[p]
-        near = same.sum(1) >= least
-        others, same = others[near], same[near]
-        earlier = same[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(2)[:, :band].any(1)
-        for q in others[~earlier]:
-            x, y = sorted((nid[p], nid[q]))
-            out_a.append(x)
-            out_b.append(y)
-    yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
-
-
-def _stars(members: DataFrame, labels: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """One pair (a, b) for each node that shares a bucket with another component's hub: the hub it meets in most buckets and wasn't compared with."""
+def _block_pairs(limit: int):
+    """Of the members of one pair of blocks of a bucket: (a, b, agree), pairs of other labels that the signatures don't rule out, in the first bucket that holds both.
+
+    With a limit, the best so many of each member only: enough to join what belongs together before all others are compared.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        nid, label = table["nid"].to_pylist(), table["label"].to_pylist()
+        names = {x: k for k, x in enumerate(set(label))}
+        lab = np.array([names[x] for x in label])
+        block = table["block"].to_numpy()
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, SLOTS)
+        band, i, j = table["band"][0].as_py(), table["i"][0].as_py(), table["j"][0].as_py()
+        left = np.flatnonzero(block == i)
+        right = np.flatnonzero(block == j)
+        out: list[list] = [[], [], []]
+        least = int(np.ceil(_RULED_OUT * SLOTS))
+        for p in left:
+            others = right[lab[right] != lab[p]]
+            if i == j and not limit:
+                others = others[others > p]
+            if not len(others):
+                continue
+            same = sig[others] == sig[p]
+            agree = same.sum(1)
+            near = agree >= least
+            others, same, agree = others[near], same[near], agree[near]
+            first = ~same[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(2)[:, :band].any(1)
+            others, agree = others[first], agree[first]
+            if limit and len(others) > limit:
+                best = np.argsort(-agree, kind="stable")[:limit]
+                others, agree = others[best], agree[best]
+            for q, n in zip(others, agree):
+                x, y = sorted((nid[p], nid[q]))
+                for column, v in zip(out, (x, y, int(n))):
+                    column.append(v)
+        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.binary(), pa.int32()))], names=["a", "b", "agree"])
+
+    return run
+
+
+def _stars(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """One pair (a, b) for each node that shares a bucket with another component's hub: the hub it meets in most buckets."""
     rows = members.join(labels, "nid")
     hubs = rows.groupBy("bucket").agg(F.min(F.struct("label", "nid")).alias("hub"), F.max("label").alias("last")).filter("hub.label <> last")
     met = rows.join(hubs, "bucket").filter("label <> hub.label").groupBy(F.col("nid").alias("a"), F.col("hub.nid").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    if tested is not None:
-        met = met.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    return met.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")).select("a", "b")
+    met = met.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _rest(members: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of different components in one bucket that their signatures don't rule out."""
+def _rest(members: DataFrame, labels: DataFrame, sigs: DataFrame, tested: DataFrame, limit: int) -> DataFrame:
+    """The pairs (a, b) of different components in one bucket that their signatures don't rule out and that weren't compared yet; with a limit, the best of each node and bucket, then of each node."""
     rows = members.join(labels, "nid")
     mixed = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket", "size")
     rows = rows.join(mixed, "bucket").join(sigs, "nid")
@@ -228,12 +239,13 @@ def _rest(members: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
     rows = rows.withColumn("block", F.pmod(F.xxhash64("nid"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("bucket", "band", "nid", "label", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
-    return rows.groupBy("bucket", "i", "j").applyInArrow(_one_table, "a binary, b binary").distinct()
-
-
-def _one_table(table: pa.Table) -> pa.Table:
-    return pa.Table.from_batches(_block_pairs(iter(table.to_batches())))
+    pairs = rows.groupBy("bucket", "i", "j").applyInArrow(_block_pairs(limit), "a binary, b binary, agree int")
+    if limit:
+        both = pairs.groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("agree", "b")), False), 1, limit).alias("best"))  # at most limit a band
+        pairs = both.select("a", F.explode("best").alias("x")).select("a", "x.b")
+    else:
+        pairs = pairs.select("a", "b").distinct()
+    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def maybe_broadcast(df: DataFrame, most: int = 500_000) -> DataFrame:
@@ -241,7 +253,7 @@ def maybe_broadcast(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def clusters(docs: DataFrame, star_rounds: int = 3) -> DataFrame:
+def clusters(docs: DataFrame, limits: tuple[int, ...] = (2,)) -> DataFrame:
     """doc_id, nid, class_id, cluster_id of each row.
 
     class_id is the least doc_id of the rows of equal text; cluster_id the least doc_id of all texts that links
@@ -260,15 +272,14 @@ def clusters(docs: DataFrame, star_rounds: int = 3) -> DataFrame:
     source = docs.select(text_key(text_of()).alias("nid"), F.lower(text_of()).alias("text"))
     texts = materialize(source.join(maybe_broadcast(nodes), "nid", "left_semi").groupBy("nid").agg(F.first("text").alias("text")), "texts")
     labels, tested = nodes.select("nid", F.col("nid").alias("label")), None
-    for _ in range(star_rounds):
-        seen = materialize(_verified(_stars(members, labels, tested), texts), "links")
+    for limit in (None, *limits, 0):
+        pairs = materialize(_stars(members, labels) if limit is None else _rest(members, labels, sigs, tested, limit), "pairs")
+        if limit is not None and not pairs.limit(1).count():
+            continue
+        seen = materialize(_verified(pairs, texts), "links")
         tested = seen if tested is None else tested.unionByName(seen)
-        if not seen.filter("linked").limit(1).count():
-            break
-        labels = _merged(labels, seen.filter("linked"))
-    last = materialize(_verified(materialize(_rest(members, labels, sigs), "pairs"), texts), "links")
-    if last.filter("linked").limit(1).count():
-        labels = _merged(labels, last.filter("linked"))
+        if seen.filter("linked").limit(1).count():
+            labels = _merged(labels, seen.filter("linked"))
     discard(texts, members, sigs)
     named = labels.join(classes.select("nid", "class_id"), "nid")
     least = named.groupBy("label").agg(F.min("class_id").alias("cluster_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
