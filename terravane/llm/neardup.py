@@ -8,10 +8,10 @@ signature, and two signatures agree in a slot with probability equal to the weig
 Jaccard similarity. Points are drawn in rising order until they pass the largest slot.
 
 Bands of the signature give candidates; links are verified on the whole bags. A group
-of near copies is resolved in rounds: each member is compared with the hub that it shares
-most buckets with, then with its best partners by whole signature, and only members of
-other components go on. What is left is compared in full, block by block inside a bucket,
-where the signature rules most pairs out.
+of near copies is resolved in two rounds: each member is compared with the hub that it
+shares most buckets with, and only buckets of several components go on. There, whole
+signatures rule most pairs out; what they join is a group, and its texts are compared
+block by block, pairs of one component excepted. No step emits the pairs of a group.
 """
 
 from __future__ import annotations
@@ -180,45 +180,66 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(labels.join(solved.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left").select("nid", F.coalesce("root", "label").alias("label")), "node_labels")
 
 
-def _block_pairs(limit: int):
-    """Of the members of one pair of blocks of a bucket: (a, b, agree), pairs of other labels that the signatures don't rule out, in the first bucket that holds both.
-
-    With a limit, the best so many of each member only: enough to join what belongs together before all others are compared.
-    """
-
-    def run(table: pa.Table) -> pa.Table:
-        nid, label = table["nid"].to_pylist(), table["label"].to_pylist()
-        names = {x: k for k, x in enumerate(set(label))}
-        lab = np.array([names[x] for x in label])
-        block = table["block"].to_numpy()
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, SLOTS)
-        band, i, j = table["band"][0].as_py(), table["i"][0].as_py(), table["j"][0].as_py()
-        left = np.flatnonzero(block == i)
-        right = np.flatnonzero(block == j)
-        out: list[list] = [[], [], []]
-        least = int(np.ceil(_RULED_OUT * SLOTS))
-        for p in left:
-            others = right[lab[right] != lab[p]]
-            if i == j and not limit:
-                others = others[others > p]
-            if not len(others):
-                continue
-            same = sig[others] == sig[p]
-            agree = same.sum(1)
-            near = agree >= least
-            others, same, agree = others[near], same[near], agree[near]
-            first = ~same[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(2)[:, :band].any(1)
-            others, agree = others[first], agree[first]
-            if limit and len(others) > limit:
-                best = np.argsort(-agree, kind="stable")[:limit]
-                others, agree = others[best], agree[best]
-            for q, n in zip(others, agree):
-                x, y = sorted((nid[p], nid[q]))
-                for column, v in zip(out, (x, y, int(n))):
-                    column.append(v)
-        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.binary(), pa.int32()))], names=["a", "b", "agree"])
-
-    return run
+class _Sets:
+    """Union-find over the rows of a block, joined by label from the start."""
+
+    def __init__(self, label: list):
+        first: dict = {}
+        self.up = [first.setdefault(x, k) for k, x in enumerate(label)]
+
+    def root(self, k: int) -> int:
+        while self.up[k] != k:
+            self.up[k] = k = self.up[self.up[k]]
+        return k
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _near_rows(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one pair of blocks (i, j): each row of the first, and the rows of the second of other labels that its signature doesn't rule out."""
+    names: dict = {}
+    lab = np.array([names.setdefault(x, len(names)) for x in table["label"].to_pylist()])
+    block, i, j = table["block"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, SLOTS)
+    right, least = np.flatnonzero(block == j), int(np.ceil(_RULED_OUT * SLOTS))
+    for p in np.flatnonzero(block == i):
+        others = right[(lab[right] != lab[p]) & ((right > p) | (i != j))]
+        if len(others):
+            yield int(p), others[(sig[others] == sig[p]).sum(1) >= least]
+
+
+def _alike(table: pa.Table) -> pa.Table:
+    """Links (a, b) that join, within one pair of blocks of a bucket, all that signatures hold to be alike: fewer links than rows."""
+    nid, sets, a, b = table["nid"].to_pylist(), _Sets(table["nid"].to_pylist()), [], []
+    for p, near in _near_rows(table):
+        for q in near.tolist():
+            if sets.join(p, q):
+                a.append(nid[p])
+                b.append(nid[q])
+    return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+
+def _linked(table: pa.Table) -> pa.Table:
+    """Links (a, b) on whole bags that join, within one pair of blocks of a group, all that is linked: fewer links than rows. What signatures don't rule out is compared unless joined already."""
+    nid, text, sets, a, b = table["nid"].to_pylist(), table["text"], _Sets(table["label"].to_pylist()), [], []
+    held: dict[int, tuple] = {}
+
+    def bag(k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k not in held:
+            raw = np.frombuffer(text[k].as_py().encode(), np.uint8)
+            held[k] = bags(raw, np.array([0, len(raw)]))[:2]
+        return held[k]
+
+    for p, near in _near_rows(table):
+        for q in near.tolist():
+            if sets.root(p) != sets.root(q) and weighted_jaccard(bag(p), bag(q)) >= THRESHOLD:
+                sets.join(p, q)
+                a.append(nid[p])
+                b.append(nid[q])
+    return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
 def _stars(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -230,22 +251,30 @@ def _stars(members: DataFrame, labels: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _rest(members: DataFrame, labels: DataFrame, sigs: DataFrame, tested: DataFrame, limit: int) -> DataFrame:
-    """The pairs (a, b) of different components in one bucket that their signatures don't rule out and that weren't compared yet; with a limit, the best of each node and bucket, then of each node."""
-    rows = members.join(labels, "nid")
+def _in_blocks(rows: DataFrame, blocks, *columns: str) -> DataFrame:
+    """Each row once for every pair of blocks (i, j) of its group that its own block is in."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("nid"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    return rows.select(*columns, "nid", "label", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
+def _groups(members: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(node, label): the groups within which nodes of different components may still be linked."""
+    rows = members.select("bucket", "nid").join(labels, "nid")
     mixed = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket", "size")
     rows = rows.join(mixed, "bucket").join(sigs, "nid")
-    blocks = F.ceil(F.col("size") / F.lit(_BLOCK)).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("nid"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("bucket", "band", "nid", "label", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    pairs = rows.groupBy("bucket", "i", "j").applyInArrow(_block_pairs(limit), "a binary, b binary, agree int")
-    if limit:
-        both = pairs.groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("agree", "b")), False), 1, limit).alias("best"))  # at most limit a band
-        pairs = both.select("a", F.explode("best").alias("x")).select("a", "x.b")
-    else:
-        pairs = pairs.select("a", "b").distinct()
-    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    cut = _in_blocks(rows, F.ceil(F.col("size") / F.lit(_BLOCK)), "bucket")
+    return components(cut.groupBy("bucket", "i", "j").applyInArrow(_alike, "a binary, b binary"))
+
+
+def _rest(groups: DataFrame, labels: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between the components of a group, block by block; a block has about a thousand texts or 4 MB."""
+    named = groups.select(F.col("node").alias("nid"), F.col("label").alias("group"))
+    rows = named.join(labels, "nid").join(sigs, "nid").join(texts, "nid")
+    size = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    rows = rows.join(size, "group")
+    cut = _in_blocks(rows, F.greatest(F.ceil(F.col("n") / 1024), F.ceil(F.col("chars") / (4 << 20))), "group", "text")
+    return cut.groupBy("group", "i", "j").applyInArrow(_linked, "a binary, b binary")
 
 
 def maybe_broadcast(df: DataFrame, most: int = 500_000) -> DataFrame:
@@ -253,7 +282,7 @@ def maybe_broadcast(df: DataFrame, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def clusters(docs: DataFrame, limits: tuple[int, ...] = (2,)) -> DataFrame:
+def clusters(docs: DataFrame) -> DataFrame:
     """doc_id, nid, class_id, cluster_id of each row.
 
     class_id is the least doc_id of the rows of equal text; cluster_id the least doc_id of all texts that links
@@ -271,15 +300,12 @@ def clusters(docs: DataFrame, limits: tuple[int, ...] = (2,)) -> DataFrame:
     sigs = materialize(classes.join(nodes, "nid", "left_semi").select("nid", "sig"), "node_signatures")
     source = docs.select(text_key(text_of()).alias("nid"), F.lower(text_of()).alias("text"))
     texts = materialize(source.join(maybe_broadcast(nodes), "nid", "left_semi").groupBy("nid").agg(F.first("text").alias("text")), "texts")
-    labels, tested = nodes.select("nid", F.col("nid").alias("label")), None
-    for limit in (None, *limits, 0):
-        pairs = materialize(_stars(members, labels) if limit is None else _rest(members, labels, sigs, tested, limit), "pairs")
-        if limit is not None and not pairs.limit(1).count():
-            continue
-        seen = materialize(_verified(pairs, texts), "links")
-        tested = seen if tested is None else tested.unionByName(seen)
-        if seen.filter("linked").limit(1).count():
-            labels = _merged(labels, seen.filter("linked"))
+    labels = nodes.select("nid", F.col("nid").alias("label"))
+    seen = materialize(_verified(_stars(members, labels), texts), "links").filter("linked")
+    labels = _merged(labels, seen)
+    more = materialize(_rest(_groups(members, labels, sigs), labels, sigs, texts), "links")
+    if more.limit(1).count():
+        labels = _merged(labels, more)
     discard(texts, members, sigs)
     named = labels.join(classes.select("nid", "class_id"), "nid")
     least = named.groupBy("label").agg(F.min("class_id").alias("cluster_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
