@@ -3,16 +3,65 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terravane.llm.frames import materialize
+from terravane.llm.frames import materialize, text_key, text_of
+from terravane.llm.neardup import clusters, maybe_broadcast
 from terravane.llm.packing import pack
+from terravane.llm.pii import redact
+from terravane.llm.quality import fit, keep_good
+from terravane.llm.suffixes import remove_repeats
+
+_KEY, _ID = "terravane_text_key", "terravane_doc_id"
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts as 1; it learns from the labels of what comes in."""
+    return keep_good(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the least doc_id (rows without one come last), a single row of it."""
+    found = materialize(clusters(docs), "clusters")
+    group = F.coalesce(F.col("cluster_id").cast("string"), F.hex("nid"))  # rows without any id: their text is the group
+    best = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "nid")).alias("best"), F.count(F.lit(1)).alias("n"))
+    # the rows to drop are fewer than those to keep
+    dropped = found.withColumn("g", group).join(best.filter("n > 1"), "g").filter(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("nid") == F.col("best.nid"))))
+    dropped = dropped.select(F.col("doc_id").alias(_ID), F.col("nid").alias(_KEY)).distinct()
+    again = found.groupBy("doc_id", "nid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias(_ID), F.col("nid").alias(_KEY))
+    keyed = docs.withColumn(_KEY, text_key(text_of()))
+    same = lambda other: (keyed[_KEY] == other[_KEY]) & keyed["doc_id"].cast("long").eqNullSafe(other[_ID])
+    gone = materialize(dropped.unionByName(again).distinct(), "dropped")
+    rest = keyed.join(maybe_broadcast(gone), same(gone), "left_anti")
+    # rows that occur several times and stay: one of each
+    kept = again.join(dropped, (again[_KEY] == dropped[_KEY]) & again[_ID].eqNullSafe(dropped[_ID]), "left_anti")
+    kept = materialize(kept, "kept_once")
+    once = keyed.join(maybe_broadcast(kept), same(kept), "left_semi").dropDuplicates([_KEY])
+    return rest.unionByName(once).select(*docs.columns)
+
+
+def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the windows of 400 bytes that repeat."""
+    return remove_repeats(docs)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences of 2048 tokens."""
     return pack(docs)
 
 
-STAGES = [("best-fit packing", packing)]
+STAGES = [
+    ("quality classifier", quality),
+    ("MinHash near-dedup", near_duplicates),
+    ("suffix-array dedup", suffixes),
+    ("PII", pii),
+    ("best-fit packing", packing),
+]
 ORACLE_SQL = None
 
 
