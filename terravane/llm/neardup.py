@@ -156,7 +156,11 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of edges (a, b): label is the least node of the component. Min-label propagation with pointer jumping; each round is a table in the shared folder."""
-    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("all"))  # a node's lesser neighbours hang on the least of them: few edges are left
+    star = least.select("a", F.col("m").alias("b")).union(least.select(F.explode("all").alias("a"), F.col("m").alias("b")).filter("a <> b")).distinct()
+    star = materialize(star, "stars")
+    both = materialize(star.union(star.select("b", "a")), "edges")
     now = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         near = both.join(now.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
@@ -167,7 +171,7 @@ def components(edges: DataFrame) -> DataFrame:
         discard(now)
         now = new
         if not changed:
-            discard(both)
+            discard(both, star)
             return now.select("node", "label")
 
 
@@ -197,6 +201,15 @@ class _Sets:
         self.up[max(a, b)] = min(a, b)
         return a != b
 
+    def links(self, name: list, before: list[int]) -> pa.Table:
+        """(a, b): one row of each set there was before, to the least name of its set now."""
+        least: dict = {}
+        for k, x in enumerate(name):
+            r = self.root(k)
+            least[r] = min(x, least.get(r, x))
+        rows = [(x, least[self.root(k)]) for k, x in enumerate(name) if before[k] == k and x != least[self.root(k)]]
+        return pa.table([pa.array([x for x, _ in rows], pa.binary()), pa.array([y for _, y in rows], pa.binary())], names=["a", "b"])
+
 
 def _near_rows(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
     """Of one pair of blocks (i, j): each row of the first, and the rows of the second of other labels that its signature doesn't rule out."""
@@ -213,18 +226,18 @@ def _near_rows(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
 
 def _alike(table: pa.Table) -> pa.Table:
     """Links (a, b) that join, within one pair of blocks of a bucket, all that signatures hold to be alike: fewer links than rows."""
-    nid, sets, a, b = table["nid"].to_pylist(), _Sets(table["nid"].to_pylist()), [], []
+    nid = table["nid"].to_pylist()
+    sets = _Sets(nid)
     for p, near in _near_rows(table):
         for q in near.tolist():
-            if sets.join(p, q):
-                a.append(nid[p])
-                b.append(nid[q])
-    return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            sets.join(p, q)
+    return sets.links(nid, [*range(len(nid))])
 
 
 def _linked(table: pa.Table) -> pa.Table:
     """Links (a, b) on whole bags that join, within one pair of blocks of a group, all that is linked: fewer links than rows. What signatures don't rule out is compared unless joined already."""
-    nid, text, sets, a, b = table["nid"].to_pylist(), table["text"], _Sets(table["label"].to_pylist()), [], []
+    nid, text, sets = table["nid"].to_pylist(), table["text"], _Sets(table["label"].to_pylist())
+    before = [sets.root(k) for k in range(len(nid))]
     held: dict[int, tuple] = {}
 
     def bag(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,9 +250,7 @@ def _linked(table: pa.Table) -> pa.Table:
         for q in near.tolist():
             if sets.root(p) != sets.root(q) and weighted_jaccard(bag(p), bag(q)) >= THRESHOLD:
                 sets.join(p, q)
-                a.append(nid[p])
-                b.append(nid[q])
-    return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+    return sets.links(nid, before)
 
 
 def _stars(members: DataFrame, labels: DataFrame) -> DataFrame:
