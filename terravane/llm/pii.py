@@ -27,7 +27,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WIDE = {
-    "secret": r"[A-Za-z0-9_+/-]{12,256}",
+    "secret": r"(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{12,256}",
     "local_phone": r"\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[.-][0-9]{4}",
     "identity": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
@@ -69,13 +69,21 @@ def _gate(kind: str, text: Column, numeric: Column) -> Column:
     return numeric
 
 
-def matches(kind: str, text: Column, gate: Column) -> Column:
+def _split(df: DataFrame, text: str, gates: dict[str, Column]) -> DataFrame:
+    """df with hits_* and gaps_* of each kind: its matches, and the text between them. Columns of their own, so that no lambda evaluates a pattern again."""
+    none = F.array().cast("array<string>")
+    out = df
+    for k, gate in gates.items():
+        pattern = (BASE | WIDE)[k]
+        out = out.withColumns({f"hits_{k}": F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none), f"gaps_{k}": F.when(gate, F.split(text, pattern, -1)).otherwise(none)})
+    return out
+
+
+def matches(kind: str) -> Column:
     """Array of (gap, before, match, after) of a kind's matches: gap is the length of the text since the last one."""
-    pattern = (BASE | WIDE)[kind]
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    gaps = F.col(f"gaps_{kind}")
     one = lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.right(F.get(gaps, i), F.lit(40)).alias("before"), m.alias("match"), F.left(F.get(gaps, i + 1), F.lit(8)).alias("after"))
-    return F.when(gate, F.transform(found, one)).otherwise(F.array().cast("array<struct<gap:int,before:string,match:string,after:string>>"))
+    return F.transform(f"hits_{kind}", one)
 
 
 def _word_before(before: Column) -> Column:
@@ -183,7 +191,7 @@ def accepts(weights: dict[int, float], kind: Column, before: Column, m: Column,
     return total > 0
 
 
-_PART = "array<struct<gap:int,before:string,match:string,after:string>>"
+_TEXT, _REST = "terravane_text", "terravane_rest"
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -191,8 +199,8 @@ def found(docs: DataFrame) -> DataFrame:
     text = text_of()
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     src = src.withColumn("numeric", F.col("text").rlike("[0-9]"))
-    t, numeric = F.col("text"), F.col("numeric")
-    return materialize(src.select(F.monotonically_increasing_id().alias("uid"), "doc_id", *(matches(k, t, _gate(k, t, numeric)).alias(k) for k in KINDS)), "matches")
+    src = _split(src, "text", {k: _gate(k, F.col("text"), F.col("numeric")) for k in KINDS})
+    return materialize(src.select(F.monotonically_increasing_id().alias("uid"), "doc_id", *(matches(k).alias(k) for k in KINDS)), "matches")
 
 
 def _candidates(table: DataFrame) -> DataFrame:
@@ -217,7 +225,7 @@ def _is_base() -> Column:
 
 
 def _wide_only(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.col("kind").isin(*WIDE) & ((F.col("kind") != "secret") | F.col("match").rlike("[0-9]")))
+    return rows.filter(F.col("kind").isin(*WIDE))
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -232,7 +240,7 @@ def spans(docs: DataFrame) -> DataFrame:
     weights = train(_wide_only(rows))
     order = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
     judged = rows.withColumn("base", _is_base()).withColumn("more", F.when(F.col("kind").isin(*WIDE), accepts(weights, F.col("kind"), F.col("before"), F.col("match"), F.col("after"))).otherwise(False))
-    judged = judged.filter(F.col("base") | F.col("more") & F.col("match").rlike("[0-9]"))
+    judged = judged.filter(F.col("base") | F.col("more"))
     name = F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string"))
     by = judged.withColumn("k", order).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "k", name.alias("name"), "end", "base"))).alias("s"))
     base = F.filter("s", lambda x: x["base"])
@@ -246,22 +254,23 @@ def spans(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", *(F.when(F.col("b").isNull(), F.lit(0).cast("long")).otherwise(count(k)).alias(f"n_{k}") for k in BASE), F.sha2(joined(F.col("b")).cast("binary"), 256).alias("base_sha256"), joined(F.col("a")).alias("spans"))
 
 
-def _redact(text: Column, kind: str, gate: Column, judge) -> Column:
-    pattern = (BASE | WIDE)[kind]
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _redacted(kind: str, judge) -> Column:
+    gaps = F.col(f"gaps_{kind}")
     put = lambda m, i: F.concat(F.when(judge(F.right(F.get(gaps, i), F.lit(40)), m, F.left(F.get(gaps, i + 1), F.lit(8))), F.lit(f"[{kind.upper()}]")).otherwise(m), F.get(gaps, i + 1))
-    return F.when(gate, F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(hits, put), ""))).otherwise(text)
+    return F.when(F.size(f"hits_{kind}") > 0, F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(f"hits_{kind}", put), ""))).otherwise(F.col(_TEXT))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of text replaced by its kind in brackets, kind after kind, and n_chars, if there, counted anew. A null text stays null."""
     weights = train(_wide_only(_candidates(found(docs))))
-    out = docs
+    columns = [c for c in docs.columns if c != "text"]
+    out = docs.select(F.struct(*columns).alias(_REST) if columns else F.lit(0).alias(_REST), F.col("text").cast("string").alias(_TEXT))
     for kind in KINDS:
-        text = F.col("text").cast("string")
-        gate = F.coalesce(_gate(kind, text, text.rlike("[0-9]")), F.lit(False))
-        judge = (lambda b, m, a, k=kind: passes(k, m)) if kind in BASE else (lambda b, m, a, k=kind: accepts(weights, F.lit(k), b, m, a) & m.rlike("[0-9]"))
-        out = out.withColumn("text", _redact(text, kind, gate, judge))
+        text = F.col(_TEXT)
+        out = _split(out, _TEXT, {kind: F.coalesce(_gate(kind, text, text.rlike("[0-9]")), F.lit(False))})
+        judge = (lambda b, m, a, k=kind: passes(k, m)) if kind in BASE else (lambda b, m, a, k=kind: accepts(weights, F.lit(k), b, m, a))
+        out = out.select(_REST, _redacted(kind, judge).alias(_TEXT))
+    out = out.select(*(F.col(f"{_REST}.{c}") for c in columns), F.col(_TEXT).alias("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
