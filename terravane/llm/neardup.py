@@ -288,9 +288,10 @@ def _rest(groups: DataFrame, labels: DataFrame, sigs: DataFrame, texts: DataFram
     return cut.groupBy("group", "i", "j").applyInArrow(_linked, "a binary, b binary")
 
 
-def maybe_broadcast(df: DataFrame, most: int = 500_000) -> DataFrame:
-    """df marked for broadcast if it has at most ``most`` rows of a few bytes; else Spark shuffles both sides."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def maybe_broadcast(df: DataFrame, most: int = 500_000, inside: str | None = None) -> DataFrame:
+    """df marked for broadcast if it has at most ``most`` rows of a few bytes (or members in the array column ``inside``); else Spark shuffles both sides."""
+    size = F.count(F.lit(1)) if inside is None else F.coalesce(F.sum(F.size(inside) + 1), F.lit(0))
+    return F.broadcast(df) if df.agg(size.alias("n")).first()["n"] <= most else df
 
 
 def clusters(docs: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ def covered(docs: DataFrame, depth: int = DEPTH, gram: int | None = None) -> Dat
     found, todo = _settle(first, "pass0")
     spans = [found.select("key", (F.col("pos") - F.col("hi")).alias("s"), (F.col("pos") - F.col("lo") + depth).alias("e"))]
     by_text = materialize(todo.groupBy("key").agg(F.collect_list(F.struct("pos", "lo", "hi", "witness")).alias("todo")), "open_runs")
-    texts = source.join(maybe_broadcast(by_text, 100_000), "key").select("key", "text", "todo")
+    texts = source.join(maybe_broadcast(by_text, 1_000_000, "todo"), "key").select("key", "text", "todo")
     contexts = materialize(texts.mapInArrow(_contexts(depth), "key binary, pos long, lo int, hi int, witness int, context binary"), "contexts")
     rows = contexts.select("*", F.col("lo").alias("part_lo"), F.col("hi").alias("part_hi")).mapInArrow(_digits(depth, _CUT), _LEVEL)
     found, todo = _settle(materialize(rows, "digits1"), "pass1")
@@ -214,7 +214,7 @@ def removal(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """
     spans = covered(docs, depth)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"), text_key(text_of()).alias("key"))
-    return rows.join(maybe_broadcast(spans, 100_000), "key", "left").select("doc_id", "text", "spans").mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.join(maybe_broadcast(spans, 1_000_000, "spans"), "key", "left").select("doc_id", "text", "spans").mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def whole_characters(data: bytes, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -242,7 +242,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """docs with the repeated windows taken out of text (whole characters only) and n_chars, if there, counted anew. Rows without a repeat stay as they are."""
     spans = covered(docs, depth).select(F.col("key").alias(_KEY), F.col("spans").alias(_KEY + "_spans"))
-    marked = docs.withColumn(_KEY, text_key(text_of())).join(maybe_broadcast(spans, 100_000), _KEY, "left").drop(_KEY)
+    marked = docs.withColumn(_KEY, text_key(text_of())).join(maybe_broadcast(spans, 1_000_000, _KEY + "_spans"), _KEY, "left").drop(_KEY)
     rest = [c for c in docs.columns if c != "text"]
     untouched = marked.filter(F.col(_KEY + "_spans").isNull()).select(*docs.columns)
     touched = marked.filter(F.col(_KEY + "_spans").isNotNull()).select(text_of().alias("text"), _KEY + "_spans", *rest)
