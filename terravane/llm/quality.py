@@ -94,16 +94,22 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[1][some]), pa.array(total[0][some]), *(pa.nulls(n, t) for t in schema.types[3:])], schema=schema)
 
 
-def dual_coordinate_descent(xs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, size: int, rounds: int = 15, seed: int = 0) -> np.ndarray:
-    """Weights (the last is the bias) that minimise |w|²/2 + Σ cost·max(0, 1 - y·w·x)²."""
+def scaled(buckets: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """Indicators times their log-count ratios, by the root of their number."""
+    return ratio[buckets] / max(1.0, len(buckets) ** 0.5)
+
+
+def dual_coordinate_descent(xs: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: np.ndarray, size: int, rounds: int = 15, seed: int = 0) -> np.ndarray:
+    """Weights (the last is the bias) that minimise |w|²/2 + Σ cost·max(0, 1 - y·w·x)², x the scaled indicators of each row of xs."""
     w = np.zeros(size + 1)
     alpha = np.zeros(len(y))
-    norm = np.array([float(v @ v) + 1.0 for _, v in xs]) + 0.5 / cost
+    norm = np.array([float((v := scaled(at, ratio)) @ v) + 1.0 for at in xs]) + 0.5 / cost
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         worst = 0.0
         for k in rng.permutation(len(y)):
-            at, v = xs[k]
+            at = xs[k]
+            v = scaled(at, ratio)
             g = y[k] * (float(w[at] @ v) + w[-1]) - 1 + alpha[k] * 0.5 / cost[k]
             pg = min(g, 0.0) if alpha[k] == 0 else g
             worst = max(worst, abs(pg))
@@ -170,20 +176,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_C
     label = sample["label"].to_numpy()
     if len(set(label.tolist())) < 2:
         return flat
-    xs = []
-    for x in sample["buckets"]:
-        b = np.sort(x.values.to_numpy())
-        xs.append((b, ratio[b] / max(1.0, len(b) ** 0.5)))
+    xs = [np.sort(x.values.to_numpy()) for x in sample["buckets"]]
+    del sample, counted
     weight = np.where(label == 1, sizes[1] / max(1, (label == 1).sum()), sizes[0] / max(1, (label == 0).sum()))
     weight = weight / weight.mean()
     y = np.where(label == 1, 1.0, -1.0)
     aside = np.arange(len(y)) % 5 == 4 if min((label == 1).sum(), (label == 0).sum()) >= 25 else np.zeros(len(y), bool)
     taught = np.flatnonzero(~aside)
-    w = dual_coordinate_descent([xs[k] for k in taught], y[taught], cost * weight[taught], 1 << BITS)
+    w = dual_coordinate_descent([xs[k] for k in taught], ratio, y[taught], cost * weight[taught], 1 << BITS)
     tested = np.flatnonzero(aside) if aside.any() else taught
     # the usual interpolation between the mean weight and the weights, which keeps rare buckets near Naive Bayes
     body = (1 - share) * np.abs(w[:-1]).mean() + share * w[:-1]
-    margin = np.array([float(body[xs[k][0]] @ xs[k][1]) + share * w[-1] for k in tested])
+    margin = np.array([float(body[xs[k]] @ scaled(xs[k], ratio)) + share * w[-1] for k in tested])
     a, b = _platt(margin, label[tested], weight[tested])
     return {"w": body * ratio, "bias": share * float(w[-1]), "a": a, "b": b}
 
