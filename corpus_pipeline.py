@@ -21,12 +21,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the least doc_id (rows without one come last), a single row of it."""
-    found = materialize(clusters(docs), "clusters")
-    group = F.coalesce(F.col("cluster_id").cast("string"), F.hex("nid"))  # rows without any id: their text is the group
-    best = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "nid")).alias("best"), F.count(F.lit(1)).alias("n"))
+    """One document of each group of near copies: that of the least doc_id (rows without one come last), a single row of it.
+
+    The group goes by its label, not by doc_id: unrelated texts of one doc_id all stay, near copies without ids leave one.
+    """
+    found = materialize(clusters(docs).select("doc_id", "nid", F.col("label").alias("g")), "clusters")
+    best = found.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "nid")).alias("best"), F.count(F.lit(1)).alias("n"))
     # the rows to drop are fewer than those to keep
-    dropped = found.withColumn("g", group).join(best.filter("n > 1"), "g").filter(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("nid") == F.col("best.nid"))))
+    dropped = found.join(best.filter("n > 1"), "g").filter(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("nid") == F.col("best.nid"))))
     dropped = dropped.select(F.col("doc_id").alias(_ID), F.col("nid").alias(_KEY)).distinct()
     again = found.groupBy("doc_id", "nid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias(_ID), F.col("nid").alias(_KEY))
     keyed = docs.withColumn(_KEY, text_key(text_of()))

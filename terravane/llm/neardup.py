@@ -295,10 +295,11 @@ def maybe_broadcast(df: DataFrame, most: int = 500_000, inside: str | None = Non
 
 
 def clusters(docs: DataFrame) -> DataFrame:
-    """doc_id, nid, class_id, cluster_id of each row.
+    """doc_id, nid, class_id, cluster_id, label of each row.
 
     class_id is the least doc_id of the rows of equal text; cluster_id the least doc_id of all texts that links
-    of weighted Jaccard similarity 0.8 or more connect. Null texts are empty; texts without words link to none but
+    of weighted Jaccard similarity 0.8 or more connect. label is the least nid of those texts: it stands for the
+    group itself, where groups may share a doc_id or have none. Null texts are empty; texts without words link to none but
     their copies. Null ids are passed over for the least (null where no row of the group has one). Other columns
     are ignored; an empty table gives no rows.
     """
@@ -321,9 +322,9 @@ def clusters(docs: DataFrame) -> DataFrame:
     discard(texts, members, sigs)
     named = labels.join(classes.select("nid", "class_id"), "nid")
     least = named.groupBy("label").agg(F.min("class_id").alias("cluster_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    linked = named.join(least, "label").select("nid", "cluster_id")
-    both = classes.select("nid", "class_id").join(linked, "nid", "left").select("nid", "class_id", F.coalesce("cluster_id", "class_id").alias("cluster_id"))
-    return signed.select("doc_id", "nid").join(both, "nid").select("doc_id", "nid", "class_id", "cluster_id")
+    linked = named.join(least, "label").select("nid", "cluster_id", "label")
+    both = classes.select("nid", "class_id").join(linked, "nid", "left").select("nid", "class_id", F.coalesce("cluster_id", "class_id").alias("cluster_id"), F.coalesce("label", "nid").alias("label"))
+    return signed.select("doc_id", "nid").join(both, "nid").select("doc_id", "nid", "class_id", "cluster_id", "label")
 
 
 def op3_bag_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -356,3 +356,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert packed.count() == len(rows)
     twice = c.near_duplicates(spark, docs_.union(docs_), str(tmp_path))
     assert sorted(map(str, (r.doc_id for r in twice.collect()))) == sorted(map(str, ids))
+
+
+def test_near_duplicates_go_by_group_not_by_id(spark, tmp_path):
+    import corpus_pipeline as c
+
+    text = lambda base, end: " ".join(f"{base}{k}" for k in range(60)) + f" {end}"
+    rows = [(1, text("river", "a")), (1, text("stone", "a")), (2, text("stone", "b")), (1, text("cloud", "a"))]  # one id on three unrelated texts
+    rows += [(None, text("grass", e)) for e in "abc"] + [(None, text("field", "a"))]  # near copies, none with an id
+    rows += [(9, text("light", "a")), (None, text("light", "b")), (None, text("light", "b"))]
+    docs_ = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    out = [(r.doc_id, r.text.split("0")[0]) for r in c.near_duplicates(spark, docs_, str(tmp_path)).collect()]
+    assert sorted(out, key=str) == sorted([(1, "river"), (1, "stone"), (1, "cloud"), (None, "grass"), (None, "field"), (9, "light")], key=str)
