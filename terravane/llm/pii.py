@@ -27,7 +27,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WIDE = {
-    "secret": r"(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{12,256}",
+    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{12,}+",  # a whole run, however long
     "local_phone": r"\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[.-][0-9]{4}",
     "identity": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }

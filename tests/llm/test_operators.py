@@ -336,6 +336,19 @@ def test_pii_base_spans_and_additions(spark, none):
     assert "[EMAIL]" in clean[201] and "@" not in clean[201] and clean[2] is None and "[SECRET]" in clean[100] and "plainwordswithnothing" in clean[100]
 
 
+def test_pii_takes_a_long_secret_as_one_span(spark):
+    rng = random.Random(6)
+    part = {n: "".join(rng.choice("abcdefABC") + rng.choice("0123456789") for _ in range(n // 2)) for n in range(264, 1100, 2)}  # no card number inside
+    size = {i: 264 if i % 2 else 300 + i * 40 for i in range(20)}
+    rows = [(i, f'so token = "{part[n]}" and plain words') for i, n in size.items()] + [(99, "x" * 200_000 + " 1")]
+    out = {r.doc_id: r.spans for r in pii.spans(docs(spark, rows)).collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(docs(spark, rows)).collect()}
+    for i, n in size.items():
+        assert [x for x in out[i].split(",") if x.startswith("secret:")] == [f"secret:12:{12 + n}"]
+        assert clean[i] == 'so token = "[SECRET]" and plain words'
+    assert out[99] == "" and clean[99] == rows[-1][1]
+
+
 # pipeline --------------------------------------------------------------------------------------
 
 
