@@ -10,6 +10,7 @@ text, and menus, forms, adverts, comments and the like go by their element, role
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -53,7 +54,7 @@ def _style(tag: str, raw: str) -> tuple[str, bool, bool]:
     gone, main, names = tag in _GONE, tag in _MAIN, ""
     if len(raw) > 4:
         a = _attributes(raw)
-        names = ".".join(sorted(set((a.get("class", "") + " " + a.get("id", "")).lower().split())))[:80]
+        names = ".".join(sorted(set((a.get("class", "") + " " + a.get("id", "")).lower().split())))
         words = set(re.split(r"[^a-z]+", names))
         words |= {re.sub(r"\d+$", "", w) for w in names.split(".")}
         main = main or a.get("role", "") == "main" or a.get("itemprop", "") == "articleBody"
@@ -68,16 +69,27 @@ def _style(tag: str, raw: str) -> tuple[str, bool, bool]:
 
 
 class _Node:
-    __slots__ = ("tag", "path", "gone", "main", "children", "text")
+    __slots__ = ("tag", "path", "gone", "main", "children", "text", "held")
 
-    def __init__(self, tag: str, path: str, gone: bool, main: bool):
-        self.tag, self.path, self.gone, self.main, self.children, self.text = tag, path, gone, main, [], []
+    def __init__(self, tag: str, path: int, gone: bool, main: bool, held: list[str] | None = None):
+        self.tag, self.path, self.gone, self.main, self.children, self.text, self.held = tag, path, gone, main, [], [], held
 
 
-def parse(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[str, int, int, int]]]:
-    """(blocks, nodes) of a page: blocks (path, text, in main) that structure keeps; nodes (path, depth, hash of the children's styles, hash of the own text)."""
-    root = _Node("", "", False, False)
+def _path(parent: int, style: str) -> int:
+    """64 bits that stand for all styles from the root."""
+    return int.from_bytes(hashlib.blake2b(parent.to_bytes(8, "little", signed=True) + style.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def parse(page: str) -> tuple[list[tuple[int, str, bool]], list[tuple[int, int, int, int]]]:
+    """(blocks, nodes) of a page: blocks (path, text, in main) that structure keeps; nodes (path, depth, hash of the children's styles, hash of the own text). A path is a hash of all its styles.
+
+    A dropped inline or custom element is on the stack up to its end tag or that of a block around it, and holds
+    the text before it, which goes on behind it; one whose end tag never comes is passed over.
+    """
+    root = _Node("", 0, False, False)
     stack, blocks, nodes, pending = [root], [], [], []
+    inline: dict[str, int] = {}  # dropped inline elements on the stack by tag
+    last_end: dict[str, int] = {}
 
     def flush() -> None:
         if pending:
@@ -90,20 +102,30 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[str, int,
                     blocks.append((top.path, text, top.main))
 
     def close(upto: int) -> None:
-        flush()
         while len(stack) > upto:
+            flush()
             n = stack.pop()
+            if n.held is not None:
+                inline[n.tag] -= 1
+                pending[:] = n.held
+                continue
             text = "\n".join(n.text)
             nodes.append((n.path, len(stack), zlib.crc32(" ".join(n.children).encode()), zlib.crc32(text.encode()) if text else -1))
 
-    def find(tags, walls=()) -> int:
+    def find(tags, walls=(), implied=False) -> int:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
                 return k
-            if stack[k].tag in walls:
+            if stack[k].tag in walls or implied and stack[k].held is not None:
                 return 0
         return 0
 
+    def ends(tag: str) -> bool:
+        """Whether an end tag of tag is still to come."""
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}\s*>", page, re.I)), default=-1)
+        return last_end[tag] >= at
+
     at, token, n = 0, _TOKEN.search, len(page)
     while at < n:
         m = token(page, at)
@@ -126,6 +148,8 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[str, int,
                     close(k)
                 elif tag == "p":
                     flush()
+            elif inline.get(tag):
+                close(find((tag,)))
             continue
         if tag in _RAW:
             end = _RAW[tag].search(page, at)
@@ -139,19 +163,18 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[str, int,
             continue
         if tag not in _BLOCK:
             raw = m[3] or m[6] or ""
-            if tag in _GONE or len(raw) > 4 and _style(tag, raw)[1]:
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                nxt = token(page, at)
-                if tag not in _VOID and end is not None and nxt is not None and end.start() - at < 2000:
-                    at = end.end()
+            if tag not in _VOID and (inline.get(tag) or tag in _GONE or len(raw) > 4 and _style(tag, raw)[1]) and ends(tag):
+                stack.append(_Node(tag, _path(stack[-1].path, tag), True, False, [*pending]))
+                inline[tag] = inline.get(tag, 0) + 1
+                pending.clear()
             continue
         flush()
         if tag in _CLOSES:
-            k = find(*_CLOSES[tag])
+            k = find(*_CLOSES[tag], implied=True)
             if k:
                 close(k)
         if tag != "option":
-            k = find(("p",), _WALLS)
+            k = find(("p",), _WALLS, implied=True)
             if k:
                 close(k)
         if tag == "hr":
@@ -164,16 +187,16 @@ def parse(page: str) -> tuple[list[tuple[str, str, bool]], list[tuple[str, int,
         main = (parent.main or main) and not gone
         if style.startswith("header") and not main:
             gone = True
-        stack.append(_Node(tag, f"{parent.path}/{style}"[-400:], parent.gone or gone, main))
+        stack.append(_Node(tag, _path(parent.path, style), parent.gone or gone, main))
     close(1)
     flush()
     return blocks, nodes
 
 
-_PARSED = "page_id long, url string, host string, digest long, blocks array<struct<path:string,text:string,main:boolean>>, nodes array<struct<path:string,depth:int,children:long,text:long>>"
+_PARSED = "page_id long, url string, host string, digest long, blocks array<struct<path:long,text:string,main:boolean>>, nodes array<struct<path:long,depth:int,children:long,text:long>>"
 _TYPES = [
-    pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("main", pa.bool_())])),
-    pa.list_(pa.struct([("path", pa.string()), ("depth", pa.int32()), ("children", pa.int64()), ("text", pa.int64())])),
+    pa.list_(pa.struct([("path", pa.int64()), ("text", pa.string()), ("main", pa.bool_())])),
+    pa.list_(pa.struct([("path", pa.int64()), ("depth", pa.int32()), ("children", pa.int64()), ("text", pa.int64())])),
 ]
 
 
@@ -224,7 +247,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     rows = parsed.select("page_id", "url", "host", "blocks").join(maybe_broadcast(low, 100_000, "low"), "host", "left")
     bounded = F.exists("blocks", lambda b: b.main)
     # an article's own branches vary with the article and stay
-    noisy = lambda b: F.array_contains(F.coalesce("low", F.array().cast("array<string>")), b.path)
+    noisy = lambda b: F.array_contains(F.coalesce("low", F.array().cast("array<long>")), b.path)
     kept = F.filter("blocks", lambda b: b.main | (~bounded & ~noisy(b)))
     text = F.array_join(F.transform(kept, lambda b: b.text), "\n")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -72,6 +72,24 @@ def test_html_removes_what_a_site_repeats(spark):
     assert {r.text for r in out.collect()} == {f"Text number {i} of its own" for i in range(8)}
 
 
+def test_html_reads_whole_class_lists_and_elements():
+    kept = lambda page: [b[1] for b in htmltext.parse(page)[0]]
+    long = " ".join(f"bg-colour-{k}" for k in range(30))
+    assert kept(f"<div class='{long} sidebar text-sm'>gone</div><p>stays</p>") == ["stays"]
+    for tag in ("span", "x-box", "a"):
+        inner = f"<{tag}>{'word ' * 1000}</{tag}> rest <div><p>block</p></div>"
+        assert kept(f"<p>before <{tag} class='{long} related'>{inner}</{tag}> behind</p><p>next</p>") == ["before behind", "next"]
+    assert kept("<div><p>one <span class=share>two</p><p>three</p></div><p>four <span>five</span>") == ["one", "three", "four five"]
+    assert kept("<p>one <span class=share>never closed<p>two") == ["one never closed", "two"]
+
+
+def test_html_tells_deep_branches_apart():
+    deep = "".join(f"<div class='level{k} {'u' * 90}'>" for k in range(8))
+    page = f"<section class=alpha>{deep}a{'</div>' * 8}</section><section class=beta>{deep}b{'</div>' * 8}</section>"
+    blocks, nodes = htmltext.parse(page)
+    assert [b[1] for b in blocks] == ["a", "b"] and len({b[0] for b in blocks}) == 2 and len({n[0] for n in nodes}) == 18
+
+
 # 3 ---------------------------------------------------------------------------------------------
 
 
