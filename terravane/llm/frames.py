@@ -20,11 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/terravane/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._terravane_path = path
     return out

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import small_batches, text_of
+from .frames import materialize, small_batches, text_of
 
 # Fixed values of ISO/IEC 11172-3 and 13818-3.
 _KBPS = {
@@ -230,4 +230,5 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(encode_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    stored = materialize(encode_media(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media", "zstd")
+    return media_features(stored)

@@ -164,6 +164,16 @@ def test_mpeg_round_trip_and_damage(spark, odd, none):
     assert mpeg.media_features(mpeg.encode_media(none)).count() == 0
 
 
+def test_mpeg_reads_stored_media(spark, odd, tmp_path):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    out = mpeg.op4_mpeg_audio(spark, str(tmp_path))
+    files = out.inputFiles()
+    assert files and all("/media/" in f for f in files)  # not the documents
+    stored = spark.read.parquet(*files)
+    assert collections.Counter(mpeg.decode(bytes(r.media)) for r in stored.collect()) == collections.Counter(mpeg.padded((t or "").encode()) for _, t in ODD)
+    assert collections.Counter(r.media_sha256 for r in out.collect()) == collections.Counter(hashlib.sha256(r.media).hexdigest() for r in stored.collect())
+
+
 # 5 ---------------------------------------------------------------------------------------------
 
 
