@@ -32,7 +32,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most max_bytes each, or of one row."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -52,7 +52,7 @@ def _powers(base: int, n: int) -> np.ndarray:
             m = min(done, size - done)
             p[done : done + m] = p[:m] * U64(pow(base, done, 1 << 64))
             done += m
-        if size > 1 << 23:  # a rare giant text: don't keep its table
+        if size > 1 << 21:  # a rare giant text: don't keep its table
             return p
         _pows[base] = have = p
     return have[:n]

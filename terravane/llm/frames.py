@@ -30,12 +30,26 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return out
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write df as a table of the shared folder, bucketed by key: joins on key read it without an exchange."""
+    spark = df.sparkSession
+    table = f"terravane_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/terravane/{table}"
+    most = min(partitions(spark), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    df.write.format("parquet").bucketBy(most, key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    out = spark.table(table)
+    out._terravane_path, out._terravane_table = path, table
+    return out
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete materialised tables that no later step reads."""
     for df in frames:
         path = getattr(df, "_terravane_path", None)
         if path:
             spark = df.sparkSession
+            if getattr(df, "_terravane_table", None):
+                spark.sql(f"DROP TABLE IF EXISTS {df._terravane_table}")
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 

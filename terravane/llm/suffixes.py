@@ -1,16 +1,24 @@
-"""Operator 7: repeated byte windows by a depth-limited radix sort of suffixes.
-
-Suffixes are ordered only through ``DEPTH`` bytes and most significant digit first, and
-the equal groups of the last pass are exactly the repeated windows. A pass deals out
-suffixes by a digit of their windows and drops each group that can't hold a repeat:
-
-0. The first digit of a window is the k-gram of least hash inside it (its anchor) and the
-   place it stands at. Neighbouring windows share their anchor, so a run of them is one row.
-1. Runs whose anchor occurs elsewhere are cut at every sixteenth place.
-2. What is still open is cut into single windows.
-
-In each pass a group of equal runs is settled at once and leaves one witness for the
-next, so a hot group shrinks to its different members before it is dealt out again.
+"""Operator 7: repeated byte windows by a depth-limited, most-significant-digit radix sort of suffixes.
+
+Suffixes count through ``DEPTH`` bytes only, and the equal groups of the last pass are
+exactly the repeated windows. Each pass deals suffixes out by their next digit and drops
+every group that can't hold a repeat. Digits are taken from the inside of a window to its
+ends, so that neighbouring suffixes move together:
+
+1. The first digit is the k-gram of least hash inside the window (its anchor). Neighbours
+   share their anchor, so a run of them is one row; runs that are equal as a whole are
+   settled at once. A run without its like whose anchor occurs elsewhere goes on.
+2. Runs are cut at every sixteenth place of the anchor; the second digit is all that the
+   windows of such a part share, 385 bytes.
+3. The last digit is the 15 bytes that are left of each window; they are compared as they are.
+
+The hash of an anchor only deals suffixes out, and never tells that bytes are equal: that is
+said by BLAKE2b digests of 128 bits for whole runs and second digits, and by the bytes
+themselves for the rest. A settled group leaves one weighted witness for the next pass, so a
+hot group shrinks to its different members before it is dealt out again.
+
+Texts move once: the different texts are dealt by key into a bucketed table, and both steps
+that need their bytes join it in place.
 """
 
 from __future__ import annotations
@@ -20,19 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesops import U64, Spans, mix, slices, text_buffers, to_i64
-from .frames import discard, materialize, small_batches, text_key, text_of
-from .neardup import maybe_broadcast
+from .bytesops import U64, Spans, slices, text_buffers, to_i64
+from .frames import bucketed, discard, materialize, small_batches, text_key, text_of
 
 DEPTH = 400
 _GRAM = 200
 _CUT = 16
+_SLICE = 1 << 20
+_ROWS = 1 << 14
 _TOP = U64(0xFFFFFFFF00000000)
 _KEY = "terravane_text_key"
-_LEVEL = "key binary, pos long, lo int, hi int, outer long, inner long, witness int"
+_RUNS = "key binary, copies long, pos long, lo int, hi int, outer long, inner binary"
+_PARTS = "key binary, copies long, pos long, lo int, hi int, outer binary, head binary, tail binary"
 
 
 def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -44,15 +54,14 @@ def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(raw: np.ndarray, offsets: np.ndarray, depth: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor, first start, last start, row, anchor hash, run hash) of each run of windows with one anchor.
+    """(anchor, first start, last start, row, anchor hash) of each run of windows with one anchor.
 
     The anchor of a window is the leftmost of its grams whose hash is least in its upper half: a matter of the
     window's bytes alone.
     """
     if len(raw) < depth:
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, U64), np.zeros(0, U64))
-    spans = Spans(raw)
-    h = spans.rolling(gram)
+        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, U64),)
+    h = Spans(raw).rolling(gram)
     anchor = (_sliding_min((h & _TOP) | np.arange(len(h), dtype=U64), depth - gram + 1) & ~_TOP).astype(np.int64)
     broken = np.zeros(len(raw) + 1, np.int32)  # starts whose window leaves its row
     np.add.at(broken, np.maximum(offsets[1:] - depth + 1, offsets[:-1]), 1)
@@ -67,126 +76,132 @@ def runs(raw: np.ndarray, offsets: np.ndarray, depth: int, gram: int) -> tuple[n
     at = anchor[first]
     # rows of exactly one window apart share no anchor: a gram never leaves the windows of its row
     row = np.searchsorted(offsets, first, "right") - 1
-    body = spans.hash(first, last + depth) ^ mix((at - first).astype(U64))
-    return at, first, last, row, h[at], body
+    return at, first, last, row, h[at]
+
+
+def digests(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """BLAKE2b, 128 bits, of each byte range."""
+    view, hashed = memoryview(np.ascontiguousarray(raw)), hashlib.blake2b
+    return [hashed(view[s:e], digest_size=16).digest() for s, e in zip(start.tolist(), end.tolist())]
+
+
+def _pieces(off: np.ndarray, depth: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first row, last row, first byte, last byte) of bounded pieces; a long text is cut so that each window lies in one piece."""
+    for i, j in slices(off, _SLICE):
+        if j - i > 1 or off[j] - off[i] <= 2 * _SLICE:
+            yield i, j, int(off[i]), int(off[j])
+        else:
+            for a in range(int(off[i]), int(off[j]) - depth + 1, _SLICE):
+                yield i, j, a, min(int(off[j]), a + _SLICE + depth - 1)
 
 
 def _anchors(depth: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = text_buffers(batch.column(1))
-            for i, j in slices(off, 1 << 20):
-                o = off[i : j + 1] - off[i]
-                at, first, last, row, outer, inner = runs(raw[off[i] : off[j]], o, depth, gram)
+            raw, off = text_buffers(batch.column(2))
+            for i, j, a, b in _pieces(off, depth):
+                part = raw[a:b]
+                o = np.clip(off[i : j + 1], a, b) - a
+                at, first, last, row, outer = runs(part, o, depth, gram)
+                inner = digests(part, first, last + depth)
+                take = pa.array(row + i)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i).take(pa.array(row)), pa.array(at - o[row]), pa.array((at - last).astype(np.int32)), pa.array((at - first).astype(np.int32)), pa.array(to_i64(outer)), pa.array(to_i64(inner)), pa.array(np.zeros(len(at), np.int32))],
-                    names=["key", "pos", "lo", "hi", "outer", "inner", "witness"],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(at + a - off[row + i]), pa.array((at - last).astype(np.int32)), pa.array((at - first).astype(np.int32)), pa.array(to_i64(outer)), pa.array(inner, pa.binary())],
+                    names=["key", "copies", "pos", "lo", "hi", "outer", "inner"],
                 )
 
     return run
 
 
-def _settle(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(settled, open) of the rows of a pass.
+def _settle(rows: DataFrame, same: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """(settled, open) of the rows of a pass, dealt by ``outer``; rows equal in ``same`` are equal runs.
 
-    Runs of equal ``inner`` repeat each other. ``open`` has one row for each different run of every ``outer``
-    group that holds several and a run without its like; a run with its like is there as a witness only.
+    Equal runs repeat each other. ``open`` has one row for each different run of every ``outer`` group that holds
+    several and one without its like; copies is then the number of runs it stands for.
     """
-    same = rows.groupBy("outer", "inner").agg(F.count(F.lit(1)).alias("n"), F.min("witness").alias("witness"))
-    same = materialize(same, name)
-    mixed = same.groupBy("outer").agg(F.count(F.lit(1)).alias("kinds"), F.max(((F.col("n") == 1) & (F.col("witness") == 0)).cast("int")).alias("alone")).filter("kinds > 1 AND alone = 1").select("outer", F.lit(1).alias("mixed"))
-    told = same.join(mixed, "outer", "left").filter("n > 1 OR mixed = 1").select("outer", "inner", "n", "mixed")
-    both = materialize(rows.join(told, ["outer", "inner"]), name + "_told")
-    settled = both.filter("n > 1 AND witness = 0").select("key", "pos", "lo", "hi")
-    kept = both.filter("mixed = 1").groupBy("outer", "inner").agg(F.min(F.struct("key", "pos", "lo", "hi")).alias("r"), F.max(F.greatest("witness", (F.col("n") > 1).cast("int"))).alias("witness"))
-    discard(same)
-    return settled, kept.select("r.key", "r.pos", "r.lo", "r.hi", "witness")
+    groups = materialize(rows.groupBy("outer", *same).agg(F.sum("copies").alias("n")), name)
+    mixed = groups.groupBy("outer").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 AND least = 1").select("outer", F.lit(1).alias("mixed"))
+    told = groups.join(mixed, "outer", "left").filter("n > 1 OR mixed = 1")
+    both = materialize(rows.join(told, ["outer", *same]), name + "_told")
+    rest = [c for c in rows.columns if c not in ("outer", "copies", *same)]
+    kept = both.filter("mixed = 1").groupBy("outer", *same).agg(F.min(F.struct(*rest)).alias("r"), F.first("n").alias("copies"))
+    discard(groups)
+    return both, kept.select("outer", *same, "r.*", "copies")
 
 
-def _contexts(depth: int):
-    """The bytes of all windows of the open runs of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [[], [], [], [], [], []]
-            for key, text, todo in zip(batch.column(0), batch.column(1), batch.column(2)):
-                data, key = text.as_py(), key.as_py()
-                for r in todo.as_py():
-                    for c, v in zip(out, (key, r["pos"], r["lo"], r["hi"], r["witness"], data[r["pos"] - r["hi"] : r["pos"] - r["lo"] + depth])):
-                        c.append(v)
-            types = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["key", "pos", "lo", "hi", "witness", "context"])
-
-    return run
+def _found(both: DataFrame, own: Column, depth: int) -> DataFrame:
+    """(key, s, e) of runs that have their like, and had none before."""
+    return both.filter((F.col("n") > 1) & own).select("key", (F.col("pos") - F.col("hi")).alias("s"), (F.col("pos") - F.col("lo") + depth).alias("e"))
 
 
-def _digits(depth: int, width: int):
-    """Rows (key, pos, lo, hi of the context, witness, context, part_lo, part_hi): their parts at multiples of width."""
+def _cut_up(depth: int, cut: int):
+    """Rows (key, text, todo) into the parts of their open runs: what the windows of a part share, and the bytes before and behind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("key", pa.binary()), ("copies", pa.int64()), ("pos", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("outer", pa.binary()), ("head", pa.binary()), ("tail", pa.binary())])
         for batch in batches:
-            raw, off = text_buffers(batch.column(5))
-            if not len(raw):
-                continue
-            hi = batch.column(3).to_numpy().astype(np.int64)
-            part_lo, part_hi = (batch.column(c).to_numpy().astype(np.int64) for c in (6, 7))
-            count = part_hi // width - part_lo // width + 1
-            row = np.repeat(np.arange(len(hi)), count)
-            cell = part_lo[row] // width + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            lo_, hi_ = np.maximum(cell * width, part_lo[row]), np.minimum(cell * width + width - 1, part_hi[row])
-            spans = Spans(raw)
-            base = off[row] + hi[row]  # of the anchor
-            inner = spans.hash(base - hi_, base - lo_ + depth) ^ mix((lo_ * 1024 + hi_).astype(U64))
-            if width == 1:
-                outer = inner
-            else:  # what all windows of the whole cell share; it lies inside each of them
-                u, v = cell * width, cell * width + width - 1
-                outer = spans.hash(np.maximum(base - u, off[row]), np.minimum(base - v + depth, off[row + 1])) ^ mix(cell.astype(U64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(lo_.astype(np.int32)), pa.array(hi_.astype(np.int32)), pa.array(to_i64(outer)), pa.array(to_i64(inner)), batch.column(4).take(pa.array(row))],
-                names=["key", "pos", "lo", "hi", "outer", "inner", "witness"],
-            )
+            raw, off = text_buffers(batch.column(1))
+            lists = batch.column(2)
+            item = lists.flatten()
+            each = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            pos, lo, hi, copies = (item.field(k).to_numpy() for k in ("pos", "lo", "hi", "copies"))
+            data = memoryview(raw) if len(raw) else memoryview(b"")
+            for i in range(0, len(each), _ROWS // 4):
+                row, p, x, y, c = (v[i : i + _ROWS // 4] for v in (each, pos, lo, hi, copies))
+                count = y // cut - x // cut + 1
+                which = np.repeat(np.arange(len(p)), count)
+                cell = x[which] // cut + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+                u, v = cell * cut, cell * cut + cut - 1
+                low, high = np.maximum(u, x[which]), np.minimum(v, y[which])
+                base = off[row[which]] + p[which]
+                shared = digests(raw, base - u, base - v + depth)
+                outer = [d + k.to_bytes(2, "little") for d, k in zip(shared, cell.tolist())]
+                head = [bytes(data[s:e]) for s, e in zip((base - high).tolist(), (base - u).tolist())]
+                tail = [bytes(data[s:e]) for s, e in zip((base - v + depth).tolist(), (base - low + depth).tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row[which])), pa.array(c[which].astype(np.int64)), pa.array(p[which].astype(np.int64)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(outer, pa.binary()), pa.array(head, pa.binary()), pa.array(tail, pa.binary())],
+                    schema=schema,
+                )
 
     return run
 
 
-def covered(docs: DataFrame, depth: int = DEPTH, gram: int | None = None) -> DataFrame:
-    """(key, spans): for each different text, the merged [start, end) byte ranges of windows of ``depth`` bytes that also start elsewhere."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    gram = gram or depth // 2
-    source = docs.select(text_key(text_of()).alias("key"), text_of().cast("binary").alias("text"))
-    first = materialize(source.mapInArrow(_anchors(depth, gram), _LEVEL), "anchors")
-    found, todo = _settle(first, "pass0")
-    spans = [found.select("key", (F.col("pos") - F.col("hi")).alias("s"), (F.col("pos") - F.col("lo") + depth).alias("e"))]
-    by_text = materialize(todo.groupBy("key").agg(F.collect_list(F.struct("pos", "lo", "hi", "witness")).alias("todo")), "open_runs")
-    texts = source.join(maybe_broadcast(by_text, 1_000_000, "todo"), "key").select("key", "text", "todo")
-    contexts = materialize(texts.mapInArrow(_contexts(depth), "key binary, pos long, lo int, hi int, witness int, context binary"), "contexts")
-    rows = contexts.select("*", F.col("lo").alias("part_lo"), F.col("hi").alias("part_hi")).mapInArrow(_digits(depth, _CUT), _LEVEL)
-    found, todo = _settle(materialize(rows, "digits1"), "pass1")
-    spans.append(found.select("key", (F.col("pos") - F.col("hi")).alias("s"), (F.col("pos") - F.col("lo") + depth).alias("e")))
-    part = todo.select("key", "pos", F.col("lo").alias("part_lo"), F.col("hi").alias("part_hi"), F.col("witness").alias("w"))
-    whole = contexts.select("key", "pos", "lo", "hi", "context").dropDuplicates(["key", "pos"])  # a text that occurs twice gives its contexts twice
-    rows = whole.join(part, ["key", "pos"]).select("key", "pos", "lo", "hi", "w", "context", "part_lo", "part_hi")
-    windows = materialize(rows.mapInArrow(_digits(depth, 1), _LEVEL), "windows")
-    twice = windows.groupBy("outer").agg(F.count(F.lit(1)).alias("n"), F.min("witness").alias("w")).filter("n > 1 AND w = 0").select("outer")
-    found = windows.filter("witness = 0").join(twice, "outer", "left_semi")
-    spans.append(found.select("key", (F.col("pos") - F.col("hi")).alias("s"), (F.col("pos") - F.col("lo") + depth).alias("e")))
-    union = spans[0].unionByName(spans[1]).unionByName(spans[2]).distinct()
-    ranges = materialize(union.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")), "covered")
-    discard(first, contexts, windows)
+def different_texts(docs: DataFrame) -> DataFrame:
+    """(key, text, copies) of the different texts as UTF-8, dealt by key into a bucketed table."""
+    text = text_of()
+    rows = docs.select(text_key(text).alias("key"), text.cast("binary").alias("text"))
+    return bucketed(rows.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "key", "texts")
+
+
+def covered(texts: DataFrame, depth: int = DEPTH, gram: int | None = None) -> DataFrame:
+    """(key, spans): for each different text, the sorted [start, end) byte ranges of windows of ``depth`` bytes that also start elsewhere."""
+    gram, cut = gram or depth // 2, min(_CUT, depth)
+    first = materialize(texts.select("key", "copies", "text").mapInArrow(_anchors(depth, gram), _RUNS), "anchors")
+    both0, todo = _settle(first, ["inner"], "pass1")
+    spans = _found(both0, F.lit(True), depth)
+    by_text = todo.groupBy("key").agg(F.collect_list(F.struct("pos", "lo", "hi", "copies")).alias("todo"))  # the runs of one text
+    parts = materialize(texts.select("key", "text").join(by_text, "key").select("key", "text", "todo").mapInArrow(_cut_up(depth, cut), _PARTS), "parts")
+    both1, todo = _settle(parts, ["lo", "hi", "head", "tail"], "pass2")
+    spans = spans.unionByName(_found(both1, F.col("copies") == 1, depth))
+    # each window of a part: the end of what stands before the shared bytes and the beginning of what stands behind them
+    at = todo.withColumn("o", F.explode(F.sequence("lo", "hi"))).withColumn("t", F.col("o") - F.col("o") % cut)
+    digit = F.concat(F.substring("head", F.col("hi") - F.col("o") + 1, F.col("o") - F.col("t")), F.substring("tail", F.lit(1), F.col("t") + (cut - 1) - F.col("o")))
+    windows = materialize(at.select("key", "pos", "outer", "o", digit.alias("digit"), "copies"), "windows")
+    twice = windows.groupBy("outer", "o", "digit").agg(F.sum("copies").alias("n")).filter("n > 1")
+    last = windows.filter("copies = 1").join(twice, ["outer", "o", "digit"], "left_semi")
+    spans = spans.unionByName(last.select("key", (F.col("pos") - F.col("o")).alias("s"), (F.col("pos") - F.col("o") + depth).alias("e")))
+    ranges = materialize(spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")), "covered")
+    discard(first, both0, parts, both1, windows)
     return ranges
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Maximal runs of sorted [s, e) ranges."""
-    out: list[tuple[int, int]] = []
-    for r in spans or ():
-        if out and r["s"] <= out[-1][1]:
-            out[-1] = out[-1][0], max(out[-1][1], r["e"])
-        else:
-            out.append((r["s"], r["e"]))
-    return out
+def merged(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of ranges [s, e) sorted by s."""
+    if not len(s):
+        return []
+    reach = np.maximum.accumulate(e)
+    new = np.append(True, s[1:] > reach[:-1])
+    return list(zip(s[new].tolist(), reach[np.append(new[1:], True)].tolist()))
 
 
 def _kept(data: bytes, gone: list[tuple[int, int]]) -> bytes:
@@ -194,27 +209,37 @@ def _kept(data: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join([data[a:b] for a, b in zip(ends, [*(s for s, _ in gone), len(data)])])
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, list[tuple[int, int]]]]:
+    """(key, text, merged ranges) of each row (key, text, spans)."""
+    lists = batch.column(2)
+    item, size = lists.flatten(), np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    s, e, upto = item.field("s").to_numpy(), item.field("e").to_numpy(), np.concatenate([[0], np.cumsum(size)])
+    for k in range(batch.num_rows):
+        yield batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), merged(s[upto[k] : upto[k + 1]], e[upto[k] : upto[k + 1]])
+
+
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
     for batch in batches:
-        rows = []
-        for doc, text, spans in zip(*batch.columns):
-            data, gone = text.as_py(), merged(spans.as_py())
-            rows.append((doc.as_py(), len(data), sum(e - s for s, e in gone), len(gone), hashlib.sha256(_kept(data, gone)).hexdigest()))
+        rows = [(key, len(data), sum(e - s for s, e in gone), len(gone), hashlib.sha256(_kept(data, gone)).hexdigest()) for key, data, gone in _each(batch)]
         if rows:
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def removal(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row, on the UTF-8 bytes of its whole text.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes of each row, on the UTF-8 bytes of its whole text.
 
     Every byte covered by a ``depth``-byte string that also starts anywhere else goes, in all its occurrences.
-    Null texts are empty; repeated rows repeat each other, so all of a text of depth bytes or more goes; other
-    columns are ignored; an empty table gives no rows.
+    Null texts are empty; repeated rows repeat each other, so all of a text of depth bytes or more goes; very long
+    texts are read in pieces of a megabyte; other columns are ignored; an empty table gives no rows.
     """
-    spans = covered(docs, depth)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"), text_key(text_of()).alias("key"))
-    return rows.join(maybe_broadcast(spans, 1_000_000, "spans"), "key", "left").select("doc_id", "text", "spans").mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    small_batches(docs.sparkSession)
+    texts = different_texts(docs)
+    told = texts.select("key", "text").join(covered(texts, depth), "key", "left").select("key", "text", "spans").mapInArrow(_report, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    told = materialize(told, "removals")
+    discard(texts)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text_of()).alias("key"))
+    return rows.join(told, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("kept_bytes"))
 
 
 def whole_characters(data: bytes, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -232,25 +257,27 @@ def whole_characters(data: bytes, gone: list[tuple[int, int]]) -> list[tuple[int
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for text, spans in zip(batch.column(0), batch.column(1)):
-            data = text.as_py().encode()
-            texts.append(_kept(data, whole_characters(data, merged(spans.as_py()))).decode())
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[2:]], names=["text", *batch.schema.names[2:]])
+        rows = [(key, _kept(data, whole_characters(data, gone)).decode()) for key, data, gone in _each(batch)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.binary(), pa.string()])], names=["key", "cleaned"])
 
 
 def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """docs with the repeated windows taken out of text (whole characters only) and n_chars, if there, counted anew. Rows without a repeat stay as they are."""
-    spans = covered(docs, depth).select(F.col("key").alias(_KEY), F.col("spans").alias(_KEY + "_spans"))
-    marked = docs.withColumn(_KEY, text_key(text_of())).join(maybe_broadcast(spans, 1_000_000, _KEY + "_spans"), _KEY, "left").drop(_KEY)
-    rest = [c for c in docs.columns if c != "text"]
-    untouched = marked.filter(F.col(_KEY + "_spans").isNull()).select(*docs.columns)
-    touched = marked.filter(F.col(_KEY + "_spans").isNotNull()).select(text_of().alias("text"), _KEY + "_spans", *rest)
-    schema = ", ".join(["text string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")])
-    out = touched.mapInArrow(_cleaned, schema)
+    """docs with the repeated windows taken out of text (whole characters only) and n_chars, if there, counted anew.
+
+    Rows without a repeat stay as they are, null texts too; repeated rows repeat each other; other columns, also
+    nested ones or those with dots in their names, are handed on; an empty table stays empty.
+    """
+    small_batches(docs.sparkSession)
+    texts = different_texts(docs)
+    changed = texts.select("key", "text").join(covered(texts, depth), "key").select("key", "text", "spans").mapInArrow(_cleaned, "key binary, cleaned string")
+    changed = materialize(changed.select(F.col("key").alias(_KEY), F.col("cleaned").alias(_KEY + "_text")), "cleaned")
+    discard(texts)
+    old, new = F.col("text"), F.col(_KEY + "_text")
+    out = docs.withColumn(_KEY, text_key(text_of())).join(changed, _KEY, "left").withColumn("text", F.when(new.isNull(), old.cast("string")).otherwise(new).cast(docs.schema["text"].dataType))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return untouched.unionByName(out.select(*docs.columns))
+        out = out.withColumn("n_chars", F.when(new.isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.drop(_KEY, _KEY + "_text")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
