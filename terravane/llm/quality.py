@@ -99,22 +99,22 @@ def scaled(buckets: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     return ratio[buckets] / max(1.0, len(buckets) ** 0.5)
 
 
-def dual_coordinate_descent(xs: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: np.ndarray, size: int, rounds: int = 15, seed: int = 0) -> np.ndarray:
-    """Weights (the last is the bias) that minimise |w|²/2 + Σ cost·max(0, 1 - y·w·x)², x the scaled indicators of each row of xs."""
+def dual_coordinate_descent(xs: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: np.ndarray, size: int, rounds: int = 40, seed: int = 0) -> np.ndarray:
+    """Weights (the last is the bias) that minimise |w|²/2 + Σ cost·max(0, 1 - y·w·x), x the scaled indicators of each row of xs and 1."""
     w = np.zeros(size + 1)
     alpha = np.zeros(len(y))
-    norm = np.array([float((v := scaled(at, ratio)) @ v) + 1.0 for at in xs]) + 0.5 / cost
+    norm = np.array([float((v := scaled(at, ratio)) @ v) + 1.0 for at in xs])
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         worst = 0.0
         for k in rng.permutation(len(y)):
             at = xs[k]
             v = scaled(at, ratio)
-            g = y[k] * (float(w[at] @ v) + w[-1]) - 1 + alpha[k] * 0.5 / cost[k]
-            pg = min(g, 0.0) if alpha[k] == 0 else g
+            g = y[k] * (float(w[at] @ v) + w[-1]) - 1
+            pg = min(g, 0.0) if alpha[k] == 0 else max(g, 0.0) if alpha[k] == cost[k] else g
             worst = max(worst, abs(pg))
             if pg:
-                new = max(alpha[k] - g / norm[k], 0.0)
+                new = min(max(alpha[k] - g / norm[k], 0.0), cost[k])
                 step, alpha[k] = (new - alpha[k]) * y[k], new
                 w[at] += step * v
                 w[-1] += step
@@ -147,7 +147,8 @@ def is_held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS, cost: float = 1.0, share: float = 0.25) -> dict:
     """The model: weights by bucket, bias, and the two numbers of the calibration.
 
-    A doc_id with several labels takes their majority (a tie counts as 1); null labels and ids teach nothing.
+    A doc_id with several labels takes their majority (a tie counts as 1); null labels and ids teach nothing; rows
+    of one doc_id all take its label. Empty tables teach nothing either; other columns are ignored.
     With labels of one class or none, every score is the share of label 1, (n1 + 1) / (n + 2).
     """
     small_batches(docs.sparkSession)
@@ -211,7 +212,11 @@ def _score(model):
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, held_out, score, predicted of every whole text; a null text scores as an empty one. Repeated rows repeat."""
+    """doc_id, held_out, score, predicted of every whole text.
+
+    A null text scores as an empty one; very long texts are one row of a slice; repeated rows repeat, equal texts
+    score alike; other columns are ignored; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out().alias("held_out"), text_of().alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights
@@ -219,7 +224,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of docs, all columns, whose text the model predicts as 1."""
+    """The rows of docs, all columns (whatever their names), whose text the model predicts as 1; a null text is judged as an empty one and stays null, repeated rows share their fate."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     run = _score(sent)
 
