@@ -76,15 +76,19 @@ def write_archives(pages: DataFrame, level: int = 1, segment_bytes: int = 4 << 2
     """(archive, content) rows: a record per page, payload the html in UTF-8 (null: empty).
 
     Of pages with equal payloads of at least 100 bytes, those of the smallest page_id are responses and the
-    others revisit it; if none of them has a page_id, all are responses. Other columns are ignored.
+    others revisit it; if none of them has a page_id, all are responses. A very long page is one record; repeated rows
+    are repeated records; other columns are ignored; an empty table gives no archives.
     """
     small_batches(pages.sparkSession)
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").cast("binary").alias("html"))
     src = src.withColumn("digest", F.sha2("html", 256))
-    same = src.filter(F.length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).filter("n > 1")
+    small = src.filter(F.length("html") < LEAST_REVISIT).withColumn("first", F.lit(None).cast("long"))  # never revisits
+    src = src.filter(F.length("html") >= LEAST_REVISIT)
+    same = src.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).filter("n > 1")
     marked = src.join(same.select("digest", "first"), "digest", "left")  # html moves once; a hot digest is one row on the right, so AQE may split the left
     first = F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))
-    return marked.select("page_id", "url", "html", "digest", first.alias("first")).mapInArrow(_write(level, segment_bytes), "archive string, content binary")
+    marked = marked.select("page_id", "url", "html", "digest", first.alias("first")).unionByName(small)
+    return marked.mapInArrow(_write(level, segment_bytes), "archive string, content binary")
 
 
 def members(content: bytes) -> Iterator[bytes]:
