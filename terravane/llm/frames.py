@@ -54,6 +54,11 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, whatever characters it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -17,12 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .frames import materialize, text_of
+from .frames import materialize, named, text_of
 
-# The base rules; quantifiers that can't give anything back are possessive, so long runs need no stack.
+# The base rules; quantifiers that can't give anything back are possessive, so long runs need no stack. A match that fails
+# from the first character of a run fails from the others too, so it is tried there (or behind the last match) only.
 BASE = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -261,19 +262,24 @@ def _redacted(kind: str, judge) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each span of text replaced by its kind in brackets, kind after kind, and n_chars, if there, counted anew. A null text stays null."""
+    """docs with each span of text replaced by its kind in brackets, kind after kind, and n_chars, if there, counted anew.
+
+    Kinds are judged one after the other, each on the text that the earlier ones leave, so that overlapping spans go
+    once; that is where it differs from ``spans``. A null text stays null, an empty one empty; very long texts are
+    whole; repeated rows repeat; other columns, whatever their names, are handed on; an empty table stays empty.
+    """
     weights = train(_wide_only(_candidates(found(docs))))
     columns = [c for c in docs.columns if c != "text"]
-    out = docs.select(F.struct(*columns).alias(_REST) if columns else F.lit(0).alias(_REST), F.col("text").cast("string").alias(_TEXT))
+    out = docs.select(F.struct(*(named(c) for c in columns)).alias(_REST) if columns else F.lit(0).alias(_REST), F.col("text").cast("string").alias(_TEXT))
     for kind in KINDS:
         text = F.col(_TEXT)
         out = _split(out, _TEXT, {kind: F.coalesce(_gate(kind, text, text.rlike("[0-9]")), F.lit(False))})
         judge = (lambda b, m, a, k=kind: passes(k, m)) if kind in BASE else (lambda b, m, a, k=kind: accepts(weights, F.lit(k), b, m, a))
         out = out.select(_REST, _redacted(kind, judge).alias(_TEXT))
-    out = out.select(*(F.col(f"{_REST}.{c}") for c in columns), F.col(_TEXT).alias("text"))
+    out = out.select(*(F.col(_REST).getField(c).alias(c) for c in columns), F.col(_TEXT).alias("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*(named(c) for c in docs.columns))
 
 
 def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
