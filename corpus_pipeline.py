@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terravane.llm.frames import materialize, text_key, text_of
+from terravane.llm.frames import materialize, named, text_key, text_of
 from terravane.llm.neardup import clusters, maybe_broadcast
 from terravane.llm.packing import pack
 from terravane.llm.pii import redact
@@ -16,7 +16,11 @@ _KEY, _ID = "terravane_text_key", "terravane_doc_id"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts as 1; it learns from the labels of what comes in."""
+    """Documents that the quality classifier predicts as 1; it learns from the labels of what comes in.
+
+    All stages keep a null text null until packing (there it is empty), treat repeated rows alike, hand on other columns and keep an
+    empty table empty. Here a null text is judged as an empty one.
+    """
     return keep_good(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -38,22 +42,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # rows that occur several times and stay: one of each
     kept = again.join(dropped, (again[_KEY] == dropped[_KEY]) & again[_ID].eqNullSafe(dropped[_ID]), "left_anti")
     kept = materialize(kept, "kept_once")
-    once = keyed.join(maybe_broadcast(kept), same(kept), "left_semi").dropDuplicates([_KEY])
-    return rest.unionByName(once).select(*docs.columns)
+    row = F.struct(*(named(c) for c in docs.columns))
+    once = keyed.join(maybe_broadcast(kept), same(kept), "left_semi").groupBy(_KEY).agg(F.min_by(row, F.to_json(row)).alias("row"))  # the same one in every run
+    once = once.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return rest.drop(_KEY).unionByName(once)
 
 
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the windows of 400 bytes that repeat."""
+    """Documents without the windows of 400 bytes that repeat; texts that repeat whole (ids aside) are empty then, if as long."""
     return remove_repeats(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind; repeated rows stay repeated rows."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in sequences of 2048 tokens."""
+    """The pieces of the documents in sequences of 2048 tokens: one at least for each row, empty or null as its text may be."""
     return pack(docs)
 
 
