@@ -6,14 +6,17 @@ all others weighing minus infinity. A giant text is cut into chunks. Each chunk
 on its own, the max-plus matrix from the pieces that may reach over its start to those
 that may reach over its end; the matrices of a text are combined associatively, which
 fixes each chunk's boundary pieces, and each chunk is then traced back on its own.
-Where a chunk starts at a word its boundary has one state. Words that lie inside a chunk
-bear on no other, and the tokenizer's library encodes them.
+Chunks are cut at fixed places, mostly inside a word, where a boundary has several states.
+Inside a chunk the path is found word by word, since no piece reaches over the start of a
+word; a text of one chunk is the same lattice without a boundary. The tokenizer's library
+only reads the vocabulary.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import materialize, small_batches, text_key, text_of
+from .frames import discard, materialize, small_batches, text_key, text_of
 
-CHUNK = 1 << 15
+CHUNK = 1 << 14
 _SPACE = "▁"
 _NONE = -np.inf
+_WORD = re.compile("▁+[^▁]*|[^▁]+")
 State = tuple[int, int]  # (start, end) of the piece that reaches over a boundary, from the boundary on; (0, 0) for a word start
 
 
@@ -42,11 +46,11 @@ _models: dict[str, Pieces] = {}
 class Pieces:
     """The vocabulary of a BPE model, and its merges of short texts."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 250_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.sp, n = sp, sp.get_piece_size()
+        n = sp.get_piece_size()
         self.byte = {}
         self.score: dict[str, float] = {}
         self.id: dict[str, int] = {}
@@ -59,7 +63,13 @@ class Pieces:
         byte = {i: b for b, i in self.byte.items()}
         self.raw = [bytes([byte[i]]) if i in byte else p.encode() for i, p in enumerate(self.piece)]
         self.longest = max(map(len, self.id))
+        self.reach: dict[str, int] = {}  # the longest piece with these two characters first
+        for q in self.id:
+            if len(q) > 1:
+                self.reach[q[:2]] = max(self.reach.get(q[:2], 1), len(q))
+        self.trails: dict[str, tuple] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.known: dict[str, np.ndarray] = {}
         self.most = most
 
     @staticmethod
@@ -96,21 +106,100 @@ class Pieces:
         return [p for p in parts if p is not None]
 
     def words(self, text: str) -> list[int]:
-        """The ids of whole words, the sign of a space before the first."""
-        if len(text) < 2:  # the library adds the first sign, but not to nothing
-            return self.ids([*text])
-        return self.sp.encode(text[1:].replace(_SPACE, " "), num_threads=1)
+        """The ids of whole words, each by its path of weight 0; short words are remembered."""
+        out: list[int] = []
+        known = self.known
+        for w in _WORD.findall(text):
+            ids = known.get(w)
+            if ids is None:
+                ids = self.ids(self.path(w))
+                if len(w) <= 64:
+                    if len(known) >= self.most:
+                        known.clear()
+                    known[w] = ids
+            out += ids
+        return out
+
+    def path(self, word: str) -> list[str]:
+        """The pieces of the one path of weight 0 through the lattice of a word, depth first, longest piece first.
+
+        A beginning of the word has one encoding, so a place is entered by one piece only, and never twice.
+        """
+        n, ids, pairs, fits, reach = len(word), self.id, self.pairs, self.fits, self.reach
+        pieces, tries, dead = [""], [reach.get(word[:2], 1)], set()
+        pos, u, size = 0, "", tries[0]
+        while pos < n:
+            while size:
+                v = word[pos : pos + size]
+                if (v in ids or size == 1) and pos + size <= n and pos + size not in dead:
+                    known = pairs.get((u, v))
+                    if known if known is not None else fits(u, v):
+                        break
+                size -= 1
+            if size:
+                tries[-1] = size - 1
+                pos, u = pos + size, v
+                size = reach.get(word[pos : pos + 2], 1)
+                pieces.append(u)
+                tries.append(size)
+            else:
+                dead.add(pos)
+                tries.pop()
+                pos -= len(pieces.pop())
+                u, size = pieces[-1], tries[-1]
+        return pieces[1:]
+
+    def trail(self, piece: str) -> tuple[list[float], list[str], list[str]]:
+        """The scores of a piece's own merges in their order, and its first and last part before each and at the end."""
+        known = self.trails.get(piece)
+        if known is None:
+            parts, scores, first, last = [*piece], [], [piece[0]], [piece[-1]]
+            while len(parts) > 1:
+                best, i = max((self.score.get(parts[i] + parts[i + 1], _NONE), -i) for i in range(len(parts) - 1))
+                if best == _NONE:
+                    break
+                parts[-i : 2 - i] = [parts[-i] + parts[1 - i]]
+                scores.append(best)
+                first.append(parts[0])
+                last.append(parts[-1])
+            known = self.trails[piece] = (scores if len(parts) == 1 else None), first, last
+        return known
 
     def fits(self, a: str, b: str) -> bool:
         """Whether pieces a and b may follow one another: weight 0 rather than minus infinity."""
         known = self.pairs.get((a, b))
         if known is None:
-            known = self.merge(a + b) == [a, b]
             if len(self.pairs) >= self.most:
                 self.pairs.clear()
-            self.pairs[a, b] = known
+            known = self.pairs[a, b] = self._fit(a, b)
         return known
 
+    def _fit(self, a: str, b: str) -> bool:
+        """Merging a and b, no pair across them is ever the best."""
+        left, right = self.trail(a) if a else None, self.trail(b)
+        if right[0] is None or left is not None and left[0] is None:
+            return False
+        if left is None:
+            return True
+        (da, _, edge), (db, begin, _), score = left, right, self.score.get
+        i, j, n, m = 0, 0, len(da), len(db)
+        across = score(edge[0] + begin[0], _NONE)
+        while i < n or j < m:
+            x, y = da[i] if i < n else _NONE, db[j] if j < m else _NONE
+            if x >= y:  # of equal scores the leftmost pair is merged first
+                if across > x:
+                    return False
+                i += 1
+                if edge[i] is not edge[i - 1]:
+                    across = score(edge[i] + begin[j], _NONE)
+            else:
+                if across >= y:
+                    return False
+                j += 1
+                if begin[j] is not begin[j - 1]:
+                    across = score(edge[i] + begin[j], _NONE)
+        return across == _NONE
+
     def ids(self, parts: list[str]) -> list[int]:
         out = []
         for p in parts:
@@ -122,16 +211,9 @@ class Pieces:
         return out
 
 
-def cuts(text: str, chunk: int = CHUNK, look: int = 2048) -> list[int]:
-    """Starts of the chunks: at a word near each multiple of chunk, else right there."""
-    out, at = [0], chunk
-    while at < len(text):
-        k = text.rfind(_SPACE, max(out[-1] + 1, at - look), at + 1)
-        while k > out[-1] and text[k - 1] == _SPACE:
-            k -= 1
-        out.append(k if k > out[-1] and k > at - look else at)
-        at = out[-1] + chunk
-    return out
+def cuts(text: str, chunk: int = CHUNK) -> list[int]:
+    """Starts of the chunks: the multiples of chunk."""
+    return list(range(0, max(1, len(text)), chunk))
 
 
 def entries(model: Pieces, around: str, at: int) -> list[State]:
@@ -142,7 +224,7 @@ def entries(model: Pieces, around: str, at: int) -> list[State]:
     for i in range(max(0, at - model.longest), at):
         for j in range(at, min(len(around), i + model.longest) + 1):
             p = around[i:j]
-            if (j - i == 1 or p in model.id) and (j == at or True) and model.merge(p) == [p]:
+            if (j - i == 1 or p in model.id) and model.merge(p) == [p]:
                 out.append((i - at, j - at))
     return out
 
@@ -169,7 +251,7 @@ def paths(model: Pieces, text: str, start: int, end: int) -> tuple[list[State],
                     continue
                 if pos + n > end and (pos + n, v) not in exits:
                     continue
-                if (u and not model.fits(u, v)) or (not u and model.merge(v) != [v]):
+                if not model.fits(u, v):
                     continue
                 key = (pos + n, v)
                 old = nodes.get(key)
@@ -312,11 +394,8 @@ def decode(model: Pieces, ids: list[int]) -> str:
     return b"".join([model.raw[i] for i in ids]).decode("utf-8", "replace").replace(_SPACE, " ")[1:]
 
 
-_SHORT = pa.schema([("key", pa.binary()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-
-
 def _cut(path: str, chunk: int):
-    """Giant texts into rows (key, chunk, text with margins, start, end, matrix); each text once for its key."""
+    """Giant texts into rows (key, chunk, text with margins, start, end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Pieces.of(path)
@@ -328,9 +407,9 @@ def _cut(path: str, chunk: int):
                     rows = []
                     for k, (a, b) in enumerate(zip(bounds[i : i + 64], bounds[i + 1 : i + 65]), i):
                         lo, hi = max(0, a - 2 * model.longest), min(len(s), b + 2 * model.longest)
-                        rows.append((key.as_py(), k, s[lo:hi], a - lo, b - lo, bool(a == 0 or lo < a), bool(b == len(s))))
-                    types = [pa.binary(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["key", "chunk", "part", "a", "b", "x", "last"])
+                        rows.append((key.as_py(), k, s[lo:hi], a - lo, b - lo))
+                    types = [pa.binary(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["key", "chunk", "part", "a", "b"])
 
     return run
 
@@ -369,23 +448,28 @@ def _traced(path: str):
     return run
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())])
+_OUT = pa.schema([("key", pa.binary()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())])
+_KEYED = "key binary, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
+
+
+def _told(model: Pieces, text: str, ids: list[int]) -> tuple:
+    back = decode(model, ids)
+    return len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == text.replace(_SPACE, " ")
 
 
-def _report(path: str):
-    """Rows (doc_id, text, ids of a giant text or null)."""
+def _report(path: str, schema: pa.Schema):
+    """Rows (key or doc_id, text), or (key, text, the ids of its chunks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Pieces.of(path)
         for batch in batches:
             rows = []
-            for doc, text, given in zip(*batch.columns):
-                text, given = text.as_py(), given.as_py()
-                ids = encode(model, text) if given is None else np.frombuffer(b"".join(given), "<i4").tolist()
-                back = decode(model, ids)
-                rows.append((doc.as_py(), len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == text.replace(_SPACE, " ")))
+            for k in range(batch.num_rows):
+                text = batch.column(1)[k].as_py()
+                ids = model.words(escaped(text)) if batch.num_columns == 2 else np.frombuffer(b"".join(batch.column(2)[k].as_py()), "<i4").tolist()
+                rows.append(_told(model, text, ids))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _OUT.types)], schema=_OUT)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), schema.types[1:]))], schema=schema)
 
     return run
 
@@ -393,23 +477,26 @@ def _report(path: str):
 def encode_table(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, decoded_sha256, round_trip of each whole text.
 
-    ids_crc32 is of the ids as little-endian 32-bit integers. Texts longer than ``chunk`` are scanned in chunks on
-    all executors, each different text once. Null and empty texts have no ids; repeated rows repeat; other columns
-    are ignored; an empty table gives no rows.
+    ids_crc32 is of the ids as little-endian 32-bit integers. Texts of ``chunk`` characters or more are scanned in
+    chunks on all executors, each different text once. Null and empty texts have no ids; repeated rows repeat; other
+    columns are ignored; an empty table gives no rows.
     """
     path = path or model_path()
     small_batches(docs.sparkSession, 500)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     giant = src.filter(F.length("text") >= chunk).withColumn("key", text_key(F.col("text")))
-    parts = giant.select("key", "text").mapInArrow(_cut(path, chunk), "key binary, chunk int, part string, a long, b long, x boolean, last boolean").dropDuplicates(["key", "chunk"])
-    parts = materialize(parts, "chunks")
-    mats = parts.select("key", "chunk", "part", "a", "b").mapInArrow(_matrices(path), "key binary, chunk int, matrix binary, rows int")
+    texts = materialize(giant.groupBy("key").agg(F.first("text").alias("text")), "giants")
+    parts = materialize(texts.mapInArrow(_cut(path, chunk), "key binary, chunk int, part string, a long, b long"), "chunks")
+    mats = parts.mapInArrow(_matrices(path), "key binary, chunk int, matrix binary, rows int")
     states = mats.groupBy("key").applyInArrow(_settle, "key binary, chunk int, enter int, leave int")
-    traced = parts.select("key", "chunk", "part", "a", "b").join(states, ["key", "chunk"]).select("key", "chunk", "part", "a", "b", "enter", "leave").mapInArrow(_traced(path), "key binary, chunk int, ids binary")
+    traced = parts.join(states, ["key", "chunk"]).select("key", "chunk", "part", "a", "b", "enter", "leave").mapInArrow(_traced(path), "key binary, chunk int, ids binary")
     whole = traced.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"]).alias("ids"))  # of one text
-    long = giant.join(whole, "key").select("doc_id", "text", "ids")
-    short = src.filter(F.length("text") < chunk).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("ids"))
-    return short.unionByName(long).mapInArrow(_report(path), "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    told = materialize(texts.join(whole, "key").select("key", "text", "ids").mapInArrow(_report(path, _OUT), _KEYED), "giants_told")
+    long = giant.select("doc_id", "key").join(told, "key").drop("key")
+    by_row = pa.schema([("doc_id", pa.int64()), *list(_OUT)[1:]])
+    short = src.filter(F.length("text") < chunk).select("doc_id", "text").mapInArrow(_report(path, by_row), _KEYED.replace("key binary", "doc_id long"))
+    discard(texts, parts)
+    return short.unionByName(long)
 
 
 def op9_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from .frames import bucketed, discard, materialize, small_batches, text_key, tex
 DEPTH = 400
 _GRAM = 200
 _CUT = 16
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 _ROWS = 1 << 14
 _TOP = U64(0xFFFFFFFF00000000)
 _KEY = "terravane_text_key"
@@ -231,7 +231,7 @@ def removal(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     Every byte covered by a ``depth``-byte string that also starts anywhere else goes, in all its occurrences.
     Null texts are empty; repeated rows repeat each other, so all of a text of depth bytes or more goes; very long
-    texts are read in pieces of a megabyte; other columns are ignored; an empty table gives no rows.
+    texts are read in pieces of 256 KiB; other columns are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     texts = different_texts(docs)
