@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .frames import discard, materialize, small_batches, text_key, text_of
 
-CHUNK = 1 << 14
+CHUNK = 1 << 15
 _SPACE = "▁"
 _NONE = -np.inf
 _WORD = re.compile("▁+[^▁]*|[^▁]+")
