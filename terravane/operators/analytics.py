@@ -66,3 +66,58 @@ def vector_top(df: DataFrame, query: DataFrame, k: int) -> DataFrame:
     q = query.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
     dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
     return df.join(F.broadcast(q), F.col("vec_id") != F.col("q_id")).select("vec_id", F.round(dot, 4).alias("dot")).orderBy(F.desc("dot"), "vec_id").limit(k)
+
+
+BUCKETS = {"least": 10, "forced": 100, "usual": 10}
+
+
+def bucket_count(distinct: int, chosen: int | None) -> int | None:
+    """Few different values need no buckets, many force them, in between the choice holds."""
+    if distinct < BUCKETS["least"]:
+        return None
+    return chosen if distinct < BUCKETS["forced"] or chosen is not None else BUCKETS["usual"]
+
+
+def shares(cells: DataFrame) -> DataFrame:
+    """Cells (row, col, n) of a pivot without N/A, with their share of the row and of the column (0 of an empty one)."""
+    kept = cells.filter("row <> 'N/A' AND col <> 'N/A'").select("row", "col", "n")
+    share = lambda by: F.col("n") / F.sum("n").over(W.partitionBy(by))
+    return kept.withColumns({"row_share": share("row"), "col_share": share("col")})
+
+
+def exclusive(chosen: dict[str, Column]) -> dict[str, Column]:
+    """Each group without the rows of the others."""
+    out = {}
+    for name, c in chosen.items():
+        others = F.lit(False)
+        for other, x in chosen.items():
+            if other != name:
+                others = others | x
+        out[name] = c & ~others
+    return out
+
+
+def circular_eta2(df: DataFrame, group: str, value: str, period: float = 360.0) -> DataFrame:
+    """How far groups part a circular field: what the groups' own resultants gain over the one of all, 0 to 1; null below two groups."""
+    t = F.col(value) * (2 * math.pi / period)
+    by = df.filter(F.col(value).isNotNull()).groupBy(group).agg(F.sum(F.cos(t)).alias("c"), F.sum(F.sin(t)).alias("s"), F.count(F.lit(1)).alias("n"))
+    length = lambda c, s: F.sqrt(c * c + s * s)
+    a = by.agg(F.sum(length(F.col("c"), F.col("s"))).alias("own"), length(F.sum("c"), F.sum("s")).alias("all"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    rest = F.col("n") - F.col("all")
+    value_ = F.when(rest <= 1e-9, 0.0).otherwise(F.least(F.greatest((F.col("own") - F.col("all")) / rest, F.lit(0.0)), F.lit(1.0)))
+    return a.select(F.when(F.col("k") >= 2, value_).alias("eta2"))
+
+
+def coverage_v(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Cramér's V of holding a field or not."""
+    return cramers_v(df.select(group, F.col(value).isNotNull().alias("held")), group, "held")
+
+
+MIN_PRESENT = 8
+
+
+def ranked_fields(scores: DataFrame) -> DataFrame:
+    """Fields (field, value_score, coverage_score, least_present) by how well they part the groups: trusted value scores first, then coverage."""
+    doubtful = F.col("least_present") < MIN_PRESENT
+    key = F.when(F.col("value_score").isNotNull() & ~doubtful, 1 + F.col("value_score")).otherwise(F.col("coverage_score"))
+    return scores.withColumns({"low_confidence": doubtful, "sort_key": key}).orderBy(F.desc("sort_key"), "field")

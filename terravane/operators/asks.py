@@ -87,3 +87,37 @@ def folder_counts(df: DataFrame, paths: Column) -> DataFrame:
     """(folder, n) of every prefix of '/' paths; a row counts once a folder."""
     prefixes = F.flatten(F.transform(paths, lambda p: F.transform(F.sequence(F.lit(1), F.size(F.split(p, "/"))), lambda k: F.array_join(F.slice(F.split(p, "/"), F.lit(1), k), "/"))))
     return count_by(df, prefixes).withColumnRenamed("key", "folder")
+
+
+def covered(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """(field, covered): how many rows are in one group of the field at least; each column is an array of keys."""
+    one = df.agg(*(F.count_if(F.size(c) > 0).alias(n) for n, c in fields.items()))
+    return one.unpivot([], list(fields), "field", "covered")
+
+
+EMPTY_BINS = 100
+
+
+def without_empty(bins: DataFrame, n: int) -> DataFrame:
+    """Bins without the empty ones, if there are more than 100."""
+    return bins.filter("n > 0") if n > EMPTY_BINS else bins
+
+
+def _bound(c: Column) -> Column:
+    whole = c == F.floor(c)
+    return F.when(whole, c.cast("long").cast("string")).otherwise(number_key(F.round(c, 2)))
+
+
+def bin_label(lo: Column, hi: Column) -> Column:
+    """lo–hi with two decimals at most."""
+    return F.concat(_bound(lo), F.lit("–"), _bound(hi))
+
+
+def painted(named: list[tuple[str, Column]]) -> Column:
+    """The last of the live selections that holds a row."""
+    return F.coalesce(*(F.when(c, n) for n, c in reversed(named)))
+
+
+def with_unknown(df: DataFrame, key: Column) -> DataFrame:
+    """(key, n), rows without a key as unknown."""
+    return df.groupBy(F.coalesce(key, F.lit("unknown")).alias("key")).agg(F.count(F.lit(1)).alias("n"))

@@ -7,15 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from . import spatial
-
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+from .shared import checkpointed
 
 
 def spaced(df: DataFrame, metres: float, seed: int = 0) -> DataFrame:
@@ -26,16 +18,16 @@ def spaced(df: DataFrame, metres: float, seed: int = 0) -> DataFrame:
     """
     order = F.xxhash64(F.col("id"), F.lit(seed))
     near = spatial.within(df.select("id", "lat", "lng"), df.select("id", "lat", "lng"), metres).filter("p_id <> i_id AND d2 < " + repr(metres * metres))
-    edges = _checkpointed(near.select(F.col("p_id").alias("a"), F.col("i_id").alias("b")))
-    open_ = _checkpointed(df.select("id", order.alias("o")))
+    edges = checkpointed(near.select(F.col("p_id").alias("a"), F.col("i_id").alias("b")))
+    open_ = checkpointed(df.select("id", order.alias("o")))
     taken = open_.limit(0)
     while open_.limit(1).count():
         live = edges.join(open_.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(open_.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b")
         beaten = live.filter("ob < oa OR (ob = oa AND b < a)").select(F.col("a").alias("id")).distinct()
-        first = _checkpointed(open_.join(beaten, "id", "left_anti"))
-        taken = _checkpointed(taken.unionByName(first))
+        first = checkpointed(open_.join(beaten, "id", "left_anti"))
+        taken = checkpointed(taken.unionByName(first))
         gone = live.join(first.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).unionByName(first.select("id"))
-        open_ = _checkpointed(open_.join(gone.distinct(), "id", "left_anti"))
+        open_ = checkpointed(open_.join(gone.distinct(), "id", "left_anti"))
     return df.join(taken.select("id"), "id", "left_semi")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .shared import checkpointed
 
 
 def _band(lat: Column, step: float) -> Column:
@@ -74,9 +75,20 @@ def pairs(df: DataFrame, metres: float) -> DataFrame:
     return p.select(F.col("p_id").alias("a"), F.col("i_id").alias("b"))
 
 
+def near_ids(probe: DataFrame, index: DataFrame, metres: float, near: Column) -> DataFrame:
+    """Ids of probe rows for which ``near``, on p_* and i_* columns, holds of some row of index at most metres away.
+
+    A semi join, so no pair is made; places of index that are one are one row, so a place with many rows weighs no more than others.
+    """
+    p = _points(probing(_place(probe), metres), "p")
+    i = _points(indexed(index.select("lat", "lng").distinct(), metres), "i")
+    return p.join(i, (p["band"] == i["band"]) & (p["cell"] == i["cell"]) & near, "left_semi").select(F.col("p_id").alias("id")).distinct()
+
+
 def near_any(probe: DataFrame, selected: DataFrame, metres: float) -> DataFrame:
     """Each probe row's id and whether a selected row lies within metres."""
-    hits = within(_place(probe), _place(selected), metres).select(F.col("p_id").alias("id")).distinct().withColumn("near", F.lit(True))
+    near = geo.flat_m2(F.col("p_lat"), F.col("p_lng"), F.col("i_lat"), F.col("i_lng")) <= metres * metres
+    hits = near_ids(probe, selected, metres, near).withColumn("near", F.lit(True))
     return probe.select("id").join(hits, "id", "left").select("id", F.coalesce("near", F.lit(False)).alias("near"))
 
 
@@ -86,28 +98,22 @@ def neighbours(df: DataFrame, metres: float) -> DataFrame:
     return w.groupBy(F.col("p_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("d2", "i_id"))), lambda x: x["i_id"]).alias("neighbours"))
 
 
-def groups(df: DataFrame, metres: float, rounds: int = 60) -> DataFrame:
+def groups(df: DataFrame, metres: float) -> DataFrame:
     """(id, group): connected components of rows within metres of each other, named by their least id; rows without a neighbour are left out.
 
     Least-label propagation with pointer jumping; each round is checkpointed to the shared folder.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     near = pairs(df, metres)
     edges = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     now = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("group")).checkpoint()
-    for _ in range(rounds):
+    while True:
         seen = edges.join(now.select(F.col("id").alias("b"), "group"), "b").groupBy(F.col("a").alias("id")).agg(F.min("group").alias("seen"))
         step = now.join(seen, "id").select("id", F.col("group").alias("was"), F.least("group", "seen").alias("group"))
         jump = now.select(F.col("id").alias("group"), F.col("group").alias("root"))
-        step = step.join(jump, "group", "left").select("id", "was", F.least("group", F.coalesce("root", "group")).alias("group")).checkpoint()
+        step = checkpointed(step.join(jump, "group", "left").select("id", "was", F.least("group", F.coalesce("root", "group")).alias("group")))
         now = step.select("id", "group")
         if not step.filter("was <> group").limit(1).count():
             return now
-    raise RuntimeError("components didn't settle")
 
 
 def classify(df: DataFrame, areas: list[tuple[str, list]], otherwise: str | None = None) -> DataFrame:

@@ -17,6 +17,25 @@ def set_field(df: DataFrame, chosen: Column, column: str, value, now: int) -> Da
     return _write(df, chosen, column, F.lit(value).cast(df.schema[column].dataType), now)
 
 
+def _open_write(df: DataFrame, chosen: Column, body: Column, now: int) -> DataFrame:
+    was = F.from_json("extra", "map<string,variant>")
+    new = F.to_json(body)
+    changed = chosen & ~F.to_json(was).eqNullSafe(new)
+    stamped = F.when(changed, F.lit(now).cast("long")).otherwise(F.col("modified_at"))
+    return df.withColumns({"extra": F.when(changed, new).otherwise(F.col("extra")), "modified_at": stamped, "changed": changed})
+
+
+def set_open(df: DataFrame, chosen: Column, key: str, json_value: str, now: int) -> DataFrame:
+    """Set a key of the open JSON column ``extra``; other values, nested ones too, stay as they are."""
+    held = F.coalesce(F.from_json("extra", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    return _open_write(df, chosen, F.map_concat(F.map_filter(held, lambda k, _: k != key), F.create_map(F.lit(key), F.parse_json(F.lit(json_value)))), now)
+
+
+def delete_open(df: DataFrame, chosen: Column, keys: list[str], now: int) -> DataFrame:
+    """Take keys out of the open JSON column."""
+    return _open_write(df, chosen, F.map_filter(F.from_json("extra", "map<string,variant>"), lambda k, _: ~k.isin(keys)), now)
+
+
 def set_expression(df: DataFrame, chosen: Column, column: str, score: Column, now: int) -> DataFrame:
     """A row whose expression has no value stays, with ``failed`` true."""
     out = _write(df.withColumn("_value", score), chosen & F.col("_value").isNotNull(), column, F.col("_value").cast(df.schema[column].dataType), now)
@@ -53,8 +72,9 @@ def merge_groups(df: DataFrame, group: str, score: Column) -> DataFrame:
     """One row a group: the best score survives (then the older, then the smaller id), with the tags of all."""
     order = F.struct(score.alias("s"), (-F.col("created_at")).alias("c"), (-F.col("id")).alias("i"))
     best = F.max_by(F.struct(*(c for c in df.columns if c not in (group, "tags"))), order)
-    out = df.groupBy(group).agg(best.alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"), F.count(F.lit(1)).alias("size"))
-    return out.select(group, "r.*", "tags", "size")
+    out = df.groupBy(group).agg(best.alias("r"), F.count(F.lit(1)).alias("size"))
+    each = df.select(group, F.explode("tags").alias("tag")).groupBy(group).agg(F.array_sort(F.collect_set("tag")).alias("tags"))  # no more than there are tags
+    return out.join(each, group, "left").select(group, "r.*", F.coalesce("tags", F.array().cast(df.schema["tags"].dataType)).alias("tags"), "size")
 
 
 def duplicate_score() -> Column:

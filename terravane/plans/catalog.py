@@ -328,8 +328,7 @@ def _(df):
 
 @_query("c14_proximity", f"{_L}, p AS (SELECT * FROM locations WHERE id % 50 = 0) SELECT DISTINCT l.id AS id FROM locations l JOIN p ON abs(p.lat - l.lat) <= 1000.0 / 110000.0 WHERE pow(6371137.0 * pi() / 180, 2) * (pow((p.lng - l.lng) * cos((p.lat + l.lat) * (pi() / 360)), 2) + pow(p.lat - l.lat, 2)) < 1000.0 * 1000.0")
 def _(df):
-    near = spatial.within(df.select("id", "lat", "lng"), df.filter("id % 50 = 0").select("id", "lat", "lng"), 1100.0)
-    return near.filter(geo.closer_than(F.col("p_lat"), F.col("p_lng"), F.col("i_lat"), F.col("i_lng"), 1000.0)).select(F.col("p_id").alias("id")).distinct()
+    return spatial.near_ids(df, df.filter("id % 50 = 0"), 1100.0, geo.closer_than(F.col("p_lat"), F.col("p_lng"), F.col("i_lat"), F.col("i_lng"), 1000.0))
 
 
 @_query("q07_folders", f"{_L}, p AS (SELECT id, unnest([concat('t/', CAST(tag % 3 AS VARCHAR)), 't', concat('t/', CAST(tag % 3 AS VARCHAR), '/', CAST(tag AS VARCHAR))]) AS folder FROM location_tags) SELECT folder, count(DISTINCT id) AS n FROM p GROUP BY folder")
@@ -353,8 +352,12 @@ def _(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import extended  # noqa: F401, registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import extended  # noqa: F401
+
     return dict(_SQL)
