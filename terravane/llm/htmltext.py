@@ -2,10 +2,16 @@
 
 The DOMs of a host are merged by style: a node of the tree is a path of tags with their
 classes. A presentation node matters as far as its children vary from page to page
-(entropy, to the base of its pages), a content node as far as its text does. The
-importance of a branch joins both, deeper content weighing less, and branches of low
-importance go from each page. Structure decides first: an article element bounds the main
-text, and menus, forms, adverts, comments and the like go by their element, role or class.
+(entropy, to the base of its pages), a content node as far as its text does; both start
+from the belief that a node matters, which weighs as much as a page and a half. How a node
+looks is evidence in the tree as well: noise elements and roles, class words (strong ones,
+and others that are in the names of articles too), links that make up most of its text,
+standing beside an article. Each weighs the importance down, and what is left of a branch
+decides, inside an article as outside. Menus and adverts differ from page to page as
+articles do, so entropy alone would keep them.
+
+Looks are judged by page first: where a page's only article lies under a noisy name, or
+nothing else is left of it, such names don't count there.
 """
 
 from __future__ import annotations
@@ -24,8 +30,12 @@ from .frames import materialize, small_batches, text_of
 from .neardup import maybe_broadcast
 
 LEAST_IMPORTANCE = 0.3
-LEAST_PAGES = 4
+LEAST_IN_ARTICLE = 0.15
+PRIOR_PAGES = 1.5
 DECAY = 0.9
+# What is left of a node's importance by its looks.
+LOOKS = {"noise": 0.25, "doubtful": 0.6, "beside": 0.25, "links": 0.25}
+LINKS = 66  # percent of a text
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -34,6 +44,7 @@ _RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "t
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body canvas center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul video audio".split())
 _GONE = frozenset("nav footer aside form button select option input label dialog menu search head fieldset".split())
+_FORM = frozenset("form fieldset".split())  # some sites wrap whole pages in one
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"})}
 _WALLS = frozenset("article section aside main div td th table body html blockquote li form nav footer header figure".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -41,6 +52,8 @@ _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored sponsors promo promotion promoted cookie cookies consent gdpr notice notices notification alert disclaimer popup modal overlay newsletter subscribe subscription signup "
     "sidebar sidebars rail aside menu menus nav navbar navigation breadcrumb breadcrumbs topbar toolbar masthead footer foot footnav comment comments commentlist respond replies reply disqus discussion share sharing social related recommended recommendations more widget widgets pagination pager login search skip".split()
 )
+# Names of these words are noise if the tree doesn't speak against it.
+_DOUBTFUL = frozenset("more skip login search social widget widgets alert overlay rail reply discussion signup masthead promoted share sharing notice".split())
 _HEADS = frozenset(("header", "masthead"))
 _MAIN = frozenset(("main", "article"))
 
@@ -49,30 +62,31 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
-def _style(tag: str, raw: str) -> tuple[str, bool, bool]:
-    """(style, dropped, main) of an element."""
-    gone, main, names = tag in _GONE, tag in _MAIN, ""
+def _style(tag: str, raw: str) -> tuple[str, int, bool]:
+    """(style, noise, main) of an element; noise is 0, 1 by doubtful words, 2 by other words or as a form, 3 by its element or role."""
+    noise, main, names = 2 if tag in _FORM else 3 * (tag in _GONE), tag in _MAIN, ""
     if len(raw) > 4:
         a = _attributes(raw)
         names = ".".join(sorted(set((a.get("class", "") + " " + a.get("id", "")).lower().split())))
         words = set(re.split(r"[^a-z]+", names))
         words |= {re.sub(r"\d+$", "", w) for w in names.split(".")}
         main = main or a.get("role", "") == "main" or a.get("itemprop", "") == "articleBody"
-        gone = gone or a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden", "") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+        if a.get("role", "").lower() in _ROLES or "hidden" in a or a.get("aria-hidden", "") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
+            noise = 3
         if tag not in ("html", "body", "main") and words & _WORDS and not (tag in _MAIN and not words & {"comment", "comments", "ad", "related", "promo", "sponsored", "reply"}):
-            gone = True
+            noise = max(noise, 2 if words & (_WORDS - _DOUBTFUL) else 1)
         if words & _HEADS and tag in ("div", "section"):
             tag = "header"
     if tag == "header":
         names = names or "header"
-    return (f"{tag}.{names}" if names else tag), gone, main
+    return (f"{tag}.{names}" if names else tag), noise, main
 
 
 class _Node:
-    __slots__ = ("tag", "path", "gone", "main", "children", "text", "held")
+    __slots__ = ("tag", "path", "noise", "main", "children", "text", "held", "links")
 
-    def __init__(self, tag: str, path: int, gone: bool, main: bool, held: list[str] | None = None):
-        self.tag, self.path, self.gone, self.main, self.children, self.text, self.held = tag, path, gone, main, [], [], held
+    def __init__(self, tag: str, path: int, noise: int, main: bool, held: list[str] | None = None):
+        self.tag, self.path, self.noise, self.main, self.children, self.text, self.held, self.links = tag, path, noise, main, [], [], held, 0
 
 
 def _path(parent: int, style: str) -> int:
@@ -80,26 +94,45 @@ def _path(parent: int, style: str) -> int:
     return int.from_bytes(hashlib.blake2b(parent.to_bytes(8, "little", signed=True) + style.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def parse(page: str) -> tuple[list[tuple[int, str, bool]], list[tuple[int, int, int, int]]]:
-    """(blocks, nodes) of a page: blocks (path, text, in main) that structure keeps; nodes (path, depth, hash of the children's styles, hash of the own text). A path is a hash of all its styles.
+def looks(blocks: list[tuple[int, str, int, bool]]) -> list[tuple[int, str, int, bool]]:
+    """Blocks (path, text, noise, main) with noise 0, 1 or 2 (none, doubtful, sure) as the page as a whole tells it.
+
+    If all articles lie under noisy names, names that are no noisier than the least noisy article don't count; nor
+    do names and forms if nothing else is left. Elements and roles always do.
+    """
+    mains = [b[2] for b in blocks if b[3]]
+    allowed = min(2, min(mains or [b[2] for b in blocks], default=0))
+    out = []
+    for path, text, noise, main in blocks:
+        sure = 0 if noise <= allowed and (main or not mains) else 1 if noise == 1 else 2 if noise else 0
+        out.append((path, text, sure, main and sure == 0))
+    return out
+
+
+def parse(page: str) -> tuple[list[tuple[int, str, int, bool]], list[tuple[int, int, int, int, int]]]:
+    """(blocks, nodes) of a page: blocks (path, text, noise, in main); nodes (path, depth, hash of the children's styles, hash of the own text, percent of links). A path is a hash of all its styles.
 
     A dropped inline or custom element is on the stack up to its end tag or that of a block around it, and holds
     the text before it, which goes on behind it; one whose end tag never comes is passed over.
     """
-    root = _Node("", 0, False, False)
+    root = _Node("", 0, 0, False)
     stack, blocks, nodes, pending = [root], [], [], []
+    linked, in_link = 0, False
     inline: dict[str, int] = {}  # dropped inline elements on the stack by tag
     last_end: dict[str, int] = {}
 
     def flush() -> None:
+        nonlocal linked
         if pending:
+            size = sum(map(len, pending))
             text = " ".join(html.unescape("".join(pending)).split())
             pending.clear()
             if text:
                 top = stack[-1]
                 top.text.append(text)
-                if not top.gone:
-                    blocks.append((top.path, text, top.main))
+                top.links += min(linked, size)
+                blocks.append((top.path, text, top.noise, top.main))
+        linked = 0
 
     def close(upto: int) -> None:
         while len(stack) > upto:
@@ -110,7 +143,7 @@ def parse(page: str) -> tuple[list[tuple[int, str, bool]], list[tuple[int, int,
                 pending[:] = n.held
                 continue
             text = "\n".join(n.text)
-            nodes.append((n.path, len(stack), zlib.crc32(" ".join(n.children).encode()), zlib.crc32(text.encode()) if text else -1))
+            nodes.append((n.path, len(stack), zlib.crc32(" ".join(n.children).encode()), zlib.crc32(text.encode()) if text else -1, min(100, 100 * n.links // max(1, len(text)))))
 
     def find(tags, walls=(), implied=False) -> int:
         for k in range(len(stack) - 1, 0, -1):
@@ -134,11 +167,14 @@ def parse(page: str) -> tuple[list[tuple[int, str, bool]], list[tuple[int, int,
             break
         if m.start() > at:
             pending.append(page[at : m.start()])
+            linked += (m.start() - at) * in_link
         at = m.end()
         tag = m[2] or m[5]
         if not tag:
             continue
         tag = tag.lower()
+        if tag == "a":
+            in_link = not (m[1] or m[4])
         if m[1] or m[4]:
             if tag == "br":
                 pending.append(" ")
@@ -164,7 +200,7 @@ def parse(page: str) -> tuple[list[tuple[int, str, bool]], list[tuple[int, int,
         if tag not in _BLOCK:
             raw = m[3] or m[6] or ""
             if tag not in _VOID and (inline.get(tag) or tag in _GONE or len(raw) > 4 and _style(tag, raw)[1]) and ends(tag):
-                stack.append(_Node(tag, _path(stack[-1].path, tag), True, False, [*pending]))
+                stack.append(_Node(tag, _path(stack[-1].path, tag), 3, False, [*pending]))
                 inline[tag] = inline.get(tag, 0) + 1
                 pending.clear()
             continue
@@ -179,24 +215,24 @@ def parse(page: str) -> tuple[list[tuple[int, str, bool]], list[tuple[int, int,
                 close(k)
         if tag == "hr":
             continue
-        style, gone, main = _style(tag, m[3] or m[6] or "")
+        style, noise, main = _style(tag, m[3] or m[6] or "")
         parent = stack[-1]
         if tag in ("html", "body") and find((tag,)):
             continue
         parent.children.append(style)
-        main = (parent.main or main) and not gone
-        if style.startswith("header") and not main:
-            gone = True
-        stack.append(_Node(tag, _path(parent.path, style), parent.gone or gone, main))
+        if style.startswith("header") and not parent.main:
+            noise = 3
+        main = main or parent.main
+        stack.append(_Node(tag, _path(parent.path, style), max(parent.noise, noise), main))
     close(1)
     flush()
-    return blocks, nodes
+    return looks(blocks), nodes
 
 
-_PARSED = "page_id long, url string, host string, digest long, blocks array<struct<path:long,text:string,main:boolean>>, nodes array<struct<path:long,depth:int,children:long,text:long>>"
+_PARSED = "page_id long, url string, host string, digest long, blocks array<struct<path:long,text:string,noise:int,main:boolean>>, nodes array<struct<path:long,depth:int,children:long,text:long,links:int>>"
 _TYPES = [
-    pa.list_(pa.struct([("path", pa.int64()), ("text", pa.string()), ("main", pa.bool_())])),
-    pa.list_(pa.struct([("path", pa.int64()), ("depth", pa.int32()), ("children", pa.int64()), ("text", pa.int64())])),
+    pa.list_(pa.struct([("path", pa.int64()), ("text", pa.string()), ("noise", pa.int32()), ("main", pa.bool_())])),
+    pa.list_(pa.struct([("path", pa.int64()), ("depth", pa.int32()), ("children", pa.int64()), ("text", pa.int64()), ("links", pa.int32())])),
 ]
 
 
@@ -207,49 +243,58 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks, nodes = [], []
             for page in part.column(4):
                 b, n = parse(page.as_py())
-                blocks.append([{"path": x[0], "text": x[1], "main": x[2]} for x in b])
-                nodes.append([{"path": x[0], "depth": x[1], "children": x[2], "text": x[3]} for x in set(n)])
+                blocks.append([{"path": x[0], "text": x[1], "noise": x[2], "main": x[3]} for x in b])
+                nodes.append([{"path": x[0], "depth": x[1], "children": x[2], "text": x[3], "links": x[4]} for x in set(n)])
             yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(blocks, _TYPES[0]), pa.array(nodes, _TYPES[1])], names=["page_id", "url", "host", "digest", "blocks", "nodes"])
 
 
 def style_tree(parsed: DataFrame) -> DataFrame:
-    """(host, path, pages, content, importance) of each style node: both entropies over the host's different pages."""
+    """(host, path, pages, content, links, importance) of each style node: both entropies over the host's different pages, the share of links in percent."""
     pages = parsed.dropDuplicates(["host", "digest"])  # copies of a page vary in nothing
-    node = pages.select("host", F.explode("nodes").alias("n")).select("host", "n.path", "n.depth", "n.children", "n.text")
-    counts = node.groupBy("host", "path", "depth", "children", "text").agg(F.count(F.lit(1)).alias("c"))
+    node = pages.select("host", F.explode("nodes").alias("n")).select("host", "n.path", "n.depth", "n.children", "n.text", "n.links")
+    counts = node.groupBy("host", "path", "depth", "children", "text").agg(F.count(F.lit(1)).alias("c"), F.sum(F.when(F.col("text") >= 0, F.col("links"))).alias("links"), F.count_if(F.col("text") >= 0).alias("told"))
 
     def entropy(column: str) -> DataFrame:
-        by = counts.groupBy("host", "path", column).agg(F.sum("c").alias("c"), F.min("depth").alias("depth"))
-        return by.groupBy("host", "path").agg(F.sum("c").alias("m"), F.min("depth").alias("depth"), F.sum(F.col("c") * F.ln("c")).alias("x"), F.max(F.col(column)).alias("most"))
+        by = counts.groupBy("host", "path", column).agg(F.sum("c").alias("c"), F.min("depth").alias("depth"), F.sum("links").alias("links"), F.sum("told").alias("told"))
+        return by.groupBy("host", "path").agg(F.sum("c").alias("m"), F.min("depth").alias("depth"), F.sum(F.col("c") * F.ln("c")).alias("x"), F.max(F.col(column)).alias("most"), (F.sum("links") / F.sum("told")).alias("links"))
 
     scale = lambda: F.when(F.col("m") > 1, F.ln("m") - F.col("x") / F.col("m")).otherwise(F.lit(1.0)) / F.when(F.col("m") > 1, F.ln("m")).otherwise(F.lit(1.0))
     shown = entropy("children").select("host", "path", "depth", F.col("m").alias("pages"), scale().alias("presentation"))
-    told = entropy("text").select("host", "path", F.when(F.col("most") >= 0, scale()).alias("content"))
+    told = entropy("text").select("host", "path", F.when(F.col("most") >= 0, scale()).alias("content"), "links")
     weight = F.pow(F.lit(DECAY), F.col("depth"))
     both = shown.join(told, ["host", "path"])
-    return both.select("host", "path", "pages", "content", F.when(F.col("content").isNull(), F.col("presentation")).otherwise((1 - weight) * F.greatest("presentation", "content") + weight * F.col("content")).alias("importance"))
+    seen = F.when(F.col("content").isNull(), F.col("presentation")).otherwise((1 - weight) * F.greatest("presentation", "content") + weight * F.col("content"))
+    return both.select("host", "path", "pages", "content", F.coalesce("links", F.lit(0.0)).alias("links"), ((seen * F.col("pages") + PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES)).alias("importance"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page, from its whole html.
 
     Null html is empty; a page without main text gives an empty string; a page without a url belongs to a host of
-    its own kind (''), copies of a page count once in the tree, and hosts of fewer than four different pages
-    lose branches by structure only. Repeated rows repeat; other columns are ignored.
+    its own kind (''), copies of a page count once in the tree. Blocks of equal text stand or fall by their style, not
+    by their text. A very long page is one tree. Repeated rows repeat; other columns are ignored; an empty table gives no rows.
     """
     small_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.xxhash64("html").alias("digest"), text_of("html").alias("html"))
     parsed = materialize(src.mapInArrow(_parsed, _PARSED), "parsed_pages")
-    # a branch matters as much as the best of its content nodes, so it goes as its last content node does
-    low = style_tree(parsed).filter((F.col("pages") >= LEAST_PAGES) & F.col("content").isNotNull() & (F.col("importance") < LEAST_IMPORTANCE))
-    low = materialize(low.groupBy("host").agg(F.collect_set("path").alias("low")), "low_branches")
+    # Nodes that matter fully look the same to every page, so only the others are kept: (path, importance in percent, mostly links).
+    low = style_tree(parsed).filter(F.col("content").isNotNull() & ((F.col("importance") < 1) | (F.col("links") > LINKS)))
+    low = low.filter((F.col("importance") < LEAST_IMPORTANCE / LOOKS["doubtful"]) | (F.col("links") > LINKS))
+    low = materialize(low.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", F.struct("importance", (F.col("links") > LINKS).alias("links"))))).alias("low")), "low_branches")
     rows = parsed.select("page_id", "url", "host", "blocks").join(maybe_broadcast(low, 100_000, "low"), "host", "left")
     bounded = F.exists("blocks", lambda b: b.main)
-    # an article's own branches vary with the article and stay
-    noisy = lambda b: F.array_contains(F.coalesce("low", F.array().cast("array<long>")), b.path)
-    kept = F.filter("blocks", lambda b: b.main | (~bounded & ~noisy(b)))
-    text = F.array_join(F.transform(kept, lambda b: b.text), "\n")
+    known = F.coalesce("low", F.create_map().cast("map<bigint,struct<importance:double,links:boolean>>"))
+
+    def kept(b):
+        node = F.try_element_at(known, b.path)
+        worth = F.coalesce(node["importance"], F.lit(1.0))
+        worth = worth * F.when(b.noise == 2, LOOKS["noise"]).when(b.noise == 1, LOOKS["doubtful"]).otherwise(1.0)
+        worth = worth * F.when(bounded & ~b.main, LOOKS["beside"]).otherwise(1.0)
+        worth = worth * F.when(F.coalesce(node["links"], F.lit(False)) & ~b.main, LOOKS["links"]).otherwise(1.0)
+        return worth >= F.when(b.main, LEAST_IN_ARTICLE).otherwise(LEAST_IMPORTANCE)
+
+    text = F.array_join(F.transform(F.filter("blocks", kept), lambda b: b.text), "\n")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
