@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesops import U64, Spans, slices, text_buffers, words
-from .frames import discard, materialize, small_batches, text_of
+from .frames import discard, materialize, named, small_batches, text_of
 
 BITS = 17
 SAMPLE_PER_CLASS = 2000
@@ -230,15 +230,12 @@ def keep_good(docs: DataFrame, model: dict) -> DataFrame:
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            text = batch.column(at)
             none = pa.nulls(batch.num_rows, pa.int64())
-            if not pa.types.is_string(text.type) and not pa.types.is_large_string(text.type):
-                text = text.cast(pa.string())
-            out = next(run(iter([pa.RecordBatch.from_arrays([none, none, text], names=["a", "b", "c"])])))
+            out = next(run(iter([pa.RecordBatch.from_arrays([none, none, batch.column(1)], names=["a", "b", "c"])])))
             yield batch.filter(pa.array(out.column(3).to_numpy() == 1))
 
-    return docs.mapInArrow(good, docs.schema)
+    packed = docs.select(F.struct(*(named(c) for c in docs.columns)).alias("row"), text_of().alias("text"))
+    return packed.mapInArrow(good, packed.schema).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op1_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
