@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .bytesops import U64, Spans, mix, slices, text_buffers, to_i64, words
 from .frames import discard, materialize, small_batches, text_key, text_of
+from .workers import lean
 
 WORDS, THRESHOLD = 5, 0.8
 SLOTS, BANDS, ROWS = 128, 24, 4
@@ -113,7 +114,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, nid, sig, bands): nid stands for the text; sig and bands are null for a text without words."""
     small_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text_of()).alias("nid"), F.lower(text_of()).alias("text"))
-    return src.mapInArrow(_signed, "doc_id long, nid binary, sig binary, bands array<long>")
+    return src.mapInArrow(lean(_signed), "doc_id long, nid binary, sig binary, bands array<long>")
 
 
 class _Bags:
@@ -151,7 +152,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, linked) of pairs of nids, on their whole bags."""
     ta = texts.select(F.col("nid").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("nid").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").sortWithinPartitions("b").mapInArrow(_verify, "a binary, b binary, linked boolean")
+    return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").sortWithinPartitions("b").mapInArrow(lean(_verify), "a binary, b binary, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .bytesops import slices, text_buffers
 from .frames import materialize, partitions, small_batches, text_of
 from .wordbpe import WordCache
+from .workers import lean
 
 CAPACITY = 2048
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -59,7 +60,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, e
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the end id, cut only beyond capacity. A null text is empty: one end id."""
     small_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return src.mapInArrow(_cut(path or tokenizer_path(), capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return src.mapInArrow(lean(_cut(path or tokenizer_path(), capacity, end_id), "wordbpe"), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

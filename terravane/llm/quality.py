@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .bytesops import U64, Spans, slices, text_buffers, words
 from .frames import discard, materialize, named, small_batches, text_of
+from .workers import lean
 
 BITS = 17
 SAMPLE_PER_CLASS = 2000
@@ -165,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_C
     if sum(sizes.values()) <= 2_000_000:  # about 40 MB; beyond it Spark chooses, and shuffles both sides
         known = F.broadcast(known)
     rows = docs.select("doc_id", text_of().alias("text")).join(known, "doc_id").select("text", "label", "drawn", F.xxhash64("doc_id").alias("key"))
-    table = materialize(rows.mapInArrow(_counts, "bucket int, good long, bad long, key long, label int, buckets array<int>"), "counts")
+    table = materialize(rows.mapInArrow(lean(_counts), "bucket int, good long, bad long, key long, label int, buckets array<int>"), "counts")
     counted = table.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()  # at most 2**BITS rows
     good, bad = np.ones(1 << BITS), np.ones(1 << BITS)
     where = counted["bucket"].to_numpy()
@@ -220,7 +221,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     small_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out().alias("held_out"), text_of().alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights
-    return src.mapInArrow(_score(sent), "doc_id long, held_out boolean, score double, predicted int")
+    return src.mapInArrow(lean(_score(sent)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: dict) -> DataFrame:
@@ -235,7 +236,7 @@ def keep_good(docs: DataFrame, model: dict) -> DataFrame:
             yield batch.filter(pa.array(out.column(3).to_numpy() == 1))
 
     packed = docs.select(F.struct(*(named(c) for c in docs.columns)).alias("row"), text_of().alias("text"))
-    return packed.mapInArrow(good, packed.schema).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return packed.mapInArrow(lean(good), packed.schema).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op1_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .bytesops import U64, Spans, slices, text_buffers, to_i64
 from .frames import bucketed, discard, materialize, small_batches, text_key, text_of
+from .workers import lean
 
 DEPTH = 400
 _GRAM = 200
@@ -176,11 +177,11 @@ def different_texts(docs: DataFrame) -> DataFrame:
 def covered(texts: DataFrame, depth: int = DEPTH, gram: int | None = None) -> DataFrame:
     """(key, spans): for each different text, the sorted [start, end) byte ranges of windows of ``depth`` bytes that also start elsewhere."""
     gram, cut = gram or depth // 2, min(_CUT, depth)
-    first = materialize(texts.select("key", "copies", "text").mapInArrow(_anchors(depth, gram), _RUNS), "anchors")
+    first = materialize(texts.select("key", "copies", "text").mapInArrow(lean(_anchors(depth, gram)), _RUNS), "anchors")
     both0, todo = _settle(first, ["inner"], "pass1")
     spans = _found(both0, F.lit(True), depth)
     by_text = todo.groupBy("key").agg(F.collect_list(F.struct("pos", "lo", "hi", "copies")).alias("todo"))  # the runs of one text
-    parts = materialize(texts.select("key", "text").join(by_text, "key").select("key", "text", "todo").mapInArrow(_cut_up(depth, cut), _PARTS), "parts")
+    parts = materialize(texts.select("key", "text").join(by_text, "key").select("key", "text", "todo").mapInArrow(lean(_cut_up(depth, cut)), _PARTS), "parts")
     both1, todo = _settle(parts, ["lo", "hi", "head", "tail"], "pass2")
     spans = spans.unionByName(_found(both1, F.col("copies") == 1, depth))
     # each window of a part: the end of what stands before the shared bytes and the beginning of what stands behind them
@@ -235,7 +236,7 @@ def removal(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     texts = different_texts(docs)
-    told = texts.select("key", "text").join(covered(texts, depth), "key", "left").select("key", "text", "spans").mapInArrow(_report, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    told = texts.select("key", "text").join(covered(texts, depth), "key", "left").select("key", "text", "spans").mapInArrow(lean(_report), "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     told = materialize(told, "removals")
     discard(texts)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text_of()).alias("key"))
@@ -270,7 +271,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     texts = different_texts(docs)
-    changed = texts.select("key", "text").join(covered(texts, depth), "key").select("key", "text", "spans").mapInArrow(_cleaned, "key binary, cleaned string")
+    changed = texts.select("key", "text").join(covered(texts, depth), "key").select("key", "text", "spans").mapInArrow(lean(_cleaned), "key binary, cleaned string")
     changed = materialize(changed.select(F.col("key").alias(_KEY), F.col("cleaned").alias(_KEY + "_text")), "cleaned")
     discard(texts)
     old, new = F.col("text"), F.col(_KEY + "_text")
