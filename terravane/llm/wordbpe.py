@@ -94,7 +94,7 @@ _caches: dict[str, WordCache] = {}
 class WordCache:
     """Ids of texts as little-endian 32-bit bytes; the ids of a text are those of its chunks in order."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tok, self.most, self.known = Tokenizer.from_file(path), most, {}
