@@ -277,7 +277,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.xxhash64("html").alias("digest"), text_of("html").alias("html"))
-    parsed = materialize(src.mapInArrow(_parsed, _PARSED), "parsed_pages")
+    parsed = materialize(src.mapInArrow(_parsed, _PARSED), "parsed_pages", "zstd")
     # Nodes that matter fully look the same to every page, so only the others are kept: (path, importance in percent, mostly links).
     low = style_tree(parsed).filter(F.col("content").isNotNull() & ((F.col("importance") < 1) | (F.col("links") > LINKS)))
     low = low.filter((F.col("importance") < LEAST_IMPORTANCE / LOOKS["doubtful"]) | (F.col("links") > LINKS))
