@@ -1,4 +1,4 @@
-"""The locations table: derived from events, or read from JSON, CSV and GeoJSON files."""
+"""The locations table: derived from events, or read from JSON and CSV files."""
 
 from __future__ import annotations
 
