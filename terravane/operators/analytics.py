@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import running
+
 
 def pivot(df: DataFrame, row: Column, col: Column) -> DataFrame:
     """(row, col, n, row_total): absent values are N/A."""
@@ -16,11 +18,10 @@ def pivot(df: DataFrame, row: Column, col: Column) -> DataFrame:
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
-    """epsilon squared of the tie-corrected Kruskal-Wallis statistic, on counts by value: the windows see different values only."""
+    """epsilon squared of the tie-corrected Kruskal-Wallis statistic, on counts by value, ranked by running counts."""
     tally = df.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
     by = tally.groupBy("v").agg(F.sum("c").alias("t"))
-    below = F.coalesce(F.sum("t").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranks = by.withColumn("rank", below + (F.col("t") + 1) / 2)
+    ranks = running(by, [], ["v"], F.col("t"), "upto").withColumn("rank", F.col("upto") - F.col("t") + (F.col("t") + 1) / 2)
     sums = tally.join(ranks, "v").groupBy("g").agg(F.sum(F.col("rank") * F.col("c")).alias("r"), F.sum("c").alias("size"))
     ties = by.agg(F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     a = sums.agg(F.sum(F.col("r") * F.col("r") / F.col("size")).alias("x"), F.sum("size").cast("double").alias("n"), F.count(F.lit(1)).alias("k")).join(F.broadcast(ties), F.lit(True))
@@ -50,8 +51,19 @@ def cramers_v(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def quartiles(df: DataFrame, group: str, value: str) -> DataFrame:
-    p = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(group).agg(p.alias("p")).select(group, F.col("p")[0].alias("p25"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p75"))
+    """(group, p25, p50, p75), interpolated between neighbouring places; from counts by value, so no task holds the values of a group."""
+    tally = df.groupBy(group, value).agg(F.count(value).alias("c"))
+    upto = running(tally.filter(F.col(value).isNotNull()), [group], [value], F.col("c"), "upto")
+    sizes = tally.groupBy(group).agg(F.sum("c").alias("n"))
+    j = sizes.alias("s").join(upto.alias("u"), F.col(f"s.{group}").eqNullSafe(F.col(f"u.{group}")), "left")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("upto") - F.col("c") <= place) & (place < F.col("upto")), F.col(value).cast("double")))
+
+    places = {"p25": (F.col("n") - 1) * 0.25, "p50": (F.col("n") - 1) * 0.5, "p75": (F.col("n") - 1) * 0.75}
+    ends = [f(x).alias(f"{k}_{side}") for k, x in places.items() for side, f in (("lo", lambda x: at(F.floor(x))), ("hi", lambda x: at(F.ceil(x))))]
+    found = j.groupBy(f"s.{group}", "n").agg(*ends)
+    return found.select(group, *((F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * (x - F.floor(x))).alias(k) for k, x in places.items()))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -63,9 +75,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 def vector_top(df: DataFrame, query: DataFrame, k: int) -> DataFrame:
     """(vec_id, dot): the k largest dot products with one query vector, the query left out."""
-    q = query.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
-    dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-    return df.join(F.broadcast(q), F.col("vec_id") != F.col("q_id")).select("vec_id", F.round(dot, 4).alias("dot")).orderBy(F.desc("dot"), "vec_id").limit(k)
+    one = query.select("vec_id", "embedding").limit(2).collect()
+    if len(one) != 1:
+        raise ValueError(f"one query vector is needed, not {len(one) or 'none'}")
+    q = F.array(*(F.lit(float(x)) for x in one[0]["embedding"]))
+    dot = F.aggregate(F.zip_with("embedding", q, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda acc, x: acc + x)
+    return df.filter(F.col("vec_id") != one[0]["vec_id"]).select("vec_id", F.round(dot, 4).alias("dot")).orderBy(F.desc("dot"), "vec_id").limit(k)
 
 
 BUCKETS = {"least": 10, "forced": 100, "usual": 10}

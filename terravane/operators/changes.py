@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import running, small
+
 
 def _rows(df: DataFrame, name: str) -> DataFrame:
     return df.select("id", F.struct(*df.columns).alias(name))
@@ -45,7 +47,7 @@ def stale(table: DataFrame, change: DataFrame) -> DataFrame:
 def checkout(log: DataFrame, chain: DataFrame) -> DataFrame:
     """Rows after the commits of a chain (commit_id, depth; 0 the oldest) over a log (commit_id, op, id, …): the last op of each id; op 0 removes."""
     cols = [c for c in log.columns if c not in ("commit_id", "op")]
-    last = log.join(F.broadcast(chain), "commit_id").groupBy("id").agg(F.max_by(F.struct("op", *cols), "depth").alias("r"))  # a commit chain is small
+    last = log.join(small(chain), "commit_id").groupBy("id").agg(F.max_by(F.struct("op", *cols), "depth").alias("r"))
     return last.filter("r.op <> 0").select(*(f"r.{c}" for c in cols))
 
 
@@ -72,5 +74,5 @@ def three_way(base: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame
 
 def numbered(df: DataFrame, content: str, order: str) -> DataFrame:
     """Rows with the key content#n, n counting equal contents in order."""
-    n = F.row_number().over(W.partitionBy(content).orderBy(order))
-    return df.withColumn("key", F.concat_ws("#", F.col(content).cast("string"), n.cast("string")))
+    rows = running(df, [content], [order], F.lit(1), "_n")
+    return rows.withColumn("key", F.concat_ws("#", F.col(content).cast("string"), F.col("_n").cast("string"))).drop("_n")

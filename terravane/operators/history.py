@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import changes
+from .shared import running
 
 
 def overlay(base: DataFrame, over: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def diff_counts(change: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _nth(df: DataFrame, by: str, order: str) -> DataFrame:
-    return df.withColumn("nth", F.row_number().over(W.partitionBy(by).orderBy(order)))
+    return running(df, [by], [order], F.lit(1), "nth")
 
 
 def realigned(mapping: DataFrame, remote: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Cutting lineage in the folder that all executors share."""
+"""What several operators need: a cut lineage, running sums over any key, broadcasts of a counted size."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -13,3 +15,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df with a broadcast hint if it has at most ``most`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def running(df: DataFrame, by: list[str], order: list[str], value: Column, name: str = "sum") -> DataFrame:
+    """df with the sum of value over the rows of the same ``by`` (null is a key too) up to and with each row in ``order``, which tells rows apart.
+
+    Rows are dealt by ranges of (by, order), so a key with most of the rows, or no key at all, spreads over tasks; sums of the
+    earlier ranges, at most one row a range and key, are added to the sums inside a range.
+    """
+    dealt = checkpointed(df.withColumn("_value", value).repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy(*by, "_part").agg(F.sum("_value").alias("_own"))
+    earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.withColumn("_before", F.coalesce(F.sum("_own").over(earlier), F.lit(0))).drop("_own")
+    inside = W.partitionBy(*by, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = dealt.withColumn(name, F.sum("_value").over(inside)).alias("r")
+    same = F.col("r._part") == F.col("b._part")
+    for c in by:
+        same = same & F.col(f"r.`{c}`").eqNullSafe(F.col(f"b.`{c}`"))
+    total = (F.col(f"r.`{name}`") + F.col("b._before")).alias(name)
+    return rows.join(before.alias("b"), same).select(*(F.col(f"r.`{c}`") for c in df.columns), total)

@@ -104,8 +104,8 @@ def groups(df: DataFrame, metres: float) -> DataFrame:
     Least-label propagation with pointer jumping; each round is checkpointed to the shared folder.
     """
     near = pairs(df, metres)
-    edges = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    now = edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("group")).checkpoint()
+    edges = checkpointed(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    now = checkpointed(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("group")))
     while True:
         seen = edges.join(now.select(F.col("id").alias("b"), "group"), "b").groupBy(F.col("a").alias("id")).agg(F.min("group").alias("seen"))
         step = now.join(seen, "id").select("id", F.col("group").alias("was"), F.least("group", "seen").alias("group"))

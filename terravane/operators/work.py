@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import running
+
 
 def _write(df: DataFrame, chosen: Column, column: str, value: Column, now: int) -> DataFrame:
     changed = chosen & ~F.col(column).eqNullSafe(value)
@@ -99,8 +100,8 @@ def invalidated(depends: dict[str, list[str]], changed: set[str], written: set[s
 
 
 def streaks(df: DataFrame, by: str, order: str, hit: Column) -> DataFrame:
-    """(by, best): the longest run of hits in order."""
-    w = W.partitionBy(by).orderBy(order)
-    rows = df.withColumn("hit", hit.cast("int")).withColumn("island", F.sum(1 - F.col("hit")).over(w))
-    runs = rows.filter("hit = 1").groupBy(by, "island").agg(F.count(F.lit(1)).alias("n"))
+    """(by, best): the longest run of hits in order, which tells rows apart; a null condition is no hit."""
+    rows = df.select(by, order, F.coalesce(hit, F.lit(False)).alias("hit"))
+    islands = running(rows, [by], [order], F.when(F.col("hit"), 0).otherwise(1), "island")
+    runs = islands.filter("hit").groupBy(by, "island").agg(F.count(F.lit(1)).alias("n"))
     return runs.groupBy(by).agg(F.max("n").alias("best"))

@@ -307,11 +307,17 @@ def _(spark, d):
     return changes.compose(steps).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("k09_checkout", "WITH l AS (SELECT event_id % 5 AS c, event_id % 97 AS id, value, CASE WHEN event_id % 11 = 0 THEN 0 ELSE 1 END AS op, event_id FROM events), s AS (SELECT c, id, max(event_id) m FROM l GROUP BY 1, 2), o AS (SELECT l.* FROM l JOIN s ON l.event_id = s.m), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC) rn FROM o) SELECT id, value FROM k WHERE rn = 1 AND op <> 0")
-def _(spark, d):
+@_query(
+    "k09_checkout",
+    """WITH l AS (SELECT event_id // 1000 AS c, user_id AS id, value, event_id, CASE WHEN event_id % 11 = 0 THEN 0 ELSE 1 END AS op FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY event_id DESC) rn FROM l) SELECT id, value FROM k WHERE rn = 1 AND op <> 0""",
+)
+def _k09(spark, d):
+    """Every thousand events are a commit, users are the rows."""
     e = spark.read.parquet(f"{d}/events.parquet")
-    log = e.groupBy((F.col("event_id") % 5).alias("commit_id"), (F.col("event_id") % 97).alias("id")).agg(F.max_by(F.struct(F.when(F.col("event_id") % 11 == 0, 0).otherwise(1).alias("op"), "value"), "event_id").alias("r")).select("commit_id", "id", "r.op", "r.value")
-    return changes.checkout(log, spark.range(5).select(F.col("id").alias("commit_id"), F.col("id").alias("depth")))
+    last = F.max_by(F.struct(F.when(F.col("event_id") % 11 == 0, 0).otherwise(1).alias("op"), "value"), "event_id").alias("r")
+    log = e.groupBy(F.floor(F.col("event_id") / 1000).alias("commit_id"), F.col("user_id").alias("id")).agg(last).select("commit_id", "id", "r.op", "r.value")
+    return changes.checkout(log, log.select("commit_id").distinct().withColumn("depth", F.col("commit_id")))
 
 
 @_query("c11_three_way", "WITH o AS (SELECT o_orderkey AS key, o_orderstatus AS h FROM orders), b AS (SELECT * FROM o WHERE key % 2 = 0), l AS (SELECT key, CASE WHEN key % 7 = 0 THEN 'L' ELSE h END AS h FROM o WHERE key % 3 <> 0), r AS (SELECT key, CASE WHEN key % 5 = 0 THEN 'R' ELSE h END AS h FROM o WHERE key % 11 <> 0), j AS (SELECT coalesce(b.key, l.key, r.key) AS key, b.h b, l.h l, r.h r FROM b FULL JOIN l ON b.key = l.key FULL JOIN r ON r.key = coalesce(b.key, l.key)) SELECT key, CASE WHEN l IS NOT DISTINCT FROM r THEN 'none' WHEN b IS NOT DISTINCT FROM l THEN CASE WHEN r IS NULL THEN 'remove_local' WHEN l IS NULL THEN 'add_local' ELSE 'update_local' END WHEN b IS NOT DISTINCT FROM r THEN CASE WHEN l IS NULL THEN 'remove_remote' WHEN r IS NULL THEN 'add_remote' ELSE 'update_remote' END ELSE 'conflict' END AS plan FROM j")

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import filters, geo
+from ..operators.shared import running
 from ..operators import analytics, asks, changes, history, intake, neighbours, procedures, sampling, search, spatial, work
 from .catalog import _L, _OLD_NEW, _QUERIES, _SQL, _filter, _halves, _hav, _query
 from ..sources import locations as _src
@@ -108,7 +109,7 @@ def _k04(spark, d):
 
 
 _REALIGN = """
-WITH o AS (SELECT o_orderkey AS k, o_custkey % 40 AS c, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS n FROM orders WHERE o_orderkey < 3000),
+WITH o AS (SELECT o_orderkey AS k, o_custkey % 40 AS c, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS n FROM orders),
 m AS (SELECT k AS local_id, n AS seq, n AS remote_id, concat('h', CAST(c AS VARCHAR)) AS hash, CASE WHEN k % 3 = 0 THEN concat('p', CAST(k // 2 AS VARCHAR)) END AS pano FROM o),
 r AS (SELECT CASE WHEN k % 10 < 5 THEN n ELSE (n + 7) % (SELECT count(*) FROM o) END AS i, CASE WHEN k % 4 = 0 THEN concat('x', CAST(k AS VARCHAR)) ELSE concat('h', CAST(c AS VARCHAR)) END AS hash, CASE WHEN k % 3 = 0 THEN concat('p', CAST(k // 2 AS VARCHAR)) END AS pano FROM o
   QUALIFY row_number() OVER (PARTITION BY CASE WHEN k % 10 < 5 THEN n ELSE (n + 7) % (SELECT count(*) FROM o) END ORDER BY k) = 1),
@@ -125,10 +126,9 @@ SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3 UNION ALL
 
 @_query("c13_realign", _REALIGN)
 def _c13(spark, d):
-    orders = spark.read.parquet(f"{d}/orders.parquet").filter("o_orderkey < 3000")
-    o = orders.select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 40).alias("c"))
-    below = o.select("k").join(F.broadcast(o.select(F.col("k").alias("j"))), F.col("j") < F.col("k"), "left").groupBy("k").agg(F.count("j").alias("n"))  # a bounded part of the table stands for two arrays
-    o = o.join(below, "k").join(F.broadcast(o.agg(F.count(F.lit(1)).alias("all"))), F.lit(True))
+    orders = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 40).alias("c"))
+    o = running(orders, [], ["k"], F.lit(1), "n").withColumn("n", F.col("n") - 1)
+    o = o.join(F.broadcast(o.agg(F.count(F.lit(1)).alias("all"))), F.lit(True))  # one row
     content = F.concat(F.lit("h"), F.col("c").cast("string"))
     pano = F.when(F.col("k") % 3 == 0, F.concat(F.lit("p"), F.floor(F.col("k") / 2).cast("string")))
     mapping = o.select(F.col("k").alias("local_id"), F.col("n").alias("seq"), F.col("n").alias("remote_id"), content.alias("hash"), pano.alias("pano"))
