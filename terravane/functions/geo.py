@@ -42,6 +42,31 @@ def closer_than(lat1, lng1, lat2, lng2, metres: float) -> Column:
     return (dlat * dlat <= metres * metres / 110000.0**2) & (scale * (x * x + dlat * dlat) < metres * metres)
 
 
+def chord_m2(lat1, lng1, lat2, lng2) -> Column:
+    """Squared straight distance through the sphere."""
+    lat1, lng1, lat2, lng2 = (F.radians(_c(x)) for x in (lat1, lng1, lat2, lng2))
+    x = F.cos(lat1) * F.cos(lng1) - F.cos(lat2) * F.cos(lng2)
+    y = F.cos(lat1) * F.sin(lng1) - F.cos(lat2) * F.sin(lng2)
+    z = F.sin(lat1) - F.sin(lat2)
+    return (x * x + y * y + z * z) * (EARTH_M * EARTH_M)
+
+
+def folded(lng: float) -> float:
+    """A longitude in [-180, 180)."""
+    return (lng + 180.0) % 360.0 - 180.0
+
+
+def ring_bounds(rings: list[list[tuple[float, float]]]) -> tuple[float, float, float, float] | None:
+    """(west, south, east, north) of outer rings of (lng, lat); west may exceed east; a full turn is the whole world."""
+    points = [p for r in rings for p in r]
+    if not points:
+        return None
+    xs, ys = [x for x, _ in points], [y for _, y in points]
+    if max(xs) - min(xs) >= 360.0:
+        return -180.0, min(ys), 180.0, max(ys)
+    return folded(min(xs)), min(ys), folded(max(xs)), max(ys)
+
+
 def bearing(lat1, lng1, lat2, lng2) -> Column:
     lat1, lng1, lat2, lng2 = (F.radians(_c(x)) for x in (lat1, lng1, lat2, lng2))
     d = lng2 - lng1

@@ -1,51 +1,200 @@
-"""Spatially spread samples: spacing by rounds of local minima, hexagonal picks, weighted order, quotas."""
+"""Spatially spread samples: spacing by rounds of local minima, hexagonal picks, thinning, weighted order, quotas, random points."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from . import spatial
-from .shared import checkpointed
+from .shared import checkpointed, running
+
+# The spacings, in metres, that a search by count tries.
+SPACINGS = [
+    25, 50, 75, 100, 125, 150, 175, 200, 225, 250, 300, 350, 400, 450, 500, 600, 700, 800, 900,
+    1000, 1250, 1500, 1750, 2000, 2250, 2500, 2750, 3000, 3300, 3600, 3900, 4200, 4500, 5000, 6000,
+    7000, 8000, 9000, 10000, 12500, 15000, 20000, 25000, 30000, 35000, 40000, 45000, 50000, 55000,
+    60000, 65000, 70000, 75000,
+]
+LATTICE_M_PER_DEGREE = math.pi * geo.EARTH_M / 180
+
+
+def shuffled(seed: int) -> Column:
+    """A reproducible random order of ids."""
+    return F.xxhash64(F.col("id"), F.lit(seed))
+
+
+def unit(seed: int, of: str = "id") -> Column:
+    """A reproducible random number in (0, 1) for each id."""
+    return (F.pmod(F.xxhash64(F.col(of), F.lit(seed)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+
+
+def _closer(metres: float) -> Column:
+    return geo.closer_than(F.col("p_lat"), F.col("p_lng"), F.col("i_lat"), F.col("i_lng"), metres)
+
+
+def _greedy(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Ids that one pass over rows (id, o) in the order of (o, id) takes, each unless a taken row is linked to it by edges (a, b).
+
+    In each round every open row that comes before all its open neighbours is taken and its neighbours go, which gives the same
+    ids as the pass; rows without edges are taken at once.
+    """
+    edges = checkpointed(edges)
+    linked = edges.select(F.col("a").alias("id")).distinct()
+    taken = rows.join(linked, "id", "left_anti").select("id")
+    open_ = rows.join(linked, "id", "left_semi").select("id", "o")
+    while True:
+        theirs = edges.join(open_.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min(F.struct("o", F.col("b").alias("id"))).alias("least"))
+        judged = open_.join(theirs, "id", "left").select("id", "o", F.coalesce(F.struct("o", "id") < F.col("least"), F.lit(True)).alias("first"))
+        near = edges.join(judged.filter("first").select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct().withColumn("gone", F.lit(True))
+        round_ = checkpointed(judged.join(near, "id", "left").filter("first OR gone IS NULL").select("id", "o", "first"))
+        taken = taken.unionByName(round_.filter("first").select("id"))
+        open_ = round_.filter("NOT first").select("id", "o")
+        if open_.isEmpty():
+            return taken
+
+
+def _firsts(rows: DataFrame, n: int) -> DataFrame:
+    """The n first of rows (id, o) in the order of (o, id)."""
+    return running(rows, [], ["o", "id"], F.lit(1), "place").filter(F.col("place") <= n).select("id")
+
+
+def spaced(df: DataFrame, metres: float, seed: int = 0, by: str | None = None, order: Column | None = None) -> DataFrame:
+    """Rows no two of which are closer than metres (with ``by``, of one value of it), such that no further row fits.
+
+    Equal to a greedy pass in ``order``, or in one shuffled by a hash of id and seed.
+    """
+    return spread_by(df, metres, _closer(metres), order if order is not None else shuffled(seed), by)
+
+
+def spread_by(df: DataFrame, metres: float, close: Column, order: Column, by: str | None = None) -> DataFrame:
+    """``spaced`` with a condition of its own, on columns p_* and i_*, for what is too close; it may hold up to metres only."""
+    keys = [by] if by else []
+    nowhere = F.coalesce(F.isnan("lat") | F.isnan("lng"), F.lit(True))  # near nothing
+    # of rows at one place only the first can be taken: one row a place makes the pairs
+    first = F.min(F.struct(order.alias("o"), "id")).alias("x")
+    places = df.groupBy(*keys, "lat", "lng", F.when(nowhere, F.col("id")).alias("_nowhere")).agg(first).select("x.id", "x.o", "lat", "lng", *keys)
+    cols = places.drop("o")
+    near = spatial.within(cols, cols, metres * 1.01).filter(close & (F.col("p_id") != F.col("i_id")))
+    if by:
+        near = near.filter(F.col(f"p_{by}").eqNullSafe(F.col(f"i_{by}")))
+    return df.join(_greedy(places.select("id", "o"), near.select(F.col("p_id").alias("a"), F.col("i_id").alias("b"))), "id", "left_semi")
+
+
+def spaced_count(df: DataFrame, n: int, seed: int = 0, least: float = 0) -> tuple[DataFrame, int]:
+    """n rows with the largest of ``SPACINGS`` (not under ``least``) at which that many fit, and that spacing.
+
+    A search by halves, so at most six passes. All rows and 0 if there are no more than n; what fits at the smallest spacing if
+    that is fewer; none if no spacing is large enough or n is 0.
+    """
+    spacings = [d for d in SPACINGS if d >= least]
+    if not spacings or n <= 0:
+        return df.limit(0), 0
+    if df.limit(n + 1).count() <= n:
+        return df, 0
+    low, high, best = 0, len(spacings) - 1, None
+    while low <= high:
+        probe = (low + high) // 2
+        ids = checkpointed(spaced(df, spacings[probe], seed).select("id"))
+        if ids.limit(n).count() >= n:
+            best, low = (ids, spacings[probe]), probe + 1
+        else:
+            high = probe - 1
+            least_ids = ids  # the last miss is at the smallest spacing if nothing fits
+    ids, metres = best or (least_ids, spacings[0])
+    first = _firsts(df.join(ids, "id", "left_semi").select("id", shuffled(seed).alias("o")), n)
+    return df.join(first, "id", "left_semi"), metres
+
+
+def lattice_node(lat: Column, lng: Column, metres: float, lat0: float = 0.0, lng0: float = 0.0) -> Column:
+    """struct(d, row, col): the nearest point of a honeycomb through (lat0, lng0), of the rows above and below, and how far it is."""
+    step = metres * math.sqrt(3) / 2 / LATTICE_M_PER_DEGREE
+    below = F.floor((lat - lat0) / step)
+
+    def in_row(r: Column) -> Column:
+        at = F.least(F.greatest(F.lit(lat0) + r * step, F.lit(-90.0)), F.lit(90.0))
+        width = F.least(F.lit(metres) / (LATTICE_M_PER_DEGREE * F.greatest(F.cos(F.radians(at)), F.lit(1e-12))), F.lit(360.0))
+        shift = F.pmod(r, F.lit(2)) * 0.5
+        steps = geo.wrap_dlng(lng - lng0) / width - shift
+        col = F.signum(steps) * F.floor(F.abs(steps) + 0.5)
+        return F.struct(geo.haversine_m(lat, lng, at, F.lit(lng0) + (col + shift) * width).alias("d"), r.cast("long").alias("row"), col.cast("long").alias("col"))
+
+    return F.least(in_row(below), in_row(below + 1))
+
+
+def even_picks(df: DataFrame, metres: float, lat0: float = 0.0, lng0: float = 0.0) -> DataFrame:
+    """(row, col, id, d): of each honeycomb cell the row nearest its centre (ties by id), best centred first, none closer than half the spacing to one before it."""
+    node = lattice_node(F.col("lat"), F.col("lng"), metres, lat0, lng0)
+    best = df.select("id", "lat", "lng", node.alias("n")).groupBy("n.row", "n.col").agg(F.min(F.struct("n.d", "id", "lat", "lng")).alias("x"))
+    picks = checkpointed(best.select("row", "col", "x.*"))
+    half = metres / 2
+    places = picks.select("id", "lat", "lng")
+    near = spatial.within(places, places, half * 1.02).filter((geo.haversine_m(F.col("p_lat"), F.col("p_lng"), F.col("i_lat"), F.col("i_lng")) < half) & (F.col("p_id") != F.col("i_id")))
+    kept = _greedy(picks.select("id", F.col("d").alias("o")), near.select(F.col("p_id").alias("a"), F.col("i_id").alias("b")))
+    return picks.join(kept, "id", "left_semi").select("row", "col", "id", "d")
+
+
+def thinned(df: DataFrame, cell: list[str], keep: float, evenness: float, per_cell: int, u: Column) -> DataFrame:
+    """Rows kept cell by cell: a flat share, an even number a cell, or a mixture of both; u is a number in [0, 1) for each row."""
+    counts = df.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
+    rate = F.lit((1 - evenness) * keep) + F.least(F.lit(1.0), F.lit(float(per_cell)) / F.col("_n")) * evenness
+    return df.join(counts, cell).filter(u < rate).select(*df.columns)
+
+
+def preferred(df: DataFrame, by: str, goals: DataFrame, preferences: list[tuple[Column, int | None, str | None]], metres: float, seed: int = 0) -> DataFrame:
+    """(by, id, tag): places of each group handed out preference after preference, no two of a group closer than metres.
+
+    goals (by, quota) says how many a group gets. A preference (condition, percent, tag) takes that part of the goal, halves to
+    even; with percent None, what is left of it. Rows near one that an earlier preference placed are out of the question.
+    """
+    placed, left = None, df
+    for k, (condition, percent, tag) in enumerate(preferences):
+        if placed is not None:
+            p = left.select("id", "lat", "lng", by)
+            near = spatial.within(p, placed.select("id", "lat", "lng", by), metres * 1.01).filter(_closer(metres) & F.col(f"p_{by}").eqNullSafe(F.col(f"i_{by}")))
+            left = left.join(near.select(F.col("p_id").alias("id")).distinct(), "id", "left_anti")
+        fit = spaced(left.filter(condition), metres, seed, by)
+        order = running(fit.select("id", by, shuffled(seed).alias("o")), [by], ["o", "id"], F.lit(1), "place")
+        quota = goals.select(F.col(by).alias("_by"), F.col("quota"))
+        if percent is not None:
+            quota = quota.withColumn("quota", F.bround(F.col("quota").cast("decimal(20,0)") * percent / F.lit(100).cast("decimal(3,0)"), 0))
+        elif placed is not None:
+            used = placed.groupBy(F.col(by).alias("_used")).agg(F.count(F.lit(1)).alias("used"))
+            quota = quota.join(used, F.col("_by").eqNullSafe(F.col("_used")), "left").select("_by", (F.col("quota") - F.coalesce("used", F.lit(0))).alias("quota"))
+        taken = order.join(quota, F.col(by).eqNullSafe(F.col("_by"))).filter(F.col("place") <= F.col("quota")).select("id")
+        now = df.join(taken, "id", "left_semi").select("id", "lat", "lng", by, F.lit(tag).cast("string").alias("tag"))
+        placed = checkpointed(now if placed is None else placed.unionByName(now))
+    return placed.select(by, "id", "tag")
+
+
+def random_points(spark, rings: list[list[tuple[float, float]]], n: int, seed: int = 0) -> DataFrame:
+    """(id, lat, lng): up to n points evenly spread over the area of a polygon (outer ring and holes), from at most 200 n draws."""
+    xs, ys = [x for x, _ in rings[0]], [y for _, y in rings[0]]
+    west, east, south, north = min(xs), max(xs), math.sin(math.radians(min(ys))), math.sin(math.radians(max(ys)))
+    draws = spark.range(200 * n).select("id", (F.lit(west) + unit(seed) * (east - west)).alias("lng"), F.degrees(F.asin(F.lit(south) + unit(seed + 1) * (north - south))).alias("lat"))
+    inside = draws.filter(geo.in_polygon(F.col("lat"), F.col("lng"), rings))
+    first = running(inside, [], ["id"], F.lit(1), "place").filter(F.col("place") <= n)
+    return first.select(F.col("place").alias("id"), "lat", geo.wrap_dlng(F.col("lng")).alias("lng"))
 
 
-def spaced(df: DataFrame, metres: float, seed: int = 0) -> DataFrame:
-    """Rows no two of which lie within metres, such that no further row fits.
+def poisson_points(spark, rings: list[list[tuple[float, float]]], metres: float, seed: int = 0) -> DataFrame:
+    """(id, lat, lng): random points of a polygon no two of which are closer than metres, dense enough that few more would fit.
 
-    Equal to a greedy pass in an order shuffled by a hash of id and seed: in each round every row that comes before
-    all its open neighbours is taken and its neighbours go. Rounds run on the neighbour pairs only.
+    Candidates, some 20 for each disc that could fit the outer ring's box, are thinned by ``spaced``: a parallel form of dart throwing.
     """
-    order = F.xxhash64(F.col("id"), F.lit(seed))
-    near = spatial.within(df.select("id", "lat", "lng"), df.select("id", "lat", "lng"), metres).filter("p_id <> i_id AND d2 < " + repr(metres * metres))
-    edges = checkpointed(near.select(F.col("p_id").alias("a"), F.col("i_id").alias("b")))
-    open_ = checkpointed(df.select("id", order.alias("o")))
-    taken = open_.limit(0)
-    while open_.limit(1).count():
-        live = edges.join(open_.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(open_.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b")
-        beaten = live.filter("ob < oa OR (ob = oa AND b < a)").select(F.col("a").alias("id")).distinct()
-        first = checkpointed(open_.join(beaten, "id", "left_anti"))
-        taken = checkpointed(taken.unionByName(first))
-        gone = live.join(first.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).unionByName(first.select("id"))
-        open_ = checkpointed(open_.join(gone.distinct(), "id", "left_anti"))
-    return df.join(taken.select("id"), "id", "left_semi")
-
-
-def even_picks(df: DataFrame, metres: float) -> DataFrame:
-    """(row, col, id): of each cell of a brick lattice of hexagonal spacing, the row nearest its centre, ties by id."""
-    step = metres * 3**0.5 / 2 / 111194.92664455873
-    r = F.floor(F.col("lat") / step + 0.5)
-    width = F.lit(metres / 111194.92664455873) / F.greatest(F.cos(F.radians(r * step)), F.lit(1e-6))
-    shift = F.pmod(r, F.lit(2)) * 0.5
-    c = F.floor(F.col("lng") / width - shift + 0.5)
-    d = geo.flat_m2(r * step, (c + shift) * width, F.col("lat"), F.col("lng"))
-    return df.select(r.cast("long").alias("row"), c.cast("long").alias("col"), F.struct(d.alias("d"), "id").alias("x")).groupBy("row", "col").agg(F.min("x").alias("x")).select("row", "col", "x.id")
+    xs, ys = [x for x, _ in rings[0]], [y for _, y in rings[0]]
+    area = math.radians(max(xs) - min(xs)) * (math.sin(math.radians(max(ys))) - math.sin(math.radians(min(ys)))) * geo.EARTH_M**2
+    draws = int(20 * area / (metres * metres)) + 20
+    south, north = math.sin(math.radians(min(ys))), math.sin(math.radians(max(ys)))
+    rows = spark.range(draws).select("id", (F.lit(min(xs)) + unit(seed) * (max(xs) - min(xs))).alias("lng"), F.degrees(F.asin(F.lit(south) + unit(seed + 1) * (north - south))).alias("lat"))
+    return spaced(rows.filter(geo.in_polygon(F.col("lat"), F.col("lng"), rings)), metres, seed)
 
 
 def weighted_order(df: DataFrame, weight: Column, seed: int = 0) -> DataFrame:
     """Rows in a random order that favours weight: by -ln(u) / w, u from a hash; a weight of 0 or less counts as very small."""
-    u = (F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
-    return df.orderBy(-F.ln(u) / F.greatest(weight, F.lit(1e-12)), "id")
+    return df.orderBy(-F.ln(unit(seed)) / F.greatest(weight, F.lit(1e-12)), "id")
 
 
 def quotas(df: DataFrame, by: str, goal: int) -> DataFrame:

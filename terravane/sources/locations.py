@@ -1,7 +1,11 @@
-"""The locations table: derived from events, or read from JSON and CSV files."""
+"""The locations table: derived from events, or read from JSON, zipped JSON and CSV files; polygons from GeoJSON."""
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,16 +43,61 @@ def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
+_ITEM = "struct<lat:double,latitude:double,lng:double,longitude:double,lon:double,heading:double,pitch:double,zoom:double,panoId:string,pano:string,pano_id:string,countryCode:string,stateCode:string,extra:string>"
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Map documents {customCoordinates | locations: [...]} or bare arrays; malformed objects and coordinates that aren't finite are skipped."""
-    item = "struct<lat:double,latitude:double,lng:double,longitude:double,lon:double,heading:double,pitch:double,zoom:double,panoId:string,pano:string,pano_id:string,countryCode:string,stateCode:string,extra:string>"
-    text = spark.read.text(path, wholetext=True).select(F.col("value"))
+    """Map documents {customCoordinates | locations: [...]} or bare arrays, each file one row; see ``from_documents``."""
+    return from_documents(spark.read.text(path, wholetext=True))
+
+
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One location object a line, so files split; like ``read_json`` otherwise. ``pos`` is 0."""
+    return from_documents(spark.read.text(path).filter(F.ltrim("value").startswith("{")).select(F.concat(F.lit("["), "value", F.lit("]")).alias("value")))
+
+
+def read_zip(spark: SparkSession, path: str) -> DataFrame:
+    """Archives of map documents: each .json entry is a document; ``entry`` is its name, ``pos`` the place in it. An archive is read by one task, entry by entry."""
+
+    def entries(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in sorted(n for n in z.namelist() if n.lower().endswith(".json")):
+                        yield pd.DataFrame({"entry": [name], "value": [z.read(name).decode("utf-8-sig")]})
+
+    return from_documents(spark.read.format("binaryFile").load(path).select("content").mapInPandas(entries, "entry string, value string"), "entry")
+
+
+def polygons(df: DataFrame, column: str = "value") -> DataFrame:
+    """(rings): a row for each polygon of GeoJSON texts: the outer ring and its holes, of [lng, lat]; any other geometry, or none, fails."""
+    shape = "struct<type:string,features:array<struct<geometry:string>>,geometry:string,geometries:array<string>,coordinates:string>"
+    top = df.select(F.from_json(column, shape).alias("g"), F.col(column).alias("text"))
+    texts = F.when(F.col("g.type") == "FeatureCollection", F.transform("g.features", lambda f: f["geometry"])).when(F.col("g.type") == "Feature", F.array("g.geometry")).otherwise(F.array("text"))
+    left = top.select(F.explode(texts).alias("text"))
+    out, kind = None, F.col("g.type")
+    while True:  # one round for each level of nested collections
+        left = left.select(F.coalesce(F.from_json("text", shape), F.from_json(F.lit("{}"), shape)).alias("g"))
+        several = F.from_json("g.coordinates", "array<array<array<array<double>>>>")
+        one = F.array(F.from_json("g.coordinates", "array<array<array<double>>>"))
+        other = F.raise_error(F.concat(F.lit("unsupported GeoJSON geometry: "), F.coalesce(kind, F.lit("none")))).cast("array<array<array<array<double>>>>")
+        found = left.filter(~kind.eqNullSafe("GeometryCollection")).select(F.explode(F.when(kind == "Polygon", one).when(kind == "MultiPolygon", several).otherwise(other)).alias("rings"))
+        out = found if out is None else out.unionByName(found)
+        left = left.filter(kind == "GeometryCollection").select(F.explode("g.geometries").alias("text"))
+        if not left.limit(1).count():
+            return out.select(F.transform("rings", lambda ring: F.transform(ring, lambda p: F.slice(p, 1, 2))).alias("rings"))
+
+
+def from_documents(text: DataFrame, *keep: str) -> DataFrame:
+    """Rows of map documents in ``value``; malformed objects and coordinates that aren't finite are skipped."""
+    item = _ITEM
     doc = F.from_json("value", f"struct<customCoordinates:array<{item}>,locations:array<{item}>>")
     bare = F.from_json("value", f"array<{item}>")
-    rows = text.select(F.posexplode(F.coalesce(F.when(F.ltrim("value").startswith("["), bare), doc["customCoordinates"], doc["locations"])).alias("pos", "r")).select("pos", "r.*")
+    rows = text.select(*keep, F.posexplode(F.coalesce(F.when(F.ltrim("value").startswith("["), bare), doc["customCoordinates"], doc["locations"])).alias("pos", "r")).select(*keep, "pos", "r.*")
     pano = F.coalesce("panoId", "pano", "pano_id")
     lat, lng = F.coalesce("lat", "latitude"), F.coalesce("lng", "longitude", "lon")
     out = rows.select(
+        *keep,
         "pos",
         lat.alias("lat"),
         lng.alias("lng"),

@@ -1,10 +1,13 @@
-"""Counts kept up to date from a change log by Structured Streaming."""
+"""Tables kept up to date by Structured Streaming: counts from a change log, a capped log, a spaced sample."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geo
+from ..operators import sampling, spatial
+
 CHANGES = "version long, id long, before struct<id:long,event_type:string,heading:double>, after struct<id:long,event_type:string,heading:double>"
 
 
@@ -42,3 +45,26 @@ def capped_log(spark, in_path: str, schema: str, out_path: str, checkpoint: str,
         old.unionByName(batch).orderBy(F.desc("at"), F.desc("id")).limit(most).write.mode("overwrite").parquet(f"{out_path}/{n}")
 
     stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def spaced_stream(spark, in_path: str, schema: str, out_path: str, checkpoint: str, metres: float) -> None:
+    """Of points (id, lat, lng, …) as they arrive, keep those at least metres, straight through the sphere, from all kept before.
+
+    A batch drops what is too close to earlier batches by a semi join on cells, then takes points in the order of ids. Its picks
+    are a folder of their own, so a batch that runs twice writes the same folder again.
+    """
+    stream = spark.readStream.schema(schema).parquet(in_path)
+
+    def keep(batch: DataFrame, n: int) -> None:
+        points = batch.dropDuplicates(["id"])
+        if n:
+            earlier = spark.read.schema(schema).parquet(*(f"{out_path}/{k}" for k in range(n)))
+            crowded = spatial.near_ids(points, earlier, metres * 1.01, _chord() < metres * metres)
+            points = points.join(crowded, "id", "left_anti")
+        sampling.spread_by(points, metres, _chord() < metres * metres, F.col("id")).write.mode("overwrite").parquet(f"{out_path}/{n}")
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _chord() -> Column:
+    return geo.chord_m2(F.col("p_lat"), F.col("p_lng"), F.col("i_lat"), F.col("i_lng"))
