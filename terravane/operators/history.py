@@ -11,27 +11,35 @@ from .shared import running
 
 
 def overlay(base: DataFrame, over: DataFrame) -> DataFrame:
-    """base under a layer (id, op, …): add gives a row, remove takes one, patch writes what it holds over a row that is there."""
+    """base under a layer (id, op, …): add gives a row, remove takes one, patch writes over a row that is there.
+
+    A layer with ``written``, the names of the columns that a patch writes, writes nulls too and so clears fields; without it a
+    patch writes what it holds.
+    """
     cols = [c for c in base.columns if c != "id"]
-    above = over.filter("op <> 'add'").select("id", "op", *(F.col(c).alias(f"o_{c}") for c in cols))
+    named = ["written"] if "written" in over.columns else []
+    above = over.filter("op <> 'add'").select("id", "op", *named, *(F.col(c).alias(f"o_{c}") for c in cols))
     under = base.join(above, "id", "left").filter(~F.col("op").eqNullSafe("remove"))
-    kept = under.select("id", *(F.coalesce(F.col(f"o_{c}"), F.col(c)).alias(c) for c in cols))
+    value = lambda c: F.when(F.coalesce(F.array_contains("written", c), F.lit(False)), F.col(f"o_{c}")).otherwise(F.col(c)) if named else F.coalesce(F.col(f"o_{c}"), F.col(c))
+    kept = under.select("id", *(value(c).alias(c) for c in cols))
     return kept.unionByName(over.filter("op = 'add'").select("id", *cols))
 
 
 def edited(table: DataFrame, edits: DataFrame) -> DataFrame:
     """table after row edits (id, seq, op, …) in their order: add and set give the whole row, remove takes it, put patches a row that is there.
 
-    The last add, set or remove of an id is what later puts stand on; column by column the last put that holds a value wins.
+    The last add, set or remove of an id is what later puts stand on; column by column the last put that writes it wins. A put
+    writes the columns it names in ``written``, nulls too, or, where edits have no such column, the values it holds.
     """
     cols = [c for c in table.columns if c != "id"]
     reset = F.max(F.when(F.col("op") != "put", F.col("seq"))).over(W.partitionBy("id"))
     live = edits.withColumn("reset", reset).filter("reset IS NULL OR seq >= reset")
-    first = F.max_by(F.struct("op", *cols), "seq")
-    by = live.groupBy("id").agg(F.max("reset").alias("reset"), F.max(F.when(F.col("seq") == F.col("reset"), F.col("op"))).alias("op"), *(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"e_{c}") for c in cols), first.alias("last"))
+    writes = lambda c: (F.col("op") != "put") | F.coalesce(F.array_contains("written", c), F.lit(False)) if "written" in edits.columns else F.col(c).isNotNull()
+    last = lambda c: F.max_by(F.struct(F.col(c).alias("v")), F.when(writes(c), F.col("seq"))).alias(f"e_{c}")
+    by = live.groupBy("id").agg(F.max("reset").alias("reset"), F.max(F.when(F.col("seq") == F.col("reset"), F.col("op"))).alias("op"), *(last(c) for c in cols))
     both = table.withColumn("there", F.lit(True)).join(by, "id", "full_outer")
     out = both.filter(F.when(F.col("op") == "remove", False).when(F.col("reset").isNotNull(), True).otherwise(F.coalesce("there", F.lit(False))))
-    value = lambda c: F.when(F.col("reset").isNotNull(), F.col(f"e_{c}")).otherwise(F.coalesce(F.col(f"e_{c}"), F.col(c)))
+    value = lambda c: F.when(F.col("reset").isNotNull() | F.col(f"e_{c}").isNotNull(), F.col(f"e_{c}.v")).otherwise(F.col(c))
     return out.select("id", *(value(c).alias(c) for c in cols))
 
 

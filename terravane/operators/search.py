@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,9 +11,27 @@ from pyspark.sql import functions as F
 SECONDARY = 0.7
 
 
+def fold(text: str) -> str:
+    """A text as searches see it: compatibility forms taken apart, marks taken off, lower case."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.category(c).startswith("M")).lower()
+
+
+def _alphabets() -> tuple[dict[str, str], dict[str, str]]:
+    """Letters of Latin, Greek, Cyrillic, kana and full-width forms that fold to one other character, and to several."""
+    ranges = ((0xA0, 0x250), (0x370, 0x530), (0x1E00, 0x2000), (0x2000, 0x2070), (0x3040, 0x3100), (0xFB00, 0xFB07), (0xFF01, 0xFF5F))
+    told = {chr(c): fold(chr(c)) for lo, hi in ranges for c in range(lo, hi)}
+    return {c: f for c, f in told.items() if len(f) == 1 and f != c}, {c: f for c, f in told.items() if len(f) > 1 and c.isalpha()}
+
+
+_ONE, _SEVERAL = _alphabets()
+
+
 def folded(c: Column) -> Column:
-    """Lower case without accents of Latin letters."""
-    return F.lower(F.translate(F.lower(c), "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy"))
+    """``fold`` as a column, for the alphabets of ``_alphabets`` and any combining marks; built-in functions only."""
+    c = F.translate(F.regexp_replace(c, r"\p{M}+", ""), "".join(_ONE), "".join(_ONE.values()))
+    for letter, letters in _SEVERAL.items():
+        c = F.replace(c, F.lit(letter), F.lit(letters))
+    return F.lower(c)
 
 
 def token_score(hay: Column, token: str) -> Column:
@@ -28,8 +47,8 @@ def token_score(hay: Column, token: str) -> Column:
 
 
 def search(df: DataFrame, query: str, texts: list[str], order: str) -> DataFrame:
-    """df with ``score``, best first, ties in source order: every token must be in one of the texts, later texts count less; an empty query finds all."""
-    tokens = query.lower().split()
+    """df with ``score``, best first, ties in source order: every token must be in one of the texts, later texts count less; an empty query finds all. Query and texts are folded alike."""
+    tokens = fold(query).split()
     if not tokens:
         return df.withColumn("score", F.lit(1.0)).orderBy(order)
     each = [folded(F.coalesce(F.col(t), F.lit(""))) for t in texts]

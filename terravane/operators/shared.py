@@ -39,3 +39,22 @@ def running(df: DataFrame, by: list[str], order: list[str], value: Column, name:
         same = same & F.col(f"r.`{c}`").eqNullSafe(F.col(f"b.`{c}`"))
     total = (F.col(f"r.`{name}`") + F.col("b._before")).alias(name)
     return rows.join(before.alias("b"), same).select(*(F.col(f"r.`{c}`") for c in df.columns), total)
+
+
+def latest(df: DataFrame, by: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """df with, for each name, the last value that isn't null among the earlier rows of the same ``by`` in ``order``, the row left out.
+
+    Dealt as in ``running``: a key with most of the rows spreads over tasks, and only the last values of a range, one row a range
+    and key, are carried on to later ranges.
+    """
+    dealt = checkpointed(df.withColumns({f"_v_{n}": v for n, v in values.items()}).repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    place = F.struct(*order)
+    ends = dealt.groupBy(*by, "_part").agg(*(F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), place)).alias(f"_l_{n}") for n in values))
+    earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(*by, "_part", *(F.last(f"_l_{n}", True).over(earlier).alias(f"_c_{n}") for n in values))
+    inside = W.partitionBy(*by, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = dealt.withColumns({f"_w_{n}": F.last(f"_v_{n}", True).over(inside) for n in values}).alias("r")
+    same = F.col("r._part") == F.col("b._part")
+    for c in by:
+        same = same & F.col(f"r.`{c}`").eqNullSafe(F.col(f"b.`{c}`"))
+    return rows.join(carried.alias("b"), same).select(*(F.col(f"r.`{c}`") for c in df.columns), *(F.coalesce(F.col(f"r._w_{n}"), F.col(f"b._c_{n}")).alias(n) for n in values))
