@@ -121,3 +121,11 @@ def painted(named: list[tuple[str, Column]]) -> Column:
 def with_unknown(df: DataFrame, key: Column) -> DataFrame:
     """(key, n), rows without a key as unknown."""
     return df.groupBy(F.coalesce(key, F.lit("unknown")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def spaced_ids(df: DataFrame, n: int, seed: int = 0, least: float = 0) -> DataFrame:
+    """(id, metres): n rows as far apart as n fit, each with the spacing that was settled on."""
+    from .sampling import spaced_count
+
+    some, metres = spaced_count(df, n, seed, least)
+    return some.select("id", F.lit(metres).alias("metres"))

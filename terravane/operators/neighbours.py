@@ -22,8 +22,12 @@ def neighbour_filter(df: DataFrame, metres: float, bound: str, limit: int | None
     none pass if any one of the four sides does. No neighbour is 0 percent, and not all; a bound that needs a limit fails without.
     """
     rows = candidates if candidates is not None else df
-    near = spatial.within(rows, df, metres * 1.01).filter(geo.closer_than(F.col("p_lat"), F.col("p_lng"), F.col("i_lat"), F.col("i_lng"), metres) & (F.col("p_id") != F.col("i_id")))
+    other = geo.closer_than(F.col("p_lat"), F.col("p_lng"), F.col("i_lat"), F.col("i_lng"), metres) & (F.col("p_id") != F.col("i_id"))
     good = matches if matches is not None else F.lit(True)
+    if bound in ("some", "none") and not separately:  # the first neighbour that matches settles it: no pairs
+        hit = spatial.matching_ids(rows, df, metres * 1.01, other & good)
+        return rows.join(hit, "id", "left_semi" if bound == "some" else "left_anti").select(*rows.columns)
+    near = spatial.within(rows, df, metres * 1.01).filter(other)
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     found = near.groupBy(F.col("p_id").alias("id")).agg(F.count(F.lit(1)).alias("n_all"), count(good).alias("n_good"), *(count(good & side).alias(f"n_{name}") for name, side in _sides().items()))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import feed, history, search, work
+from ..operators import feed, history, neighbours, search, spatial, work
 from .catalog import _L, _query
 
 
@@ -104,3 +104,28 @@ def _accent_sql(token: str) -> str:
 def _q04(spark, d):
     """Accents and case differ between query and texts, and don't matter."""
     return search.search(spark.read.parquet(f"{d}/benchmark.parquet"), "CÍÓN läé", ["text"], "item_id").select("item_id", F.round("score", 9).alias("score"))
+
+
+_NEAR = """n AS (SELECT a.id AS id, b.id AS other, b.heading, pow(radians(b.lng - a.lng) * cos(radians(a.lat)), 2) + pow(radians(b.lat - a.lat), 2) AS d FROM locations a JOIN locations b ON b.lat BETWEEN a.lat - 0.01 AND a.lat + 0.01 WHERE 6371000.0 * 6371000.0 * (pow(radians(b.lng - a.lng) * cos(radians(a.lat)), 2) + pow(radians(b.lat - a.lat), 2)) <= 500.0 * 500.0)"""
+
+
+@_query("c05_fields", f"{_L}, {_NEAR} SELECT id, count(*) AS n, max(heading) AS most, round(6371000.0 * sqrt(max(d)), 2) AS metres FROM n GROUP BY id")
+def _c05(df):
+    """Neighbours within 500 metres with a requested field and their distance: how many, their largest heading, how far the last is."""
+    found = spatial.neighbours(df, 500.0, ["heading"])
+    last = F.element_at("neighbours", -1)
+    return found.select("id", F.size("neighbours").cast("long").alias("n"), F.array_max(F.transform("neighbours", lambda x: x["heading"])).alias("most"), F.round(last["metres"], 2).alias("metres"))
+
+
+_CLOSER = "pow(b.lat - a.lat, 2) <= pow(300.0 / 110000.0, 2) AND pow(6371137.0 * pi() / 180, 2) * (pow((b.lng - a.lng) * cos((a.lat + b.lat) * (pi() / 360)), 2) + pow(b.lat - a.lat, 2)) < 300.0 * 300.0"
+
+
+@_query("c15_some", f"{_L} SELECT a.id FROM locations a WHERE EXISTS (SELECT 1 FROM locations b WHERE b.id <> a.id AND b.lat BETWEEN a.lat - 0.01 AND a.lat + 0.01 AND b.heading > a.heading AND {_CLOSER})")
+def _c15_some(df):
+    """Rows with a neighbour of a larger heading within 300 metres: a semi join."""
+    return neighbours.neighbour_filter(df, 300.0, "some", matches=F.col("i_heading") > F.col("p_heading")).select("id")
+
+
+@_query("c15_none", f"{_L} SELECT a.id FROM locations a WHERE NOT EXISTS (SELECT 1 FROM locations b WHERE b.id <> a.id AND b.lat BETWEEN a.lat - 0.01 AND a.lat + 0.01 AND b.heading > a.heading AND {_CLOSER})")
+def _c15_none(df):
+    return neighbours.neighbour_filter(df, 300.0, "none", matches=F.col("i_heading") > F.col("p_heading")).select("id")
