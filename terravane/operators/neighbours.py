@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.filters import compile_filter, conjuncts
 from . import spatial
 from .shared import checkpointed
 
@@ -53,6 +54,30 @@ def neighbour_filter(df: DataFrame, metres: float, bound: str, limit: int | None
     return rows.join(found, "id", "left").filter(passes).select(*rows.columns)
 
 
+COUNTING = ("some", "none", "gte", "lte")
+
+
+def neighbour_filter_by(df: DataFrame, metres: float, bound: str, text: str, properties: dict[str, tuple[str, str]], limit: int | None = None, separately: bool = False, candidates: DataFrame | None = None) -> DataFrame:
+    """``neighbour_filter`` with a condition of the filter language; properties: name -> (kind, column of df).
+
+    For bounds that only count matches, the parts of the condition that don't ask of the centre row choose the neighbours before
+    any are paired. For shares and ``all`` every neighbour counts, so nothing is taken out.
+    """
+    side = lambda prefix: {n: (kind, F.col(f"{prefix}{c}")) for n, (kind, c) in properties.items()}
+    parts = [] if not text.strip() or text.strip() == "*" else conjuncts(text)
+    rows = candidates if candidates is not None else df
+    around = df
+    if bound in COUNTING:
+        for part, both in parts:
+            if not both:
+                around = around.filter(compile_filter(part, side("")))
+        parts = [p for p in parts if p[1]]
+    matches = F.lit(True)
+    for part, _ in parts:
+        matches = matches & compile_filter(part, side("i_"), side("p_"))
+    return neighbour_filter(around, metres, bound, limit, matches, separately, rows)
+
+
 def _links(df: DataFrame, metres: float) -> DataFrame:
     p = spatial.pairs(df, metres)
     return p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b")))
