@@ -111,9 +111,12 @@ def _grams(total: int):
             # a place for each key on the line of all occurrences: inside its first word's part by the second, inside that by the third
             place = before[x] + often[x] * ((before[y] + often[y] * (before[z] / total)) / total)
             range_ = (place / _RANGE).astype(np.int64)
-            for r in np.unique(range_):
-                pick = range_ == r
-                out.append((r, np.stack([ids[x[pick]], ids[y[pick]], ids[z[pick]]], 1).astype("<u4").tobytes(), n[pick].astype("<i8").tobytes()))
+            order = np.lexsort((n == 1, range_))  # in a range, keys that occur once come last and need no count
+            range_, n, packed = range_[order], n[order], np.stack([ids[x], ids[y], ids[z]], 1).astype("<u4")[order]
+            cuts = np.flatnonzero(np.diff(range_)) + 1
+            for some, r, times in zip(np.split(packed, cuts), np.split(range_, cuts), np.split(n, cuts)):
+                if len(r):
+                    out.append((r[0], some.tobytes(), times[times > 1].astype("<i4").tobytes()))
         return pa.table([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["range", "keys", "n"])
 
     return run
@@ -121,8 +124,10 @@ def _grams(total: int):
 
 def _counted(least: int):
     def run(group: pa.Table) -> pa.Table:
-        ids = np.frombuffer(b"".join(group["keys"].to_pylist()), "<u4").reshape(-1, 3)
-        ids, n = run_lengths(ids, np.frombuffer(b"".join(group["n"].to_pylist()), "<i8"))
+        ids = [np.frombuffer(b, "<u4").reshape(-1, 3) for b in group["keys"].to_pylist()]
+        n = [np.frombuffer(b, "<i4") for b in group["n"].to_pylist()]
+        n = [np.concatenate([c, np.ones(len(k) - len(c), np.int64)]) for k, c in zip(ids, n)]
+        ids, n = run_lengths(np.concatenate(ids), np.concatenate(n))
         keep = n >= least
         columns = [ids[keep, k].astype(np.int64) for k in range(3)] + [n[keep]]
         return pa.table([pa.array(c) for c in columns], names=["i1", "i2", "i3", "a"])
