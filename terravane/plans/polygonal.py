@@ -143,7 +143,7 @@ def _o03(spark, d):
     probe = areas.honeycomb_points(areas.honeycomb_runs(f, 120_000.0)).withColumn("id", F.struct("pos", "lat", "lng")).select("id", "lat", "lng", "pos")
     pairs = spatial.within(p, p, 505_000.0).filter(_near(500_000.0) & (F.col("p_id") < F.col("i_id")) & (F.col("p_pos") == F.col("i_pos")))
     close = pairs.groupBy(F.col("p_pos").alias("pos")).agg(F.count(F.lit(1)).alias("c"))
-    met = spatial.within(probe, p, 1_010_000.0).filter(_near(1_000_000.0) & (F.col("p_pos") == F.col("i_pos"))).select(F.col("p_id").alias("id")).distinct()
+    met = spatial.within(probe, p, 1_000_000.0).filter(F.col("p_pos") == F.col("i_pos")).select(F.col("p_id").alias("id")).distinct()
     bare = probe.join(met, "id", "left_anti").groupBy("pos").agg(F.count(F.lit(1)).alias("u"))
     zero = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
     return f.select("pos").join(close, "pos", "left").join(bare, "pos", "left").select("pos", zero("c", "too_close"), zero("u", "uncovered"))
