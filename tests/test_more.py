@@ -52,9 +52,9 @@ def test_pruning_is_the_sequential_rule(spark, metres, brute):
     assert {r.id for r in neighbours.pruned(df, metres, F.col("s")).collect()} == brute(rows, metres)
 
 
-def test_filter_errors_and_names():
+def test_filter_errors_and_names(spark):
     props = {"Heading": ("long", F.lit(1)), "Kind": ("text", F.lit("a"))}
-    for text, at in (("Heding gt 1", 0), ("Heading gt", 10), ("Heading gt 1 )", 13), ("Heading # 1", 8), ("Kind gt 1", 9), ("Heading + 1", 11), ("Kind - 1 eq 2", 9), ("(Heading eq 1", 13)):
+    for text, at in (("Heding gt 1", 0), ("Heading gt", 10), ("Heading gt 1 )", 13), ("Heading # 1", 8), ("Kind gt 1", 5), ("Heading + 1", 11), ("Kind - 1 eq 2", 5), ("(Heading eq 1", 13)):
         with pytest.raises(filters.FilterError) as e:
             filters.compile_filter(text, props)
         assert e.value.at == at, text
