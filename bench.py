@@ -10,7 +10,7 @@ import time
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
-HEADLINE = ["flagship", "c01_duplicates", "c03_near_any", "c04_held", "d04_forest_counts", "e02_ranked", "f06_group_by_tag", "f07_count_by_fields", "f08_bins_by_count", "f12_day", "f14_bounds", "g01_pivot", "g05_kruskal", "j01_set", "j05_list_set", "j06_merge", "k01_between", "k02_apply", "c11_three_way", "g16_vector_search"]
+HEADLINE = ["flagship", "c01_duplicates", "c03_near_any", "c04_held", "d04_forest_counts", "e02_ranked", "f06_group_by_tag", "f07_count_by_fields", "f08_bins_by_count", "f12_day", "f14_bounds", "g01_pivot", "g05_kruskal", "j01_set", "j05_list_set", "j06_merge", "k01_between", "k02_apply", "c11_three_way", "g16_vector_search", "f15_components", "c05_neighbours", "c15_some", "c07_table", "m04_feed", "i15_max_spacing"]
 
 
 def main() -> None:
