@@ -60,6 +60,11 @@ def layer(ops: DataFrame) -> DataFrame:
 
 def three_way(base: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
     """(key, plan) of tables (key, hash): what a synchronisation does with each key."""
+    return _planned(base, local, remote).select("key", "plan")
+
+
+def _planned(base: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
+    """(key, b, l, r, plan): the hashes of the three sides beside what is to be done."""
     b, lo, r = (d.select("key", F.col("hash").alias(n)) for d, n in ((base, "b"), (local, "l"), (remote, "r")))
     j = b.join(lo, "key", "full_outer").join(r, "key", "full_outer")
     same = lambda x, y: F.col(x).eqNullSafe(F.col(y))
@@ -69,7 +74,42 @@ def three_way(base: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame
         .when(same("b", "r"), F.when(F.col("l").isNull(), "remove_remote").when(F.col("r").isNull(), "add_remote").otherwise("update_remote"))
         .otherwise("conflict")
     )
-    return j.select("key", plan.alias("plan"))
+    return j.select("key", "b", "l", "r", plan.alias("plan"))
+
+
+def synchronised(base: DataFrame, local: DataFrame, remote: DataFrame, first: str = "merge", pull_only: bool = False, sides: DataFrame | None = None) -> DataFrame:
+    """(key, plan, hash) of tables (key, hash): what a synchronisation does with each key, and the hash its base has afterwards.
+
+    Conflicts go to the side that ``sides`` (key, side: local or remote) names, on a link that only pulls always to the remote one;
+    others stay conflicts. A first synchronisation, one with an empty base, merges both tables, or mirrors one: what only the other
+    holds is removed there (``first``: merge, remote, local). A link that only pulls leaves local edits and removals be (``held``)
+    and local additions alone (``none``). Keys in conflict or held keep their base; a null hash is a key without one.
+    An empty remote table under a base that isn't is an error, not a removal of everything.
+    """
+    if first not in ("merge", "remote", "local"):
+        raise ValueError(f"unknown first synchronisation: {first}")
+    if pull_only and first == "local":
+        raise ValueError("a link that only pulls can't mirror the local table")
+    initial = base.isEmpty()
+    if not initial and remote.isEmpty():
+        raise ValueError("the remote table came back empty; nothing was synchronised")
+    rows = _planned(base, local, remote)
+    if sides is not None:
+        rows = rows.join(sides.select("key", "side"), "key", "left")
+    side = F.lit("remote") if pull_only else F.col("side") if sides is not None else F.lit(None).cast("string")
+    wins = lambda to, mine, theirs: F.when(F.col(mine).isNull(), f"remove_{to}").when(F.col(theirs).isNotNull(), f"update_{to}").otherwise(f"add_{to}")
+    settled = F.when(side == "local", wins("remote", "l", "r")).when(side == "remote", wins("local", "r", "l")).otherwise("conflict")
+    plan = F.when(F.col("plan") == "conflict", settled).otherwise(F.col("plan"))
+    if initial and first == "remote":
+        plan = F.when(plan == "add_remote", "remove_local").otherwise(plan)
+    if initial and first == "local":
+        plan = F.when(plan == "add_local", "remove_remote").otherwise(plan)
+    if pull_only:
+        plan = F.when(plan == "add_remote", "none").when(plan.isin("update_remote", "remove_remote"), "held").otherwise(plan)
+    rows = rows.select("key", "b", "l", "r", plan.alias("plan"))
+    after = F.when(F.col("plan").isin("conflict", "held"), F.col("b")).when(F.col("plan").isin("remove_local", "remove_remote"), None)
+    after = after.when(F.col("plan").isin("add_local", "update_local"), F.col("r")).otherwise(F.col("l"))
+    return rows.select("key", "plan", after.alias("hash"))
 
 
 def numbered(df: DataFrame, content: str, order: str) -> DataFrame:

@@ -27,11 +27,26 @@ class Everything(Selector):
     pass
 
 
+@dataclass(frozen=True)
+class Selected(Selector):
+    """What the active rows of a forest select together; ``trees.bound`` puts their union in its place. Alone it selects nothing."""
+
+
+@dataclass(frozen=True)
+class Uncommitted(Selector):
+    """Rows that a layer adds or patches; see ``trees.with_layer``. A table without a layer has none."""
+
+
 @dataclass(frozen=True)
 class Ids(Selector):
     ids: tuple[int, ...]
 
 
+@dataclass(frozen=True)
+class Manual(Ids):
+    """The ids picked by hand; a forest has one such list."""
+
+
 @dataclass(frozen=True)
 class Filter(Selector):
     """op: has nothas eq neq contains notcontains gt lt gte lte between between_anyyear between_anytime."""
@@ -206,6 +221,10 @@ def column(df: DataFrame, s: Selector) -> Column:
     """The boolean column of a row-local tree."""
     if isinstance(s, Everything):
         return F.lit(True)
+    if isinstance(s, Selected):
+        return F.lit(False)
+    if isinstance(s, Uncommitted):
+        return F.coalesce(F.col("uncommitted"), F.lit(False)) if "uncommitted" in df.columns else F.lit(False)
     if isinstance(s, Ids):
         return F.col("id").isin(list(s.ids))
     if isinstance(s, Filter):
