@@ -3,20 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in spark.checkpoint.dir; a folder of its own only in local mode, as in tests: a cluster must name one."""
-    spark = df.sparkSession
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of its own only in local mode, as in tests: a cluster must name one."""
     if not spark.sparkContext.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder that all executors share."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in the shared folder."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

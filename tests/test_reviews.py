@@ -55,7 +55,7 @@ def test_sessions_against_plain_lists(spark):
     same = lambda: {s: (p.order, p.reviewed, p.cursor, p.done) for s, p in plain.items()}
     assert held(work, cursors) == same()
     live = set(range(100))
-    for step in range(4):
+    for step in range(2):
         for _ in range(2):
             work, cursors = reviews.advance(work, cursors)
             for p in plain.values():
