@@ -37,7 +37,9 @@ DECAY = 0.9
 LOOKS = {"noise": 0.25, "doubtful": 0.6, "beside": 0.25, "links": 0.25}
 LINKS = 66  # percent of a text
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>""", re.S)
+_START = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*+)|<[!?]")
+_END_TAG = re.compile(r"</([a-zA-Z][^\s/>]*+)\s*+>")
+_MARK = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "xmp", "noembed", "noframes")}
 # Fixed lists of HTML elements.
@@ -109,6 +111,64 @@ def looks(blocks: list[tuple[int, str, int, bool]]) -> list[tuple[int, str, int,
     return out
 
 
+class _Tokens:
+    """The markup of a page, found in time linear in its length whatever it holds."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in (">", '"', "'")}
+        self.seen = (0, -1)  # no mark lies from the first place up to the second
+        self.open_quotes: set[int] = set()  # quotes from which no end of a tag outside quotes was found
+        self.end_tags: dict[str, int] | None = None
+
+    def find(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the next tag, comment or declaration; the last two have no name."""
+        m = _START.search(self.page, at)
+        if m is not None and m[0] != "<!--" and m.end() > self.last[">"]:  # nothing but a comment can come
+            start = self.page.find("<!--", m.start())
+            return None if start < 0 else (start, self._comment_end(start), "", "", "")
+        if m is None:
+            return None
+        if m[0] == "<!--":
+            return m.start(), self._comment_end(m.start()), "", "", ""
+        if not m[2]:
+            return m.start(), self.page.find(">", m.end()) + 1, "", "", ""
+        end = self._tag_end(m.end())
+        return m.start(), end + 1, m[1], m[2].lower(), self.page[m.end() : end]
+
+    def _comment_end(self, start: int) -> int:
+        end = self.page.find("-->", start + 4)
+        return len(self.page) if end < 0 else end + 3
+
+    def _mark(self, at: int) -> int:
+        """The place of the next bracket or quote."""
+        if not self.seen[0] <= at <= self.seen[1]:
+            m = _MARK.search(self.page, at)
+            self.seen = (at, m.start() if m else len(self.page))
+        return self.seen[1]
+
+    def _tag_end(self, at: int) -> int:
+        """The first > outside quotes, or the first at all where quotes never let one out."""
+        if self.page.startswith(">", at):
+            return at
+        place, passed = at, []
+        while True:
+            place = self._mark(place)
+            if place < len(self.page) and self.page[place] == ">":
+                return place
+            if place == len(self.page) or place in self.open_quotes or self.last[self.page[place]] == place:
+                break
+            passed.append(place)
+            place = self.page.find(self.page[place], place + 1) + 1
+        self.open_quotes.update(passed)
+        return self.page.find(">", at)
+
+    def ends(self, name: str, at: int) -> bool:
+        """Whether an end tag of that name is still to come."""
+        if self.end_tags is None:
+            self.end_tags = {m[1].lower(): m.start() for m in _END_TAG.finditer(self.page)}
+        return self.end_tags.get(name, -1) >= at
+
+
 def parse(page: str) -> tuple[list[tuple[int, str, int, bool]], list[tuple[int, int, int, int, int]]]:
     """(blocks, nodes) of a page: blocks (path, text, noise, in main); nodes (path, depth, hash of the children's styles, hash of the own text, percent of links). A path is a hash of all its styles.
 
@@ -119,7 +179,8 @@ def parse(page: str) -> tuple[list[tuple[int, str, int, bool]], list[tuple[int,
     stack, blocks, nodes, pending = [root], [], [], []
     linked, in_link = 0, False
     inline: dict[str, int] = {}  # dropped inline elements on the stack by tag
-    last_end: dict[str, int] = {}
+    places: dict[str, list[int]] = {}  # where the open elements of a tag are on the stack
+    holders: list[int] = []
 
     def flush() -> None:
         nonlocal linked
@@ -134,11 +195,20 @@ def parse(page: str) -> tuple[list[tuple[int, str, int, bool]], list[tuple[int,
                 blocks.append((top.path, text, top.noise, top.main))
         linked = 0
 
+    def push(node: _Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        if node.held is not None:
+            holders.append(len(stack))
+        stack.append(node)
+
     def close(upto: int) -> None:
         while len(stack) > upto:
             flush()
             n = stack.pop()
+            if stack:
+                places[n.tag].pop()
             if n.held is not None:
+                holders.pop()
                 inline[n.tag] -= 1
                 pending[:] = n.held
                 continue
@@ -146,36 +216,34 @@ def parse(page: str) -> tuple[list[tuple[int, str, int, bool]], list[tuple[int,
             nodes.append((n.path, len(stack), zlib.crc32(" ".join(n.children).encode()), zlib.crc32(text.encode()) if text else -1, min(100, 100 * n.links // max(1, len(text)))))
 
     def find(tags, walls=(), implied=False) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                return k
-            if stack[k].tag in walls or implied and stack[k].held is not None:
+        """The innermost open element of tags, 0 if there is none or a wall (or a held element) is further in."""
+        k = 0
+        for t in tags:
+            if (held := places.get(t)) and held[-1] > k:
+                k = held[-1]
+        if not k or implied and holders and holders[-1] > k:
+            return 0
+        for w in walls:
+            if (held := places.get(w)) and held[-1] > k:
                 return 0
-        return 0
+        return k
 
-    def ends(tag: str) -> bool:
-        """Whether an end tag of tag is still to come."""
-        if tag not in last_end:
-            last_end[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}\s*>", page, re.I)), default=-1)
-        return last_end[tag] >= at
-
-    at, token, n = 0, _TOKEN.search, len(page)
+    tokens, at, n = _Tokens(page), 0, len(page)
     while at < n:
-        m = token(page, at)
-        if m is None:
+        found = tokens.find(at)
+        if found is None:
             pending.append(page[at:])
             break
-        if m.start() > at:
-            pending.append(page[at : m.start()])
-            linked += (m.start() - at) * in_link
-        at = m.end()
-        tag = m[2] or m[5]
+        start, after, slash, tag, raw = found
+        if start > at:
+            pending.append(page[at:start])
+            linked += (start - at) * in_link
+        at = after
         if not tag:
             continue
-        tag = tag.lower()
         if tag == "a":
-            in_link = not (m[1] or m[4])
-        if m[1] or m[4]:
+            in_link = not slash
+        if slash:
             if tag == "br":
                 pending.append(" ")
             elif tag in _BLOCK:
@@ -198,9 +266,8 @@ def parse(page: str) -> tuple[list[tuple[int, str, int, bool]], list[tuple[int,
             pending.append(" " if tag == "br" else "")
             continue
         if tag not in _BLOCK:
-            raw = m[3] or m[6] or ""
-            if tag not in _VOID and (inline.get(tag) or tag in _GONE or len(raw) > 4 and _style(tag, raw)[1]) and ends(tag):
-                stack.append(_Node(tag, _path(stack[-1].path, tag), 3, False, [*pending]))
+            if tag not in _VOID and (inline.get(tag) or tag in _GONE or len(raw) > 4 and _style(tag, raw)[1]) and tokens.ends(tag, at):
+                push(_Node(tag, _path(stack[-1].path, tag), 3, False, [*pending]))
                 inline[tag] = inline.get(tag, 0) + 1
                 pending.clear()
             continue
@@ -215,7 +282,7 @@ def parse(page: str) -> tuple[list[tuple[int, str, int, bool]], list[tuple[int,
                 close(k)
         if tag == "hr":
             continue
-        style, noise, main = _style(tag, m[3] or m[6] or "")
+        style, noise, main = _style(tag, raw)
         parent = stack[-1]
         if tag in ("html", "body") and find((tag,)):
             continue
@@ -223,7 +290,7 @@ def parse(page: str) -> tuple[list[tuple[int, str, int, bool]], list[tuple[int,
         if style.startswith("header") and not parent.main:
             noise = 3
         main = main or parent.main
-        stack.append(_Node(tag, _path(parent.path, style), max(parent.noise, noise), main))
+        push(_Node(tag, _path(parent.path, style), max(parent.noise, noise), main))
     close(1)
     flush()
     return looks(blocks), nodes
