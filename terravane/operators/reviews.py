@@ -2,7 +2,7 @@
 
 A worklist row is (source, run, place, id, reviewed). ``run`` numbers what was appended, ``place`` the rows of one run, so appending
 and pruning renumber nothing: the order is (run, place), with gaps. A cursor row is (source, run, place, id, done). Every function
-works on all sources at once; a source with most of the rows is dealt by ranges (``shared.running``) and aggregated before a shuffle.
+works on all sources at once and cuts the lineage of the cursors, so a walk of many steps doesn't redo earlier ones; a source with most of the rows is dealt by ranges (``shared.running``) and aggregated before a shuffle.
 Ids are told once a source; a null source or id is no work.
 """
 
@@ -34,7 +34,7 @@ def begin(matches: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """(worklist, cursors) over matches (source, id, …); a source without matches has no session."""
     work = _numbered(matches, order).select("source", F.lit(0).alias("run"), "place", "id", F.lit(False).alias("reviewed"))
     work = checkpointed(work)
-    return work, _cursors(work.groupBy("source").agg(F.min(_at()).alias("at")))
+    return work, checkpointed(_cursors(work.groupBy("source").agg(F.min(_at()).alias("at"))))
 
 
 def unseen(work: DataFrame, matches: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def prune(work: DataFrame, cursors: DataFrame, live: DataFrame) -> tuple[DataFra
     placed = running(lists.select("source", "run", "place", "id"), ["source"], ["run", "place", "id"], F.lit(1), "nth")
     back = placed.join(small(wanted), ["source", "nth"]).select("source", "run", "place", "id")
     done = lost.select("source", "done")
-    return left, stay.unionByName(back.join(done, "source").select(*cursors.columns))
+    return left, checkpointed(stay.unionByName(back.join(done, "source").select(*cursors.columns)))
 
 
 def advance(work: DataFrame, cursors: DataFrame, when: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -81,14 +81,14 @@ def advance(work: DataFrame, cursors: DataFrame, when: Column | None = None) ->
     to = lambda c: F.coalesce(F.col(f"to.{c}"), F.col(c)).alias(c)
     new = moved.select("source", to("run"), to("place"), to("id"), (F.col("done") | F.col("to").isNull()).alias("done"))
     rest = cursors.join(chosen.select("source"), "source", "left_anti").select(*cursors.columns)
-    return marked, (new if when is None else new.unionByName(rest))
+    return marked, checkpointed(new if when is None else new.unionByName(rest))
 
 
 def retreat(work: DataFrame, cursors: DataFrame) -> DataFrame:
     """Cursors one back, those at the start as they are; nothing is marked."""
     earlier = _with_cursor(work, cursors).filter(_at() < F.col("at")).groupBy("source").agg(F.max(_at()).alias("to"))
     to = lambda c: F.coalesce(F.col(f"to.{c}"), F.col(c)).alias(c)
-    return cursors.join(earlier, "source", "left").select("source", to("run"), to("place"), to("id"), "done")
+    return checkpointed(cursors.join(earlier, "source", "left").select("source", to("run"), to("place"), to("id"), "done"))
 
 
 def resumed(work: DataFrame, cursors: DataFrame, live: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
