@@ -12,24 +12,58 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r'\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|([A-Za-z_]\w*)|"([^"]*)"|(==|!=|<=|>=|[-+*/%()<>,]))')
+_TOKEN = re.compile(r'\s*(?:([0-9.])|([A-Za-z_][A-Za-z0-9_]*)|(")|(==|!=|<=|>=|[-+*/%()<>,])|(\S))')
+_NUMBER = re.compile(r"[0-9]*\.?[0-9]*")
+_TEXT = re.compile(r'"((?:[^"\\]|\\.)*)"', re.S)
+# The kinds of errors and what they say.
+ERRORS = {
+    "invalidNumber": "invalid number at position {position}",
+    "unterminatedString": "unterminated string",
+    "unexpectedCharacter": "unexpected character {character!r} at position {position}",
+    "expectedSymbol": "expected {symbol!r}",
+    "chainedComparison": "chained comparison",
+    "unexpectedEnd": "unexpected end of expression",
+    "missingLeftOperand": "missing left operand",
+    "hasTakesFieldName": "has() takes a field name",
+    "unknownFunction": "unknown function {name!r}",
+    "wrongArgCount": "{name}() takes {expected} arguments",
+    "unexpectedToken": "unexpected {token!r}",
+    "trailingToken": "unexpected {token!r} after expression",
+    "textOutsideComparison": "a text is only for comparison",
+}
+_COMPARISONS = ("==", "!=", "<", "<=", ">", ">=")
+_SIZES = {"abs": 1, "floor": 1, "round": 1, "mod": 2, "min": 2, "max": 2, "clamp": 3, "if": 3}
 
 
 class ExpressionError(ValueError):
-    def __init__(self, what: str, at: int):
-        super().__init__(f"{what} at {at}")
-        self.at = at
+    """kind is a key of ERRORS, at the place in the text, details what the message names."""
+
+    def __init__(self, kind: str, at: int, **details):
+        super().__init__(ERRORS[kind].format(**details, position=at))
+        self.kind, self.at, self.details = kind, at, details
 
 
 def _tokens(text: str) -> list[tuple[str, str, int]]:
     out, at = [], 0
-    while text[at:].strip():
-        m = _TOKEN.match(text, at)
-        if not m:
-            raise ExpressionError("unexpected sign", at)
-        kind = "number" if m[1] else "name" if m[2] else "sign" if m[4] else "string"
-        out.append((kind, m[1] or m[2] or m[4] or m[3] or "", m.start(m.lastindex)))
-        at = m.end()
+    while m := _TOKEN.match(text, at):
+        start, sign = m.start(m.lastindex), m[m.lastindex]
+        if m[1]:
+            found = _NUMBER.match(text, start)
+            if not found[0][-1].isdigit():
+                raise ExpressionError("invalidNumber", start)
+            out.append(("number", found[0], start))
+            at = found.end()
+        elif m[3]:
+            found = _TEXT.match(text, start)
+            if not found:
+                raise ExpressionError("unterminatedString", start)
+            out.append(("string", re.sub(r"(?s)\\(.)", r"\1", found[1]), start))
+            at = found.end()
+        elif m[5]:
+            raise ExpressionError("unexpectedCharacter", start, character=sign)
+        else:
+            out.append(("name" if m[2] else "sign", sign, start))
+            at = m.end()
     return [*out, ("end", "", len(text))]
 
 
@@ -38,11 +72,11 @@ def finite(c: Column) -> Column:
 
 
 def number(c: Column, kind: str) -> Column:
-    """A field as a number: booleans 0 or 1, lists their length, strings if they are plain numbers."""
+    """A field as a number: booleans 0 or 1, lists their length, strings if they are plain numbers without blanks or suffixes (inf, infinity and nan are spelled in any case)."""
     if kind.startswith("array"):
         return F.size(c).cast("double")
     if kind == "string":
-        return F.when(c.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), c.try_cast("double"))
+        return F.when(c.rlike(r"^(?i:[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?))\z"), c.try_cast("double"))
     return c.cast("double")
 
 
@@ -56,21 +90,21 @@ class _Parser:
     def take(self, want: str | None = None) -> tuple[str, str, int]:
         t = self.toks[self.at]
         if want is not None and not (t[0] == "sign" and t[1] == want):
-            raise ExpressionError(f"expected {want}", t[2])
+            raise ExpressionError("expectedSymbol", t[2], symbol=want)
         self.at += 1
         return t
 
     def compare(self) -> Column:
         start, left = self.at, self.sum()
         op = self.peek()
-        if op not in ("==", "!=", "<", "<=", ">", ">="):
+        if op not in _COMPARISONS:
             if self.toks[start][0] == "string" and self.at == start + 1:
-                raise ExpressionError("a text is only for comparison", self.toks[start][2])
+                raise ExpressionError("textOutsideComparison", self.toks[start][2])
             return left
         self.take()
         mark, right = self.at, self.sum()
-        if self.peek() in ("==", "!=", "<", "<=", ">", ">="):
-            raise ExpressionError("comparisons don't chain", self.toks[self.at][2])
+        if self.peek() in _COMPARISONS:
+            raise ExpressionError("chainedComparison", self.toks[self.at][2])
         if "string" in (self.toks[start][0], self.toks[mark][0]):
             left, right = self.text(start, left), self.text(mark, right)
         hit = {"==": left == right, "!=": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[op]
@@ -107,31 +141,34 @@ class _Parser:
             inner = self.compare()
             self.take(")")
             return inner
+        if kind == "end":
+            raise ExpressionError("unexpectedEnd", at)
         if kind != "name":
-            raise ExpressionError("expected a value", at)
-        if value in ("true", "false"):
-            return F.lit(float(value == "true"))
+            raise ExpressionError("missingLeftOperand", at) if value in _COMPARISONS else ExpressionError("unexpectedToken", at, token=value)
         if self.peek() != "(":
-            return finite(number(*self.fields(value)))
+            return F.lit(float(value == "true")) if value in ("true", "false") else finite(number(*self.fields(value)))
         self.take()
         if value == "has":
             name = self.take()
+            if name[0] != "name":
+                raise ExpressionError("hasTakesFieldName", name[2])
             self.take(")")
             c, kind = self.fields(name[1])
             return ((F.size(c) > 0) if kind.startswith("array") else c.isNotNull() & (c.cast("string") != "")).cast("double")
-        args = [self.compare()]
-        while self.peek() == ",":
-            self.take()
+        if value not in _SIZES:
+            raise ExpressionError("unknownFunction", at, name=value)
+        args = []
+        if self.peek() != ")":
             args.append(self.compare())
+            while self.peek() == ",":
+                self.take()
+                args.append(self.compare())
         self.take(")")
-        return self.call(value, args, at)
-
-    def call(self, name: str, a: list[Column], at: int) -> Column:
-        size = {"abs": 1, "floor": 1, "round": 1, "mod": 2, "clamp": 3, "if": 3}.get(name)
-        if size is None and name not in ("min", "max"):
-            raise ExpressionError("unknown function", at)
-        if size is not None and len(a) != size:
-            raise ExpressionError("wrong number of arguments", at)
+        if len(args) != _SIZES[value]:
+            raise ExpressionError("wrongArgCount", at, name=value, expected=_SIZES[value])
+        return self.call(value, args)
+
+    def call(self, name: str, a: list[Column]) -> Column:
         if name == "if":
             return F.when(a[0] != 0, a[1]).when(a[0] == 0, a[2])
         whole = a[0].isNotNull()
@@ -143,8 +180,8 @@ class _Parser:
             "round": lambda: F.floor(a[0] + 0.5).cast("double"),
             "mod": lambda: F.try_mod(F.try_mod(a[0], a[1]) + a[1], a[1]),
             "clamp": lambda: F.least(F.greatest(a[0], a[1]), a[2]),
-            "min": lambda: F.least(*a) if len(a) > 1 else a[0],
-            "max": lambda: F.greatest(*a) if len(a) > 1 else a[0],
+            "min": lambda: F.least(*a),
+            "max": lambda: F.greatest(*a),
         }[name]()
         return F.when(whole, finite(make))
 
@@ -154,5 +191,5 @@ def compile_expression(text: str, fields: Callable[[str], tuple[Column, str]]) -
     p = _Parser(text, fields)
     out = p.compare()
     if p.toks[p.at][0] != "end":
-        raise ExpressionError("unexpected rest", p.toks[p.at][2])
+        raise ExpressionError("trailingToken", p.toks[p.at][2], token=p.toks[p.at][1])
     return out

@@ -7,8 +7,17 @@ from pyspark.sql import functions as F
 
 
 def number_key(c: Column) -> Column:
-    """A number as the key a browser prints: whole numbers without a point."""
-    return F.when((c == F.floor(c)) & (F.abs(c) < 1e15), c.cast("long").cast("string")).otherwise(c.cast("string"))
+    """A number as the key a browser prints: shortest digits, whole numbers without a point, exponents from 1e21 and below 1e-6, zero without a sign."""
+    c = c.cast("double")
+    printed = F.abs(c).cast("string")
+    mantissa, power = F.substring_index(printed, "E", 1), F.try_element_at(F.split(printed, "E"), F.lit(2)).cast("int")
+    short = F.regexp_replace(mantissa, r"\.0$", "")
+    digits = F.replace(short, F.lit("."), F.lit(""))
+    spread = F.when(F.length(digits) <= power + 1, F.rpad(digits, power + 1, "0")).otherwise(F.concat(F.substr(digits, F.lit(1), power + 1), F.lit("."), F.substr(digits, power + 2)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    shown = F.when(power.isNull(), short).when(power >= 21, F.concat(short, F.lit("e+"), power.cast("string"))).when(power >= 0, spread)
+    shown = shown.when(power < -6, F.concat(short, F.lit("e"), power.cast("string"))).otherwise(small)
+    return F.when(c < 0, F.concat(F.lit("-"), shown)).otherwise(shown)
 
 
 def counts(df: DataFrame, named: dict[str, Column]) -> DataFrame:
@@ -50,6 +59,12 @@ def bins_by_width(df: DataFrame, c: str, width: float) -> DataFrame:
     return df.filter(F.col(c).isNotNull()).groupBy((F.floor(F.col(c) / width) * width).cast("double").alias("lo")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def page(df: DataFrame, order: list, limit: int, offset: int = 0) -> DataFrame:
+    """Rows offset to offset + limit in an order that tells rows apart, each with the total of all rows; a page beyond the end has no rows."""
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return df.orderBy(*order).offset(offset).limit(limit).join(F.broadcast(total), F.lit(True))
+
+
 DATE_PARTS = {"year": "yyyy", "yearMonth": "yyyy-MM", "day": "yyyy-MM-dd", "monthOfYear": "MM", "hourOfDay": "HH"}
 
 

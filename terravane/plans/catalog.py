@@ -358,12 +358,12 @@ def _(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import extended, forests, polygonal, rows, spreading, typed, wider  # noqa: F401, register their own
+    from . import extended, forests, polygonal, reports, rows, spreading, typed, wider  # noqa: F401, register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import extended, forests, polygonal, rows, spreading, typed, wider  # noqa: F401
+    from . import extended, forests, polygonal, reports, rows, spreading, typed, wider  # noqa: F401
 
     return dict(_SQL)

@@ -331,13 +331,6 @@ def _i10(df):
     return search.first_by(kept.select((F.col("id") % 500).alias("node"), "id", "heading"), "node", "id").orderBy("node")
 
 
-@_query("i20_tags", f"{_L} SELECT id, concat('Heading[', lpad(CAST(CAST(floor(heading / 45) * 45 AS BIGINT) AS VARCHAR), 4, ' '), '-', lpad(CAST(CAST(floor(heading / 45) * 45 + 45 AS BIGINT) AS VARCHAR), 4, ' '), ']') AS tag, strftime(make_timestamp(created_at * 1000000), '%Y-%m') AS month FROM locations")
-def _i20(df):
-    lo = (F.floor(F.col("heading") / 45) * 45).cast("long")
-    pad = lambda c: F.lpad(c.cast("string"), 4, " ")
-    return df.select("id", F.concat(F.lit("Heading["), pad(lo), F.lit("-"), pad(lo + 45), F.lit("]")).alias("tag"), F.date_format(F.timestamp_seconds("created_at"), "yyyy-MM").alias("month"))
-
-
 @_query("j07_prune", f"{_L}, p AS (SELECT * FROM locations WHERE event_type = 'click') SELECT CAST(0 AS BIGINT) AS left_over, (SELECT count(*) FROM p) AS rows")
 def _j07(df):
     """No two rows within reach are left, and no row outside the groups of neighbours is touched."""

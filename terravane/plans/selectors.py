@@ -196,6 +196,10 @@ def predicate(df: DataFrame, f: Filter) -> Column:
         hit = F.array_contains(c, F.lit(f.value).cast("long"))
         out = there & (hit if f.op == "contains" else ~hit)
     else:
+        if kind == "string" and f.op == "between_anyyear" and f.field not in CALENDAR:
+            # texts YYYY-MM-DD, with anything after it, or YYYY-MM, which is the first day
+            day = F.when(F.length(c) >= 10, F.substring(c, 6, 5)).otherwise(F.concat(F.substring(c, 6, 2), F.lit("-01")))
+            return F.coalesce(there & (F.length(c) >= 7) & (F.substring(c, 5, 1) == "-") & _wrapped(day, *f.value), F.lit(False))
         if f.field in CALENDAR:
             instant = F.timestamp_seconds(c)
             zone = F.when(F.col("timezone").isNotNull(), F.col("timezone")) if f.tz_local else None
