@@ -8,7 +8,8 @@ looks is evidence in the tree as well: noise elements and roles, class words (st
 and others that are in the names of articles too), links that make up most of its text,
 standing beside an article. Each weighs the importance down, and what is left of a branch
 decides, inside an article as outside. Menus and adverts differ from page to page as
-articles do, so entropy alone would keep them.
+articles do, so entropy alone would keep them. A block of a doubtful name inside an article
+stands or falls by the tree: it stays while its text varies and isn't mostly links.
 
 Looks are judged by page first: where a page's only article lies under a noisy name, or
 nothing else is left of it, such names don't count there.
@@ -100,14 +101,14 @@ def looks(blocks: list[tuple[int, str, int, bool]]) -> list[tuple[int, str, int,
     """Blocks (path, text, noise, main) with noise 0, 1 or 2 (none, doubtful, sure) as the page as a whole tells it.
 
     If all articles lie under noisy names, names that are no noisier than the least noisy article don't count; nor
-    do names and forms if nothing else is left. Elements and roles always do.
+    do names and forms if nothing else is left. Elements and roles always do. Doubtful names don't take a block out of its article.
     """
     mains = [b[2] for b in blocks if b[3]]
     allowed = min(2, min(mains or [b[2] for b in blocks], default=0))
     out = []
     for path, text, noise, main in blocks:
         sure = 0 if noise <= allowed and (main or not mains) else 1 if noise == 1 else 2 if noise else 0
-        out.append((path, text, sure, main and sure == 0))
+        out.append((path, text, sure, main and sure < 2))
     return out
 
 
@@ -350,7 +351,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     low = low.filter((F.col("importance") < LEAST_IMPORTANCE / LOOKS["doubtful"]) | (F.col("links") > LINKS))
     low = materialize(low.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", F.struct("importance", (F.col("links") > LINKS).alias("links"))))).alias("low")), "low_branches")
     rows = parsed.select("page_id", "url", "host", "blocks").join(maybe_broadcast(low, 100_000, "low"), "host", "left")
-    bounded = F.exists("blocks", lambda b: b.main)
+    bounded = F.exists("blocks", lambda b: b.main & (b.noise == 0))
     known = F.coalesce("low", F.create_map().cast("map<bigint,struct<importance:double,links:boolean>>"))
 
     def kept(b):
@@ -358,8 +359,9 @@ def main_text(pages: DataFrame) -> DataFrame:
         worth = F.coalesce(node["importance"], F.lit(1.0))
         worth = worth * F.when(b.noise == 2, LOOKS["noise"]).when(b.noise == 1, LOOKS["doubtful"]).otherwise(1.0)
         worth = worth * F.when(bounded & ~b.main, LOOKS["beside"]).otherwise(1.0)
-        worth = worth * F.when(F.coalesce(node["links"], F.lit(False)) & ~b.main, LOOKS["links"]).otherwise(1.0)
-        return worth >= F.when(b.main, LEAST_IN_ARTICLE).otherwise(LEAST_IMPORTANCE)
+        sure = b.main & (b.noise == 0)
+        worth = worth * F.when(F.coalesce(node["links"], F.lit(False)) & ~sure, LOOKS["links"]).otherwise(1.0)
+        return worth >= F.when(sure, LEAST_IN_ARTICLE).otherwise(LEAST_IMPORTANCE)
 
     text = F.array_join(F.transform(F.filter("blocks", kept), lambda b: b.text), "\n")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -127,6 +127,14 @@ def test_html_looks_give_way_to_what_is_there(spark):
     assert got == ["real story", "body", "t\nall in one form", "main", "", "a b"]
 
 
+def test_html_tree_decides_on_doubtful_names_in_articles(spark):
+    odd = "<article><p>start</p><div class='social-history'><p>real story</p></div><div class='share-prices'><p>b</p></div></article>"
+    page = lambda i: f"<article><p>Story {i}</p><div class='social-history'><p>Strikes of {i}</p></div><div class='share'><p>Tell your friends</p></div><div class='widget'><a href=/{i}>Topic {i}</a></div></article>"
+    rows = [(i, f"http://site/{i}", page(i)) for i in range(8)] + [(100, "http://odd/1", odd)]
+    out = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"Story {i}\nStrikes of {i}" for i in range(8)) and out[100] == "start\nreal story\nb"
+
+
 def test_html_tree_decides_inside_articles_too(spark):
     page = lambda i: f"<article><h1>Title {i}</h1><p>Story {i}</p><div class=box><p>Follow us everywhere</p></div></article><div class=more><p>Always here</p></div>"
     rows = [(i, f"http://site/{i}", page(i)) for i in range(20)] + [(100, "http://other/1", page(100))]
