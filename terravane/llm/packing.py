@@ -118,13 +118,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) ->
     other columns are ignored.
     """
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, capacity, path), "pieces")
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(8, 4 * partitions(spark))))
-    salted = cut.withColumn("salt", salt)
+    # Equal ids share a salt, but for null ones, which may be many: their places in the partitions deal them, stored once so that all steps see the same.
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", place), F.lit(max(8, 4 * partitions(spark))))
+    salted = materialize(pieces(docs, capacity, path).withColumn("salt", salt), "pieces")
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     # one row per (length, salt): bounded by capacity times the salts, whatever the input
     before = counts.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)))
-    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in salted.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = plan(histogram, capacity)
     schema = "length long, rank_from long, rank_to long, first_sequence long, each long, offset long"
     slots_df = spark.createDataFrame(slots, schema)

@@ -290,6 +290,24 @@ def test_packing(spark, odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_deals_equal_rows_without_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([(None, "same words here")] * 400 + [(k, f"other {k}") for k in range(50)], "doc_id long, text string").repartition(4)
+    stored, keep = [], packing.materialize
+    monkeypatch.setattr(packing, "materialize", lambda df, name: stored.append(keep(df, name)) or stored[-1])
+    out = packing.pack(docs, capacity=64).collect()
+    assert stored[0].filter("doc_id IS NULL").select("salt").distinct().count() >= 8
+    places = collections.defaultdict(list)
+    for r in out:
+        places[r.sequence_id].append((r.offset, r.length))
+    assert len(out) == 450
+    for p in places.values():
+        ends = [0]
+        for offset, length in sorted(p):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 64
+
+
 def test_plan_is_best_fit():
     rng = random.Random(3)
     for _ in range(20):
