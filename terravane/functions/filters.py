@@ -278,6 +278,18 @@ def compile_filter(text: str, properties: dict[str, tuple[str, Column]], current
     return parser.truth(out)
 
 
+def compile_number(text: str, properties: dict[str, tuple[str, Column]]) -> Column:
+    """The whole number of a text, of 32 bits, such as ``Heading + 180``; other kinds are errors."""
+    names = {k.lower(): v for k, v in properties.items()}
+    parser = _Parser(text, lambda n: names.get(n.lower()), [*properties])
+    out = parser.either()
+    if parser.k < len(parser.tokens):
+        raise FilterError("the expression goes on", parser.place())
+    if out[0] != "int":
+        raise FilterError(f"a whole number expected, not {out[0]}", 0, len(text))
+    return out[1]
+
+
 def flags_any(value: Column, names: str, bits: dict[str, int]) -> Column:
     """Whether value has all bits of any of the comma-separated names, whatever their case; an unknown name has no bits, so it always holds."""
     table = {k.lower(): v for k, v in bits.items()}

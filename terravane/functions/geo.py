@@ -115,3 +115,62 @@ def score(distance_m: Column, max_error: float = 185.34781) -> Column:
     """Game points for a distance: 5000 up to 25 m, then an exponential fall."""
     base = 0.99866017
     return F.when(distance_m <= 25, 5000.0).otherwise(F.floor(5000 * F.pow(F.lit(base), distance_m / (max_error * math.log(base) * -1e4)) + 0.5).cast("double"))
+
+
+def wrap_degrees(degrees: Column, least: float = -180.0) -> Column:
+    """Degrees shifted by whole turns to [least, least + 360)."""
+    return least + F.pmod(degrees - least, F.lit(360.0))
+
+
+def heading_gap(a: Column, b: Column) -> Column:
+    """The angle between two headings, 0 to 180."""
+    return F.abs(wrap_degrees(a - b))
+
+
+def reversed_heading(heading: Column) -> Column:
+    return wrap_degrees(heading + 180.0)
+
+
+def nearest_heading(headings: Column, target: Column) -> Column:
+    """Of an array the heading next to a target, the first of equals; null if there is none."""
+    told = F.filter(headings, lambda h: h.isNotNull())
+    return F.array_min(F.transform(told, lambda h, k: F.struct(heading_gap(h, target).alias("gap"), k.alias("k"), h.alias("heading"))))["heading"]
+
+
+def box_width(west: Column, east: Column) -> Column:
+    """Degrees of longitude from west to east; a box whose east is less crosses the antimeridian."""
+    return east - west + F.when(east < west, 360.0).otherwise(0.0)
+
+
+def joined_boxes(a: Column, b: Column) -> Column:
+    """The least box (west, south, east, north) around two of the same fields; it closes the smaller of the two gaps between them."""
+
+    def reach(of: Column, other: Column) -> Column:
+        return F.greatest(box_width(of["west"], of["east"]), wrap_degrees(other["west"] - of["west"], 0.0) + box_width(other["west"], other["east"]))
+
+    from_a, from_b = reach(a, b), reach(b, a)
+    west, width = F.when(from_a <= from_b, a["west"]).otherwise(b["west"]), F.least(from_a, from_b)
+    whole = width >= 360
+    return F.struct(
+        F.when(whole, -180.0).otherwise(west).alias("west"),
+        F.least(a["south"], b["south"]).alias("south"),
+        F.when(whole, 180.0).otherwise(wrap_degrees(west + width)).alias("east"),
+        F.greatest(a["north"], b["north"]).alias("north"),
+    )
+
+
+def densified(ring: Column) -> Column:
+    """A ring, an array of (lng, lat), with edges of 180 degrees of longitude or more cut into equal parts below that."""
+
+    def edge(k: Column) -> Column:
+        p, q = F.get(ring, k), F.get(ring, k + 1)
+        parts = F.coalesce(F.floor(F.abs(q["lng"] - p["lng"]) / 180).cast("int") + 1, F.lit(1))
+
+        def cut(i: Column) -> Column:
+            t = F.coalesce(i / parts, F.lit(0.0))
+            at = lambda name: F.when(i == 0, p[name]).otherwise(p[name] + (q[name] - p[name]) * t).alias(name)
+            return F.struct(at("lng"), at("lat"))
+
+        return F.transform(F.sequence(F.lit(0), parts - 1), cut)
+
+    return F.when(F.size(ring) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(ring) - 1), edge))).otherwise(ring)

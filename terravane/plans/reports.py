@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.tagging import SOUTHERN, output_tags
-from ..operators import asks, games, matching, pivots
+from ..operators import asks, games, matching, outputs, pivots
 from .catalog import _L, _hav, _query
 from .selectors import Filter, select
 from .typed import _S, survey
@@ -148,10 +148,47 @@ _TAGS = [
 @_query("i20_tags", f"""{_S}, t AS (SELECT id, [CountryCode, County, concat(Year, '-', lpad(CAST(Month AS VARCHAR), 2, '0')), ['Winter', 'Spring', 'Summer', 'Autumn'][(Month % 12 // 3 + CASE WHEN CountryCode IN ({_SOUTH}) THEN 2 ELSE 0 END) % 4 + 1],
 {_RANGE.format(n='Heading', v='CAST(floor(Heading) AS BIGINT)', k=45, u='')}, {_RANGE.format(n='Roads100', v='Roads100', k=10, u='')}, CASE WHEN ClosestCoast IS NOT NULL THEN {_RANGE.format(n='ClosestCoast', v='ClosestCoast', k=500, u='')} END, CASE WHEN Elevation IS NOT NULL THEN {_RANGE.format(n='Elevation', v='Elevation', k=250, u='m')} END, CAST(Elevation AS VARCHAR),
 CASE WHEN IsScout THEN 'IsScout-Yes' ELSE 'IsScout-No' END, CASE WHEN HighwayType % 2 = 1 THEN 'Motorway' END, CASE WHEN HighwayType // 2 % 2 = 1 THEN 'Trunk' END, CASE WHEN HighwayType // 4 % 2 = 1 THEN 'Primary' END, CASE WHEN HighwayType // 8 % 2 = 1 THEN 'Secondary' END,
-concat('HighwayTypeCount-', bit_count(HighwayType)), concat('DescriptionLength-', coalesce(CAST(DescriptionLength AS VARCHAR), 'null')), concat('WayId-', id, '|', id % 3), concat('Month-', Month)] AS tags FROM s)
-SELECT id, array_to_string(list_filter(tags, lambda x: x IS NOT NULL), ';') AS tags FROM t""".replace("concat('Month-', Month)", "CAST(Month AS VARCHAR)"))
+concat('HighwayTypeCount-', bit_count(HighwayType)), concat('DescriptionLength-', coalesce(CAST(DescriptionLength AS VARCHAR), 'null')), concat('WayId-', id, '|', id % 3), CAST(Month AS VARCHAR)] AS tags FROM s)
+SELECT id, array_to_string(list_filter(tags, lambda x: x IS NOT NULL), ';') AS tags FROM t""")
 def _i20(df):
     """The tags that places are written out with."""
     s = survey(df)
     columns = {c: F.col(c) for c in s.columns} | {"Heading": F.floor("Heading")}
     return s.select("id", F.array_join(output_tags(_TAGS, columns), ";").alias("tags"))
+
+
+@_query("q08_headings", f"{_L}, h AS (SELECT *, heading - pitch * 31 AS t, [heading, pitch * 5, zoom * 90] AS hs FROM locations), g AS (SELECT id, t, unnest(hs) AS h, unnest([1, 2, 3]) AS k FROM h), n AS (SELECT id, first(h ORDER BY abs((h - t + 180) - 360 * floor((h - t + 180) / 360) - 180), k) AS nearest FROM g GROUP BY id) SELECT id, (t + 180) - 360 * floor((t + 180) / 360) - 180 AS wrapped, t + 360 - 360 * floor((t + 360) / 360) - 180 AS reversed, nearest FROM h JOIN n USING (id)")
+def _q08_headings(df):
+    """Headings within half a turn, reversed, and the one next to them. (A column of the select named heading would hide the table's inside lambdas.)"""
+    t = F.col("heading") - F.col("pitch") * 31
+    return df.select("id", geo.wrap_degrees(t).alias("wrapped"), geo.reversed_heading(t).alias("reversed"), geo.nearest_heading(F.array(F.col("heading"), F.col("pitch") * 5, F.col("zoom") * 90), t).alias("nearest"))
+
+
+def _box(of: str) -> str:
+    return {"a": "CAST(id * 97 % 360 - 180 AS DOUBLE)", "b": "CAST(id * 61 % 360 - 180 AS DOUBLE)"}[of]
+
+
+_WRAP = "(({x}) - ({m}) - 360.0 * floor((({x}) - ({m})) / 360.0) + ({m}))"
+
+
+@_query("q08_boxes", f"""{_L}, x AS (SELECT id, {_box('a')} AS aw, {_WRAP.format(x=_box('a') + ' + id % 100', m='-180.0')} AS ae, {_box('b')} AS bw, {_WRAP.format(x=_box('b') + ' + id % 230', m='-180.0')} AS be FROM locations),
+w AS (SELECT *, ae - aw + CASE WHEN ae < aw THEN 360.0 ELSE 0.0 END AS wa, be - bw + CASE WHEN be < bw THEN 360.0 ELSE 0.0 END AS wb FROM x), r AS (SELECT *, greatest(wa, {_WRAP.format(x='bw - aw', m='0.0')} + wb) AS ra, greatest(wb, {_WRAP.format(x='aw - bw', m='0.0')} + wa) AS rb FROM w)
+SELECT id, CASE WHEN least(ra, rb) >= 360 THEN -180.0 WHEN ra <= rb THEN aw ELSE bw END AS west, CASE WHEN least(ra, rb) >= 360 THEN 180.0 ELSE {_WRAP.format(x='CASE WHEN ra <= rb THEN aw ELSE bw END + least(ra, rb)', m='-180.0')} END AS east FROM r""")
+def _q08_boxes(df):
+    """The least box around two, over the antimeridian if that is shorter."""
+
+    def box(side, width):
+        west = F.expr(_box(side))
+        return F.struct(west.alias("west"), F.lit(0.0).alias("south"), geo.wrap_degrees(west + F.col("id") % width).alias("east"), F.lit(1.0).alias("north"))
+
+    out = geo.joined_boxes(box("a", 100), box("b", 230))
+    return df.select("id", out["west"].alias("west"), out["east"].alias("east"))
+
+
+@_query("q13_written", f"""{_S}, o AS (SELECT *, id % 700 AS node FROM s), f AS (SELECT node, min(id) AS id FROM o GROUP BY node), r AS (SELECT o.*, l.pano_id, CAST(round_even(o.Heading, 0) AS BIGINT) AS h FROM o JOIN f USING (id) JOIN locations l USING (id))
+SELECT node, lat, CAST((CASE WHEN CountryCode = 'FI' THEN h * 2 - 500 WHEN CountryCode = 'NO' THEN DrivingDirectionAngle ELSE h + 180 END) % 360 AS DOUBLE) AS heading, CASE WHEN CountryCode IN ('FI', 'FR') THEN pano_id END AS pano_id, concat(CountryCode, ';', Month, CASE WHEN id % 2 = 0 THEN ';mine' ELSE '' END) AS tags FROM r""")
+def _q13_written(df):
+    """One row a node with headings by country, panoramas of two countries, and tags."""
+    more = df.select("id", "pano_id", (F.col("id") % 700).alias("node"), F.when(F.col("id") % 2 == 0, "mine").alias("tag"))
+    out = outputs.written(survey(df).join(more, "id"), "id", ["CountryCode", "Month"], "Heading + 180", {"FI": "Heading * 2 - 500", "NO": "DrivingDirectionAngle"}, ["FI", "FR"])
+    return out.select("node", "lat", "heading", "pano_id", F.array_join("tags", ";").alias("tags"))

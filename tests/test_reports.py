@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from terravane.functions import geo
 from terravane.functions.expr import ExpressionError, compile_expression, number
+from terravane.functions.filters import FilterError, compile_number
 from terravane.functions.tagging import output_tags, ranged, season
-from terravane.operators import asks, games, matching, pivots
+from terravane.operators import asks, games, matching, outputs, pivots
 
 
 def test_pivot_totals_and_missing_values(spark):
@@ -102,3 +104,34 @@ def test_texts_with_escapes_and_pages(spark):
     hit = compile_expression(r'name == "a\"b"', lambda n: (F.col(n), "string"))
     assert [r.id for r in df.filter(hit == 1).collect()] == [1]
     assert [tuple(r) for r in asks.page(df, [F.desc("id")], 1, 1).collect()] == [(1, 'a"b', 2)] and asks.page(df, ["id"], 5, 9).count() == 0
+
+
+def test_headings_and_boxes(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c).first()[0]
+    lit = F.lit
+    assert value(geo.wrap_degrees(lit(180.0))) == -180 and value(geo.wrap_degrees(lit(-541.0))) == 179 and value(geo.reversed_heading(lit(10.0))) == -170
+    assert value(geo.heading_gap(lit(350.0), lit(-350.0))) == 20
+    assert value(geo.nearest_heading(F.array(lit(10.0), lit(350.0), lit(180.0)), lit(0.0))) == 10 and value(geo.nearest_heading(F.array().cast("array<double>"), lit(0.0))) is None
+    box = lambda w, s, e, n: F.struct(*(lit(float(x)).alias(k) for k, x in zip(("west", "south", "east", "north"), (w, s, e, n))))
+    assert tuple(value(geo.joined_boxes(box(170, 0, 175, 1), box(-175, -5, -170, 0)))) == (170, -5, -170, 1)
+    assert tuple(value(geo.joined_boxes(box(-10, 0, 10, 1), box(0, 0, 5, 1)))) == (-10, 0, 10, 1)
+    assert tuple(value(geo.joined_boxes(box(-170, 0, 100, 1), box(90, 0, -160, 1)))) == (-180, 0, 180, 1)
+    ring = lambda *ps: F.array(*(F.struct(lit(float(x)).alias("lng"), lit(float(y)).alias("lat")) for x, y in ps))
+    assert [tuple(p) for p in value(geo.densified(ring((-170, 0), (190, 6), (0, 0))))] == [(-170, 0), (-50, 2), (70, 4), (190, 6), (95, 3), (0, 0)]
+    assert [tuple(p) for p in value(geo.densified(ring((0, 0), (179, 1))))] == [(0, 0), (179, 1)]
+
+
+def test_places_as_written(spark):
+    schema = "node long, at long, Lat double, Lng double, Heading double, DrivingDirectionAngle int, CountryCode string, Month int, pano_id string, tag string"
+    rows = [(1, 2, 0.0, 0.0, 1.5, 9, "FI", 3, "late", None), (1, 1, 5.0, 6.0, 2.5, 9, "FI", 4, "first", ""), (2, 3, 0.0, 0.0, 400.0, 7, None, 3, "p", "own")]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.node: r for r in outputs.written(df, "at", ["Month"], "Heading + Elevation", {"FI": "0 - Heading - 359 + Roads10"}, ["FI"], zoom=1.0).collect()}
+    assert tuple(got[1]) == (1, 5.0, 6.0, -1.0, 1.0, None, "first", ["4"])
+    assert got[2].heading is None and got[2].pano_id is None and got[2].tags == ["3", "own"]
+    plain = {r.node: r for r in outputs.written(df, "at", pano_countries=["*"]).collect()}
+    assert (plain[1].heading, plain[2].heading, plain[2].pano_id, plain[1].tags) == (2.0, 40.0, "p", None)
+    assert outputs.written(df.filter("false"), "at").count() == 0
+    for text in ("Heading gt 1", "Lat + 1", "Heading Heading", ""):
+        with pytest.raises(FilterError):
+            compile_number(text, {"Heading": ("int", F.lit(1)), "Lat": ("double", F.lit(1.0))})
