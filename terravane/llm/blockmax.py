@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bytesops import text_buffers
-from .frames import discard, materialize, small_batches, text_of
+from .frames import batches_of, discard, materialize, small_batches, text_of
 from .wordruns import lowered, numbered, runs
 from .workers import lean
 
@@ -33,6 +33,7 @@ _BYTES, _DOCS = 1 << 18, 128  # of a block, at most (or one document)
 _ITEMS = 4096  # queries of a batch, about
 _SEEDS = 8  # blocks that give a query its first threshold
 _AT_ONCE = 256  # queries scored against a block together
+_BLOCKS = 16  # of a row group or a batch for Python; a row is a block
 _SOLID = np.ones(256, bool)
 _SOLID[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = False
 
@@ -111,10 +112,11 @@ def build_index(docs: DataFrame, most: int = _DOCS) -> tuple[DataFrame, int, int
     """(index, N, L): blocks of documents that have terms, how many such documents there are and how many terms they have together."""
     small_batches(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    forward = materialize(src.mapInArrow(lean(_forward(most)), _FORWARD), "forward", "zstd")
-    sums = forward.select(F.size("doc_ids").alias("n"), "sizes").mapInArrow(_sums, "n long, l long").agg(F.sum("n").alias("n"), F.sum("l").alias("l")).first()
-    count, total = sums["n"] or 0, sums["l"] or 0
-    index = materialize(forward.mapInArrow(lean(_finish(count, total)), _INDEX), "block_index", "zstd")
+    forward = materialize(src.mapInArrow(lean(_forward(most)), _FORWARD), "forward", "zstd", _BLOCKS)
+    with batches_of(docs.sparkSession, _BLOCKS):
+        sums = forward.select(F.size("doc_ids").alias("n"), "sizes").mapInArrow(_sums, "n long, l long").agg(F.sum("n").alias("n"), F.sum("l").alias("l")).first()
+        count, total = sums["n"] or 0, sums["l"] or 0
+        index = materialize(forward.mapInArrow(lean(_finish(count, total)), _INDEX), "block_index", "zstd", _BLOCKS)
     discard(forward)
     return index, count, total
 
@@ -260,10 +262,8 @@ def rank(docs: DataFrame, items: DataFrame, k: int = TOP, skipped=None, block: i
     asked_rows = materialize(asked_rows, "items")
     passes = max(1, -(-asked_rows.count() // _ITEMS))
     schema = "item long, doc_id long, score long"
-    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     out = spark.createDataFrame([], "row long, item_id long, doc_id long, score long")
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)  # a row is a block
+    with batches_of(spark, _BLOCKS):
         for p in range(passes if count else 0):
             some = asked_rows.filter(F.pmod(F.xxhash64("row"), F.lit(passes)) == p).orderBy("row").toArrow().combine_chunks()  # about _ITEMS rows
             if not some.num_rows:
@@ -297,8 +297,6 @@ def rank(docs: DataFrame, items: DataFrame, k: int = TOP, skipped=None, block: i
             last.destroy()
             names = spark.createDataFrame(pa.table({"item": np.arange(some.num_rows), "row": some["row"], "item_id": some["item_id"]}))
             out = out.unionByName(found.join(F.broadcast(names), "item").select("row", "item_id", "doc_id", "score"))  # the batch's rows
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     discard(index)
     place = F.row_number().over(W.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     return out.withColumn("rank", place).filter(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage is cut, lost executors cost nothing."""
+def materialize(df: DataFrame, name: str, compression: str = "snappy", group_rows: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: lineage is cut, lost executors cost nothing.
+
+    Wide rows need a bound on the rows of a row group: a reader decodes a whole group (4096 rows at most) at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/terravane/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path, compression=compression)
+    writer = df.write if group_rows is None else df.write.option("parquet.block.row.count.limit", group_rows)
+    writer.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._terravane_path = path
     return out
@@ -72,6 +78,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Inside, jobs hand Python at most so many rows at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hand Python at most so many texts at a time; a batch is then a few MB."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

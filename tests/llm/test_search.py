@@ -211,6 +211,35 @@ def test_rank_in_several_batches_and_of_nothing(spark, monkeypatch):
     assert blockmax.rank(docs(spark, rows), table.limit(0)).count() == 0
 
 
+def test_index_is_built_and_read_by_few_blocks(spark, monkeypatch):
+    """Blocks are wide rows: however many a task has, a batch and a row group hold few."""
+    import pyarrow.parquet as pq
+
+    sizes = spark.sparkContext.accumulator(0)
+    whole = blockmax._finish
+
+    def watched(count, total):
+        run = whole(count, total)
+
+        def counted(batches):
+            def each():
+                for b in batches:
+                    sizes.add(int(b.num_rows > 16))
+                    yield b
+
+            yield from run(each())
+
+        return counted
+
+    monkeypatch.setattr(blockmax, "_finish", watched)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    index, count, total = blockmax.build_index(docs(spark, [(i, f"river w{i}", "en") for i in range(100)]).coalesce(1), 1)
+    assert (count, total, index.count(), sizes.value) == (100, 200, 100, 0)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    assert max(m.row_group(g).num_rows for m in groups for g in range(m.num_row_groups)) <= 16
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == min(1000, int(before))
+
+
 def test_large_weights_stay_whole():
     """Sums beyond what doubles hold are taken in integers."""
     import pyarrow as pa
