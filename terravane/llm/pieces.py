@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -43,6 +44,37 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 _models: dict[str, Pieces] = {}
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian 32-bit integers."""
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
+class _Known(dict):
+    """The ids of words, as bytes; of two generations the older one goes when the younger is full, so frequent words stay.
+
+    A word falls into parts between neighbours that stand together in no piece: no path joins them, and each part has a path of its own.
+    """
+
+    def __init__(self, model: Pieces):
+        self.model, self.older = model, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            joined = self.model.joined
+            at = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joined]
+            if at:
+                ids = b"".join([self[word[i:j]] for i, j in zip([0, *at], [*at, len(word)])])
+            else:
+                ids = _packed(self.model.ids(self.model.path(word)))
+        if len(word) <= 64:
+            if len(self) >= self.model.most:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Pieces:
     """The vocabulary of a BPE model, and its merges of short texts."""
 
@@ -63,14 +95,21 @@ class Pieces:
         byte = {i: b for b, i in self.byte.items()}
         self.raw = [bytes([byte[i]]) if i in byte else p.encode() for i, p in enumerate(self.piece)]
         self.longest = max(map(len, self.id))
-        self.reach: dict[str, int] = {}  # the longest piece with these two characters first
+        self.joined = {q[i : i + 2] for q in self.id for i in range(len(q) - 1)}
+        lengths: dict[str, set[int]] = {}
         for q in self.id:
-            if len(q) > 1:
-                self.reach[q[:2]] = max(self.reach.get(q[:2], 1), len(q))
+            for first in {q[:2], q[:3]} if len(q) > 1 else ():
+                lengths.setdefault(first, {1}).add(len(q))
+        for first in lengths:
+            if len(first) == 3:
+                lengths[first] |= {2} & {len(q) for q in (first[:2],) if q in self.id}
+        # of the pieces with these three characters first (two: at the end of a word, or before characters that no piece has there), longest first
+        self.sizes = {first: tuple(sorted(n if len(first) == 3 else {k for k in n if k < 3}, reverse=True)) for first, n in lengths.items()}
         self.trails: dict[str, tuple] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, np.ndarray] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
         self.most = most
+        self.known = _Known(self)
 
     @staticmethod
     def of(path: str) -> Pieces:
@@ -105,48 +144,44 @@ class Pieces:
                 offer(before[i], i)
         return [p for p in parts if p is not None]
 
+    def coded(self, text: str) -> bytes:
+        """The ids of whole words as little-endian 32-bit integers, each word by its path of weight 0; short words are remembered."""
+        return b"".join(map(self.known.__getitem__, _WORD.findall(text)))
+
     def words(self, text: str) -> list[int]:
-        """The ids of whole words, each by its path of weight 0; short words are remembered."""
-        out: list[int] = []
-        known = self.known
-        for w in _WORD.findall(text):
-            ids = known.get(w)
-            if ids is None:
-                ids = self.ids(self.path(w))
-                if len(w) <= 64:
-                    if len(known) >= self.most:
-                        known.clear()
-                    known[w] = ids
-            out += ids
-        return out
+        return np.frombuffer(self.coded(text), "<i4").tolist()
 
     def path(self, word: str) -> list[str]:
         """The pieces of the one path of weight 0 through the lattice of a word, depth first, longest piece first.
 
         A beginning of the word has one encoding, so a place is entered by one piece only, and never twice.
         """
-        n, ids, pairs, fits, reach = len(word), self.id, self.pairs, self.fits, self.reach
-        pieces, tries, dead = [""], [reach.get(word[:2], 1)], set()
-        pos, u, size = 0, "", tries[0]
+        n, ids, pairs, fits, sizes = len(word), self.id, self.pairs, self.fits, self.sizes
+        one = (1,)
+        first = sizes.get(word[:3]) or sizes.get(word[:2], one)
+        pieces, tries, dead = [""], [iter(first)], set()
+        pos, u = 0, ""
+        after = pairs.get(u, pairs)
         while pos < n:
-            while size:
-                v = word[pos : pos + size]
-                if (v in ids or size == 1) and pos + size <= n and pos + size not in dead:
-                    known = pairs.get((u, v))
-                    if known if known is not None else fits(u, v):
-                        break
-                size -= 1
-            if size:
-                tries[-1] = size - 1
-                pos, u = pos + size, v
-                size = reach.get(word[pos : pos + 2], 1)
-                pieces.append(u)
-                tries.append(size)
+            for size in tries[-1]:
+                end = pos + size
+                if end > n or end in dead:
+                    continue
+                v = word[pos:end]
+                if size > 1 and v not in ids:
+                    continue
+                known = after.get(v)
+                if known is True or known is not False and fits(u, v):
+                    pos, u = end, v
+                    pieces.append(v)
+                    tries.append(iter(sizes.get(word[pos : pos + 3]) or sizes.get(word[pos : pos + 2], one)))
+                    break
             else:
                 dead.add(pos)
                 tries.pop()
                 pos -= len(pieces.pop())
-                u, size = pieces[-1], tries[-1]
+                u = pieces[-1]
+            after = pairs.get(u, pairs)
         return pieces[1:]
 
     def trail(self, piece: str) -> tuple[list[float], list[str], list[str]]:
@@ -167,11 +202,14 @@ class Pieces:
 
     def fits(self, a: str, b: str) -> bool:
         """Whether pieces a and b may follow one another: weight 0 rather than minus infinity."""
-        known = self.pairs.get((a, b))
+        after = self.pairs.get(a)
+        known = after.get(b) if after is not None else None
         if known is None:
-            if len(self.pairs) >= self.most:
+            if self.n_pairs >= self.most:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self._fit(a, b)
+                self.n_pairs = 0
+            known = self.pairs.setdefault(a, {})[b] = self._fit(a, b)
+            self.n_pairs += 1
         return known
 
     def _fit(self, a: str, b: str) -> bool:
@@ -452,9 +490,10 @@ _OUT = pa.schema([("key", pa.binary()), ("n_tokens", pa.int64()), ("ids_crc32",
 _KEYED = "key binary, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
 
 
-def _told(model: Pieces, text: str, ids: list[int]) -> tuple:
+def _told(model: Pieces, text: str, coded: bytes) -> tuple:
+    ids = np.frombuffer(coded, "<i4").tolist()
     back = decode(model, ids)
-    return len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == text.replace(_SPACE, " ")
+    return len(ids), zlib.crc32(coded), hashlib.sha256(back.encode()).hexdigest(), back == text.replace(_SPACE, " ")
 
 
 def _report(path: str, schema: pa.Schema):
@@ -466,8 +505,7 @@ def _report(path: str, schema: pa.Schema):
             rows = []
             for k in range(batch.num_rows):
                 text = batch.column(1)[k].as_py()
-                ids = model.words(escaped(text)) if batch.num_columns == 2 else np.frombuffer(b"".join(batch.column(2)[k].as_py()), "<i4").tolist()
-                rows.append(_told(model, text, ids))
+                rows.append(_told(model, text, model.coded(escaped(text)) if batch.num_columns == 2 else b"".join(batch.column(2)[k].as_py())))
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), schema.types[1:]))], schema=schema)
 

@@ -486,6 +486,21 @@ def test_pieces_equal_the_library():
             assert pieces.decode(model, ids) == t.replace("▁", " ")
 
 
+def test_frequent_words_stay_known():
+    """The memory of words is bounded, and a word that keeps coming is taken through its lattice once; parts no piece joins are shared."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    model, asked = pieces.Pieces(pieces.model_path(), most=8), collections.Counter()
+    path = model.path
+    model.path = lambda w: asked.update([w]) or path(w)
+    text = " ".join(f"river {a}{b}{c}" for a in "qxz" for b in "aeiou" for c in "kvw")
+    assert model.words(pieces.escaped(text)) == library.encode(text)
+    assert asked["▁river"] == 1 and len(model.known) <= 8 and len(model.known.older) <= 8
+    assert model.words("▁river\n▁river\n\n") == library.encode("river\n river\n\n") and asked["▁river"] == 1
+    assert all(w[i : i + 2] in model.joined for w in asked for i in range(len(w) - 1))
+
+
 def test_pieces_table(spark, none):
     import sentencepiece
 
