@@ -10,7 +10,7 @@ from terravane.llm.neardup import clusters, maybe_broadcast
 from terravane.llm.packing import pack
 from terravane.llm.pii import redact
 from terravane.llm.quality import fit, keep_good
-from terravane.llm.suffixes import remove_repeats
+from terravane.llm.suffixes import PASSAGE, remove_repeats
 
 _KEY, _ID = "terravane_text_key", "terravane_doc_id"
 
@@ -49,8 +49,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the windows of 400 bytes that repeat; texts that repeat whole (ids aside) are empty then, if as long."""
-    return remove_repeats(docs)
+    """Documents without the windows of 400 bytes and of 50 words that repeat; texts that repeat whole (ids aside) are empty then, if as long."""
+    return remove_repeats(docs, n_words=PASSAGE)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,9 @@ said by BLAKE2b digests of 128 bits for whole runs and second digits, and by the
 themselves for the rest. A settled group leaves one weighted witness for the next pass, so a
 hot group shrinks to its different members before it is dealt out again.
 
+Repeated passages are found by their words in the same way (``passages``): runs of windows with one
+anchor first, then the single windows of runs that differ as a whole.
+
 Texts move once: the different texts are dealt by key into a bucketed table, and both steps
 that need their bytes join it in place.
 """
@@ -31,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytesops import U64, Spans, slices, text_buffers, to_i64
+from .bytesops import U64, Spans, slices, text_buffers, to_i64, words
 from .frames import bucketed, discard, materialize, small_batches, text_key, text_of
 from .workers import lean
 
 DEPTH = 400
+PASSAGE = 50  # words
 _GRAM = 200
 _CUT = 16
 _SLICE = 1 << 18
@@ -43,6 +47,8 @@ _ROWS = 1 << 14
 _TOP = U64(0xFFFFFFFF00000000)
 _KEY = "terravane_text_key"
 _RUNS = "key binary, copies long, pos long, lo int, hi int, outer long, inner binary"
+_PASSAGES = "key binary, copies long, first long, last long, s long, e long, outer long, inner binary"
+_WINDOWS = "key binary, copies long, digit binary, s long, e long"
 _PARTS = "key binary, copies long, pos long, lo int, hi int, outer binary, head binary, tail binary"
 
 
@@ -196,6 +202,78 @@ def covered(texts: DataFrame, depth: int = DEPTH, gram: int | None = None) -> Da
     return ranges
 
 
+def _spaced(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the words, each with a space behind it, where each begins): white space doesn't tell passages apart."""
+    size = end - start
+    place = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(place[-1], 32, np.uint8)
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(place[:-1], size) + at] = raw[np.repeat(start, size) + at]
+    return out, place
+
+
+def _word_anchors(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = text_buffers(batch.column(2))
+            for i, j in slices(off, _SLICE):
+                part = raw[off[i] : off[j]]
+                start, end, of = words(part, off[i : j + 1] - off[i])
+                if len(start) < n:
+                    continue
+                upto = np.searchsorted(of, np.arange(j - i + 1))
+                _, first, last, row, outer = runs(Spans(part).hash(start, end), upto, n, max(1, n // 2))
+                flat, place = _spaced(part, start, end)
+                inner = digests(flat, place[first], place[last + n])
+                take, base = pa.array(row + i), off[row + i] - off[i]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(first - upto[row]), pa.array(last - upto[row]), pa.array(start[first] - base), pa.array(end[last + n - 1] - base), pa.array(to_i64(outer)), pa.array(inner, pa.binary())],
+                    names=["key", "copies", "first", "last", "s", "e", "outer", "inner"],
+                )
+
+    return run
+
+
+def _word_windows(n: int):
+    """Rows (key, text, todo) into the single windows of their open runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text, todo in zip(batch.column(0), batch.column(1), batch.column(2)):
+                raw = np.frombuffer(text.as_py(), np.uint8)
+                start, end, _ = words(raw, np.array([0, len(raw)]))
+                flat, place = _spaced(raw, start, end)
+                first, last, copies = (todo.values.field(c).to_numpy() for c in ("first", "last", "copies"))
+                count = last - first + 1
+                w = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+                each = np.repeat(copies, count)
+                for k in range(0, len(w), _ROWS):
+                    x = w[k : k + _ROWS]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([key.as_py()] * len(x), pa.binary()), pa.array(each[k : k + _ROWS]), pa.array(digests(flat, place[x], place[x + n]), pa.binary()), pa.array(start[x]), pa.array(end[x + n - 1])],
+                        names=["key", "copies", "digit", "s", "e"],
+                    )
+
+    return run
+
+
+def passages(texts: DataFrame, n: int = PASSAGE) -> DataFrame:
+    """(key, spans): for each different text, the sorted [start, end) byte ranges of windows of ``n`` words that also start elsewhere.
+
+    Words are runs without ASCII white space; what stands between them doesn't count.
+    """
+    first = materialize(texts.select("key", "copies", "text").mapInArrow(lean(_word_anchors(n)), _PASSAGES), "word_anchors")
+    both, todo = _settle(first, ["inner"], "word_pass")
+    spans = both.filter("n > 1").select("key", "s", "e")
+    by_text = todo.groupBy("key").agg(F.collect_list(F.struct("first", "last", "copies")).alias("todo"))  # the runs of one text
+    windows = materialize(texts.select("key", "text").join(by_text, "key").select("key", "text", "todo").mapInArrow(lean(_word_windows(n)), _WINDOWS), "word_windows")
+    twice = windows.groupBy("digit").agg(F.sum("copies").alias("n")).filter("n > 1")
+    spans = spans.unionByName(windows.filter("copies = 1").join(twice, "digit", "left_semi").select("key", "s", "e"))
+    ranges = materialize(spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")), "passages")
+    discard(first, both, windows)
+    return ranges
+
+
 def merged(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of ranges [s, e) sorted by s."""
     if not len(s):
@@ -263,15 +341,20 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.binary(), pa.string()])], names=["key", "cleaned"])
 
 
-def remove_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, depth: int = DEPTH, n_words: int | None = None) -> DataFrame:
     """docs with the repeated windows taken out of text (whole characters only) and n_chars, if there, counted anew.
 
+    With ``n_words``, repeated passages of so many words or more go as well, however short in bytes.
+
     Rows without a repeat stay as they are, null texts too; repeated rows repeat each other; other columns, also
     nested ones or those with dots in their names, are handed on; an empty table stays empty.
     """
     small_batches(docs.sparkSession)
     texts = different_texts(docs)
-    changed = texts.select("key", "text").join(covered(texts, depth), "key").select("key", "text", "spans").mapInArrow(lean(_cleaned), "key binary, cleaned string")
+    gone = covered(texts, depth)
+    if n_words:
+        gone = gone.unionByName(passages(texts, n_words)).groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
+    changed = texts.select("key", "text").join(gone, "key").select("key", "text", "spans").mapInArrow(lean(_cleaned), "key binary, cleaned string")
     changed = materialize(changed.select(F.col("key").alias(_KEY), F.col("cleaned").alias(_KEY + "_text")), "cleaned")
     discard(texts)
     old, new = F.col("text"), F.col(_KEY + "_text")

@@ -446,6 +446,46 @@ def test_suffixes_read_long_texts_in_pieces(spark, monkeypatch):
     assert collections.Counter(tuple(r)[:5] for r in suffixes.removal(docs(spark, rows), 64).collect()) == brute_removal(rows, 64)
 
 
+def brute_passages(rows, n):
+    """The bytes of each text outside of windows of n words that stand twice anywhere."""
+    found = [list(re.finditer(rb"[^\t-\r ]+", (t or "").encode())) for t in rows]
+    seen = collections.Counter(tuple(m.group() for m in ms[i : i + n]) for ms in found for i in range(len(ms) - n + 1))
+    out = []
+    for t, ms in zip(rows, found):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(ms) - n + 1):
+            if seen[tuple(m.group() for m in ms[i : i + n])] > 1:
+                gone[ms[i].start() : ms[i + n - 1].end()] = b"\1" * (ms[i + n - 1].end() - ms[i].start())
+        out.append(bytes(c for c, g in zip(b, gone) if not g).decode())
+    return out
+
+
+def test_passages_of_words_match_brute_force(spark, monkeypatch):
+    """Repeated passages go by their words, however few bytes they have and whatever white space is between them."""
+    monkeypatch.setattr(suffixes, "_ROWS", 16)
+    rng = random.Random(5)
+    words = lambda k: " ".join(rng.choice(["a", "é", "of", "river", "stone", "日本"]) for _ in range(k))
+    shared = [words(rng.randint(6, 30)) for _ in range(6)]
+    rows = [rng.choice(["", "\n", " \t"]).join([words(rng.randint(0, 15)) + " ", rng.choice(shared), " " + words(rng.randint(0, 15))]) for _ in range(60)]
+    rows += [shared[0].replace(" ", "\n  "), shared[0], None, "", " ", words(3), "x " * 40, words(200), rows[3], rows[3]]
+    for n, depth in ((8, 4000), (2, 4000)):
+        out = suffixes.remove_repeats(docs(spark, list(enumerate(rows))), depth, n).collect()
+        assert [r.text or "" for r in sorted(out, key=lambda r: r.doc_id)] == brute_passages(rows, n)
+
+
+def test_pipeline_removes_short_passages(spark, tmp_path):
+    """54 words of 300 bytes are under the 400 bytes of a window, and a repeated passage all the same."""
+    import corpus_pipeline as c
+
+    passage = " ".join(f"w{k}zz" for k in range(54))
+    own = lambda a: " ".join(f"{a}{k}" for k in range(70))
+    rows = [(1, f"{own('p')} {passage} {own('q')}"), (2, f"{own('r')} {passage} {own('s')}"), (3, own("t") + " " + passage[:240])]
+    assert len(passage) < 330
+    out = {r.doc_id: r.text for r in c.suffixes(spark, docs(spark, rows), str(tmp_path)).collect()}
+    assert out == {1: f"{own('p')}  {own('q')}", 2: f"{own('r')}  {own('s')}", 3: rows[2][1]}
+
+
 # 8 ---------------------------------------------------------------------------------------------
 
 
