@@ -185,10 +185,12 @@ def covered(texts: DataFrame, depth: int = DEPTH, gram: int | None = None) -> Da
     gram, cut = gram or depth // 2, min(_CUT, depth)
     first = materialize(texts.select("key", "copies", "text").mapInArrow(lean(_anchors(depth, gram)), _RUNS), "anchors")
     both0, todo = _settle(first, ["inner"], "pass1")
+    discard(first)
     spans = _found(both0, F.lit(True), depth)
     by_text = todo.groupBy("key").agg(F.collect_list(F.struct("pos", "lo", "hi", "copies")).alias("todo"))  # the runs of one text
     parts = materialize(texts.select("key", "text").join(by_text, "key").select("key", "text", "todo").mapInArrow(lean(_cut_up(depth, cut)), _PARTS), "parts")
     both1, todo = _settle(parts, ["lo", "hi", "head", "tail"], "pass2")
+    discard(parts)
     spans = spans.unionByName(_found(both1, F.col("copies") == 1, depth))
     # each window of a part: the end of what stands before the shared bytes and the beginning of what stands behind them
     at = todo.withColumn("o", F.explode(F.sequence("lo", "hi"))).withColumn("t", F.col("o") - F.col("o") % cut)
@@ -198,7 +200,7 @@ def covered(texts: DataFrame, depth: int = DEPTH, gram: int | None = None) -> Da
     last = windows.filter("copies = 1").join(twice, ["outer", "o", "digit"], "left_semi")
     spans = spans.unionByName(last.select("key", (F.col("pos") - F.col("o")).alias("s"), (F.col("pos") - F.col("o") + depth).alias("e")))
     ranges = materialize(spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")), "covered")
-    discard(first, both0, parts, both1, windows)
+    discard(both0, both1, windows)
     return ranges
 
 
@@ -264,13 +266,14 @@ def passages(texts: DataFrame, n: int = PASSAGE) -> DataFrame:
     """
     first = materialize(texts.select("key", "copies", "text").mapInArrow(lean(_word_anchors(n)), _PASSAGES), "word_anchors")
     both, todo = _settle(first, ["inner"], "word_pass")
+    discard(first)
     spans = both.filter("n > 1").select("key", "s", "e")
     by_text = todo.groupBy("key").agg(F.collect_list(F.struct("first", "last", "copies")).alias("todo"))  # the runs of one text
     windows = materialize(texts.select("key", "text").join(by_text, "key").select("key", "text", "todo").mapInArrow(lean(_word_windows(n)), _WINDOWS), "word_windows")
     twice = windows.groupBy("digit").agg(F.sum("copies").alias("n")).filter("n > 1")
     spans = spans.unionByName(windows.filter("copies = 1").join(twice, "digit", "left_semi").select("key", "s", "e"))
     ranges = materialize(spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")), "passages")
-    discard(first, both, windows)
+    discard(both, windows)
     return ranges
 
 
@@ -288,37 +291,50 @@ def _kept(data: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join([data[a:b] for a, b in zip(ends, [*(s for s, _ in gone), len(data)])])
 
 
-def _each(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, list[tuple[int, int]]]]:
+def _each(batch: pa.RecordBatch, column: str = "spans") -> Iterator[tuple[bytes, bytes, list[tuple[int, int]]]]:
     """(key, text, merged ranges) of each row (key, text, spans)."""
-    lists = batch.column(2)
+    lists = batch.column(column)
     item, size = lists.flatten(), np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
     s, e, upto = item.field("s").to_numpy(), item.field("e").to_numpy(), np.concatenate([[0], np.cumsum(size)])
     for k in range(batch.num_rows):
         yield batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), merged(s[upto[k] : upto[k + 1]], e[upto[k] : upto[k + 1]])
 
 
+def _size(ranges: list[tuple[int, int]]) -> int:
+    return sum(e - s for s, e in ranges)
+
+
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
     for batch in batches:
-        rows = [(key, len(data), sum(e - s for s, e in gone), len(gone), hashlib.sha256(_kept(data, gone)).hexdigest()) for key, data, gone in _each(batch)]
+        rows = [(key, len(data), _size(gone), len(gone), hashlib.sha256(_kept(data, gone)).hexdigest(), len(told), _size(told)) for (key, data, gone), (_, _, told) in zip(_each(batch), _each(batch, "passages"))]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes"])
 
 
-def removal(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def removal(docs: DataFrame, depth: int = DEPTH, n_words: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_bytes of each row, on the UTF-8 bytes of its whole text.
 
     Every byte covered by a ``depth``-byte string that also starts anywhere else goes, in all its occurrences.
+    With ``n_words``, n_passages and passage_bytes follow: the maximal runs, and their bytes, that windows of so many
+    words cover that also start elsewhere, however short in bytes. They are told of and stay in the kept bytes.
+
     Null texts are empty; repeated rows repeat each other, so all of a text of depth bytes or more goes; very long
     texts are read in pieces of 256 KiB; other columns are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     texts = different_texts(docs)
-    told = texts.select("key", "text").join(covered(texts, depth), "key", "left").select("key", "text", "spans").mapInArrow(lean(_report), "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    marked = texts.select("key", "text").join(covered(texts, depth), "key", "left")
+    if n_words:
+        marked = marked.join(passages(texts, n_words).withColumnRenamed("spans", "passages"), "key", "left")
+    else:
+        marked = marked.withColumn("passages", F.slice("spans", 1, 0))
+    told = marked.select("key", "text", "spans", "passages").mapInArrow(lean(_report), "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long")
     told = materialize(told, "removals")
     discard(texts)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text_of()).alias("key"))
-    return rows.join(told, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("kept_bytes"))
+    more = ["n_passages", "passage_bytes"] if n_words else []
+    return rows.join(told, "key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("kept_bytes"), *more)
 
 
 def whole_characters(data: bytes, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -365,4 +381,4 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, n_words: int | None = No
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removal(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return removal(spark.read.parquet(f"{sf_dir}/documents.parquet"), n_words=PASSAGE)

@@ -474,6 +474,25 @@ def test_passages_of_words_match_brute_force(spark, monkeypatch):
         assert [r.text or "" for r in sorted(out, key=lambda r: r.doc_id)] == brute_passages(rows, n)
 
 
+def test_suffixes_tell_of_short_passages(spark, tmp_path):
+    """54 words of under 400 bytes that repeat aren't removed, but told of, as are all repeated passages."""
+    passage = " ".join(f"w{k}zz" for k in range(54))
+    own = lambda a: " ".join(f"{a}{k}" for k in range(70))
+    rows = [(1, f"{own('p')} {passage} {own('q')}"), (2, f"{own('r')} {passage}\n{own('s')} {passage}"), (3, own("t") + " " + passage[:240]), (4, None), (5, own("u")), (6, own("u"))]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in suffixes.op7_suffix_dedup(spark, str(tmp_path)).collect()}
+    n = len(passage)
+    assert {i: (r.n_passages, r.passage_bytes) for i, r in out.items()} == {1: (1, n), 2: (2, 2 * n), 3: (0, 0), 4: (0, 0), 5: (1, len(own("u"))), 6: (1, len(own("u")))}
+    assert collections.Counter(tuple(r)[:5] for r in out.values()) == brute_removal(rows, 400)
+    words = lambda k: " ".join(rng.choice(["a", "é", "of", "river", "日本"]) for _ in range(k))
+    rng = random.Random(8)
+    texts = [words(rng.randint(0, 40)) for _ in range(40)]
+    texts = [*texts, None, *(f"{words(9)} {t[3:40]}\n{words(5)}" for t in texts[:9])]
+    told = sorted(suffixes.removal(docs(spark, list(enumerate(texts))), 30, 7).collect(), key=lambda r: r.doc_id)
+    assert [r.n_bytes - r.passage_bytes for r in told] == [len(t.encode()) for t in brute_passages(texts, 7)]
+    assert collections.Counter(tuple(r)[:5] for r in told) == brute_removal(list(enumerate(texts)), 30)
+
+
 def test_pipeline_removes_short_passages(spark, tmp_path):
     """54 words of 300 bytes are under the 400 bytes of a window, and a repeated passage all the same."""
     import corpus_pipeline as c
