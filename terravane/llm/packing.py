@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bytesops import slices, text_buffers
 from .frames import materialize, partitions, small_batches, text_of
 from .wordbpe import WordCache
 from .workers import lean
@@ -40,17 +39,16 @@ def _cut(path: str, capacity: int, end_id: int):
         cache = WordCache.of(path)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            raw, off = text_buffers(batch.column(1))
             doc_ids = batch.column(0).to_pylist()
             rows: list[list] = [[], [], [], [], []]
-            for i, j in slices(off, 1 << 20):
-                for doc, ids in zip(doc_ids[i:j], cache.many(batch.column(1).slice(i, j - i).to_pylist())):
-                    ids += end
-                    n = len(ids) // 4
-                    for k, s in enumerate(range(0, n, capacity)):
-                        piece = ids[4 * s : 4 * (s + capacity)]
-                        for column, v in zip(rows, (doc, k, s, len(piece) // 4, zlib.crc32(piece))):
+            for i, ids, ends in cache.of_rows(batch.column(1), end):
+                a = 0
+                for doc, b in zip(doc_ids[i:], ends.tolist()):
+                    for k, s in enumerate(range(a, b, 4 * capacity)):
+                        piece = ids[s : min(b, s + 4 * capacity)]
+                        for column, v in zip(rows, (doc, k, (s - a) // 4, len(piece) // 4, zlib.crc32(piece))):
                             column.append(v)
+                    a = b
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _PIECES.types)], schema=_PIECES)
 
     return run

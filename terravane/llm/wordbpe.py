@@ -7,13 +7,23 @@ splits at it and between letters and other signs before any merge.
 from __future__ import annotations
 
 import json
-import re
+from collections.abc import Iterator
 
 import numpy as np
-
-_FOLDS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch  # letters that fold byte by byte
-_SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_CAPITAL = re.compile(rb"\xc3[\x80-\x96\x98-\x9e]").sub
+import pyarrow as pa
+
+from .bytesops import slices, text_buffers
+from .wordruns import lowered, runs
+
+_SOLID = np.ones(256, bool)  # all but white space
+_SOLID[[9, 10, 11, 12, 13, 32]] = False
+_LETTER = np.zeros(256, bool)  # the bytes of a-z and, in UTF-8, of U+00C0 to U+00FF without the two signs there
+_LETTER[[*range(0x61, 0x7B), 0xC3, *range(0x80, 0xC0)]] = True
+_LETTER[[0x97, 0xB7]] = False
+_SIGN = np.zeros(256, bool)
+_SIGN[[*b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
+_SLICE = 1 << 22
+_STEM, _TAIL = 60, 8  # bytes of a word, and of the signs behind it
 _NONE = np.int64(1 << 40)
 
 
@@ -44,7 +54,7 @@ class Merges:
 
     def __call__(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as little-endian 32-bit bytes."""
-        raw = np.frombuffer(b"".join(words), np.uint8)
+        raw = _folded(np.frombuffer(b"".join(words), np.uint8))
         size = np.array([len(w) for w in words])
         sym, word = self.inner[raw], np.repeat(np.arange(len(words)), size)
         final = np.cumsum(size) - 1
@@ -88,6 +98,40 @@ class Merges:
         return out
 
 
+def _folded(raw: np.ndarray) -> np.ndarray:
+    """U+00C0 to U+00DE in lower case; A-Z are already."""
+    raw = raw.copy()
+    raw[1:][(raw[:-1] == 0xC3) & (raw[1:] <= 0x9E) & (raw[1:] >= 0x80)] += 0x20
+    return raw
+
+
+def chunks(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, where each chunk begins and the last ends, the chunks before each row and in all) of texts.
+
+    The bytes are those without white space, A-Z lower-cased. Chunks lie between white space; signs behind a
+    word of plain letters are a chunk of their own.
+    """
+    start, end, row = runs(raw, offsets, _SOLID)
+    place = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=place[1:])
+    solid = lowered(raw[_SOLID[raw]])
+    edge = np.zeros(len(solid) + 1, bool)
+    edge[place] = True
+    letter, sign = _LETTER[solid], _SIGN[solid]
+    inner = ~edge[1:-1]
+    odd = ~(letter | sign)
+    odd[1:] |= letter[1:] & sign[:-1] & inner
+    cut = np.flatnonzero(sign[1:] & letter[:-1] & inner) + 1
+    of = np.searchsorted(place, cut, "right") - 1
+    before = np.zeros(len(solid) + 1, np.int32)
+    np.cumsum(odd, out=before[1:])
+    plain = (before[place[of]] == before[place[of + 1]]) & (cut - place[of] <= _STEM) & (place[of + 1] - cut <= _TAIL)
+    edge[cut[plain]] = True
+    begin = np.flatnonzero(edge)
+    upto = np.searchsorted(begin, place[np.searchsorted(row, np.arange(len(offsets)))])
+    return solid, begin, upto
+
+
 _caches: dict[str, WordCache] = {}
 
 
@@ -101,9 +145,6 @@ class WordCache:
         self.tok.encode_special_tokens = True
         with open(path) as f:  # the vocabulary file of the installed package, not an input
             self.merges = Merges(json.load(f)["model"])
-        self.known[b""] = b""
-        self.tails: dict[bytes, bytes] = {b"": b""}
-
     @staticmethod
     def of(path: str) -> WordCache:
         """The cache of this process: Spark uses a Python worker for many tasks."""
@@ -114,42 +155,50 @@ class WordCache:
     def _encode(self, chunk: bytes) -> bytes:
         return np.asarray(self.tok.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, chunks: list[bytes], known: dict[bytes, bytes]) -> None:
-        tails, stems = self.tails, []
-        for c in chunks:
-            stem = c.rstrip(_SIGNS)
-            if not stem.isalpha():  # of bytes: ASCII letters only
-                if len(stem) > 60 or len(c) - len(stem) > 8 or stem and not _FOLDS(stem):
-                    known[c] = self._encode(c)
-                    stems.append(None)
-                    continue
-                stem = _CAPITAL(lambda x: bytes([0xC3, x[0][1] + 0x20]), stem)
-            stems.append(stem)
-        words = list({*stems} - known.keys() - {None})
-        for i in range(0, len(words), 50_000):
-            some = words[i : i + 50_000]
-            known.update(zip(some, self.merges(some)))
-        for c, stem in zip(chunks, stems):
-            if stem is not None and c not in known:
-                tail = c[len(stem) :]  # folding keeps the length
-                if tail not in tails:
-                    if len(tails) > 20_000:
-                        tails.clear()
-                        tails[b""] = b""
-                    tails[tail] = self._encode(tail)
-                known[c] = known[stem] + tails[tail]
+    def _learn(self, new: list[bytes]) -> None:
+        """Plain words go through the merges, the rest through the library."""
+        raw = np.frombuffer(b"".join(new), np.uint8)
+        size = np.array([len(c) for c in new])
+        plain = np.logical_and.reduceat(_LETTER[raw], np.cumsum(size) - size) & (size <= _STEM)
+        for i in range(0, len(new), 20_000):
+            some = [c for c, p in zip(new[i : i + 20_000], plain[i : i + 20_000].tolist()) if p]
+            if some:
+                self.known.update(zip(some, self.merges(some)))
+        for k in np.flatnonzero(~plain).tolist():
+            self.known[new[k]] = self._encode(new[k])
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        found = list(map(self.known.get, words))
+        new = [w for w, ids in zip(words, found) if ids is None]
+        if not new:
+            return found
+        if len(self.known) + len(new) > self.most:
+            self.known = {c: v for c, v in self.known.items() if len(c) <= 8}  # short chunks are the frequent ones
+            if len(self.known) + len(new) > self.most:
+                self.known = {}
+        self._learn(new)
+        known = self.known
+        return [known[w] if ids is None else ids for w, ids in zip(words, found)]
+
+    def of_rows(self, texts: pa.Array, end: bytes = b"") -> Iterator[tuple[int, memoryview, np.ndarray]]:
+        """(first row, the ids of some rows one after the other, each row's end there in bytes); end closes each row."""
+        texts.validate(full=True)  # UTF-8
+        raw, off = text_buffers(texts)
+        for i, j in slices(off, _SLICE):
+            solid, begin, upto = chunks(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+            told = pa.Array.from_buffers(pa.large_binary(), len(begin) - 1, [None, pa.py_buffer(begin), pa.py_buffer(solid)]).dictionary_encode()
+            data, at = text_buffers(told.dictionary)
+            data, at = data.tobytes(), at.tolist()
+            ids = pa.array([*self._ids([data[a:b] for a, b in zip(at, at[1:])]), end], pa.large_binary())
+            which = np.insert(told.indices.to_numpy(), upto[1:], len(ids) - 1)
+            flat = ids.take(pa.array(which))
+            _, places, joined = flat.buffers()
+            ends = np.frombuffer(places, np.int64)[upto[1:] + np.arange(1, j - i + 1)]
+            yield i, memoryview(joined or b""), ends
 
     def many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each of a few MB of texts."""
-        split = [t.encode().lower().split() for t in texts]  # lower() of bytes folds ASCII only
-        known = self.known
-        new = set().union(*split) - known.keys()
-        if len(known) + 2 * len(new) > self.most:
-            self.known = known = {c: v for c, v in known.items() if len(c) <= 8}  # short chunks are the frequent ones
-            if len(known) + 2 * len(new) > self.most:
-                known.clear()
-            known[b""] = b""
-            new = set().union(*split) - known.keys()
-        if new:
-            self._learn(list(new), known)
-        return [b"".join([known[c] for c in s]) for s in split]
+        """The ids of each text."""
+        out = []
+        for _, ids, ends in self.of_rows(pa.array(texts, pa.string())):
+            out += [bytes(ids[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        return out

@@ -10,6 +10,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from terravane.llm import htmltext, mpeg, neardup, packing, pieces, pii, quality, suffixes, topk, warc, wordbpe
@@ -333,6 +334,21 @@ def test_word_ids_equal_the_tokenizer():
         assert np.frombuffer(got, "<u4").tolist() == cache.tok.encode(t, add_special_tokens=False).ids
 
 
+def test_words_are_learnt_once_whatever_signs_stand_behind_them():
+    cache = wordbpe.WordCache(packing.tokenizer_path())
+    cache.many(["stone, Stone. (stone) STONE!! river\nriver? river"])
+    assert set(cache.known) == {b"stone", b"river", b",", b".", b"(stone)", b"!!", b"?"}
+    signs = ["a", "B", "é", "É", "×", "÷", "'s", "'", ",", "!", " ", "  ", "\n", "\x0b", "\x1c", "\u00a0", "3", "漢", "\u0301", "İ", "ß", "<|endoftext|>", "_", "'ll", "Þ", "\u0338", "<"]
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    texts += [w * n + s for w, n in (("a", 60), ("a", 61), ("é", 30), ("é", 31)) for s in ("!" * 8, "!" * 9, "")]
+    for t, got in zip(texts, cache.many(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == cache.tok.encode(t, add_special_tokens=False).ids
+    end = np.asarray([0], "<u4").tobytes()
+    rows = [(i + k, bytes(ids[a:b])) for i, ids, ends in cache.of_rows(pa.array(["", "river", " ", ""]), end) for k, (a, b) in enumerate(zip([0, *ends], ends))]
+    assert rows == [(0, end), (1, cache.known[b"river"] + end), (2, end), (3, end)]
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 
