@@ -13,7 +13,8 @@ import pyarrow as pa
 _CACHES = {"wordbpe": "_caches", "pieces": "_models"}
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """Freed memory to the system, of a worker or of the driver."""
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
@@ -31,6 +32,6 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ke
             if loaded is not None and module != keep:
                 getattr(loaded, cache).clear()
         yield from run(batches)
-        _give_back()
+        give_back()
 
     return wrapped

@@ -509,6 +509,17 @@ def test_suffixes_tell_of_short_passages(spark, tmp_path):
     assert collections.Counter(tuple(r)[:5] for r in told) == brute_removal(list(enumerate(texts)), 30)
 
 
+def test_pipeline_gives_back_what_the_fit_took(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as c
+
+    order: list[str] = []
+    monkeypatch.setattr(c, "fit", lambda *a: order.append("fit") or "model")
+    monkeypatch.setattr(c, "give_back", lambda: order.append("back"))
+    monkeypatch.setattr(c, "keep_good", lambda docs, model: order.append(model) or docs)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert c.quality(spark, docs(spark, [(1, "a")]), str(tmp_path)).count() == 1 and order == ["fit", "back", "model"]
+
+
 def test_pipeline_removes_short_passages(spark, tmp_path):
     """54 words of 300 bytes are under the 400 bytes of a window, and a repeated passage all the same."""
     import corpus_pipeline as c
