@@ -74,10 +74,10 @@ def bearing(lat1, lng1, lat2, lng2) -> Column:
 
 
 def in_ring(lat: Column, lng: Column, ring: list[tuple[float, float]]) -> Column:
-    """Even-odd ray cast against one ring of (lng, lat)."""
+    """Even-odd ray cast against one ring of (lng, lat); of a level edge the upper one belongs to the ring, of an upright one the western."""
     inside = F.lit(0)
     for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
-        crosses = ((F.lit(y1) > lat) != (F.lit(y2) > lat)) & (lng < (lat - y1) * ((x2 - x1) / (y2 - y1) if y2 != y1 else 0.0) + x1)
+        crosses = ((F.lit(y1) >= lat) != (F.lit(y2) >= lat)) & (lng < (lat - y1) * ((x2 - x1) / (y2 - y1) if y2 != y1 else 0.0) + x1)
         inside = inside + F.when(crosses, 1).otherwise(0)
     return inside % 2 == 1
 
