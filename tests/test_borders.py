@@ -1,5 +1,6 @@
 """Points exactly on the edges of polygons, as the SQL of the queries has them."""
 
+from terravane.operators import spatial
 from terravane.plans import catalog
 from terravane.plans.selectors import Polygon, select
 
@@ -21,3 +22,8 @@ def test_b05_polygon_on_its_edges(spark):
     assert got == {i for i, p in enumerate(EDGES) if inside(*p, catalog.BOX) and not inside(*p, catalog.HOLE)}
     where = catalog._SQL["b05_polygon"].split(" WHERE ")[-1]
     assert got == {r.id for r in df.filter(where).collect()}
+
+
+def test_c07_areas_on_their_edges(spark):
+    out = spatial.classify(table(spark), [("in", [list(catalog.HOLE)]), ("out", [list(catalog.BOX)])])
+    assert {r.id: r.area for r in out.collect()} == {i: "in" if inside(*p, catalog.HOLE) else "out" if inside(*p, catalog.BOX) else None for i, p in enumerate(EDGES)}
