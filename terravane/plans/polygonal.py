@@ -97,8 +97,9 @@ _query("i11_union", f"{_L}, {_HITS} SELECT id FROM locations WHERE {_ODD} OR {_R
 def _q09(spark, d):
     """The border at each location: how many parts it has, and its first vertex's latitude."""
     f = features(spark, d)
-    found = areas.classified(_locations(spark, d), f, areas.cover(f), "parts").filter("parts IS NOT NULL")
-    return found.select("id", F.size("parts").alias("n"), F.col("parts")[0][0][0][1].alias("lat")).withColumnRenamed("n", "parts")
+    border = f.select("pos", F.struct(F.size("parts").alias("parts"), F.col("parts")[0][0][0][1].alias("lat")).alias("border"))
+    found = areas.classified(_locations(spark, d), border, areas.cover(f), "border").filter("border IS NOT NULL")
+    return found.select("id", "border.parts", "border.lat")
 
 
 _M = "(6371000.0 * pi() / 180)"
