@@ -86,7 +86,7 @@ def _walk(columns: int | None):
     """The pass over one area, in order, against an array of what is taken."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("o", "ascending"), ("id", "ascending")]) if not pa.types.is_struct(group["o"].type) else group.take(pa.array(sorted(range(len(group)), key=[(_plain(o), i) for o, i in zip(group["o"].to_pylist(), group["id"].to_pylist())].__getitem__)))
+        group = group.sort_by([("o", "ascending"), ("id", "ascending")]) if not any(pa.types.is_struct(group[c].type) for c in ("o", "id")) else group.take(pa.array(sorted(range(len(group)), key=[(_plain(o), _plain(i)) for o, i in zip(group["o"].to_pylist(), group["id"].to_pylist())].__getitem__)))
         lat, lng, d = (group[c].to_numpy() for c in ("lat", "lng", "d"))
         x, y = (group[c].to_numpy() for c in ("x", "y")) if columns else (np.zeros(len(lat), np.int64),) * 2
         taken = np.zeros(len(lat), np.int64)
