@@ -45,12 +45,28 @@ def _points(df: DataFrame, prefix: str) -> DataFrame:
     return df.select("band", "cell", *(F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c not in ("band", "cell")))
 
 
-def within(probe: DataFrame, index: DataFrame, metres: float, distance=geo.flat_m2) -> DataFrame:
-    """Inner join: p_* and i_* columns and d2, the squared distance, of each pair at most metres apart (equal points are)."""
+def within(probe: DataFrame, index: DataFrame, metres: float, distance=geo.flat_m2, by: str | None = None) -> DataFrame:
+    """Inner join: p_* and i_* columns and d2, the squared distance, of each pair at most metres apart (equal points are).
+
+    With by only rows of one value of it meet.
+    """
     p = _points(probing(probe, metres), "p")
     i = _points(indexed(index, metres), "i")
     d2 = distance(F.col("p_lat"), F.col("p_lng"), F.col("i_lat"), F.col("i_lng"))
-    return p.join(i, ["band", "cell"]).withColumn("d2", d2).filter(F.col("d2") <= metres * metres)
+    if by:
+        p, i = p.withColumn("_by", F.col(f"p_{by}")), i.withColumn("_by", F.col(f"i_{by}"))
+    return p.join(i, ["band", "cell", *(["_by"] if by else [])]).drop("_by").withColumn("d2", d2).filter(F.col("d2") <= metres * metres)
+
+
+def far_from(df: DataFrame, others: DataFrame, metres: float, by: str) -> DataFrame:
+    """The rows of df (by, lat, lng) that no row of others with the same value of by is within metres of.
+
+    It is others that goes to all cells in reach, so df may be much the longer one.
+    """
+    near = _points(probing(others.select(by, "lat", "lng"), metres), "o").withColumnsRenamed({"band": "o_band", "cell": "o_cell"})
+    close = geo.flat_m2(F.col("lat"), F.col("lng"), F.col("o_lat"), F.col("o_lng")) <= metres * metres
+    same = (F.col("band") == F.col("o_band")) & (F.col("cell") == F.col("o_cell")) & (F.col(by) == F.col(f"o_{by}"))
+    return indexed(df, metres).join(near, same & close, "left_anti").drop("band", "cell")
 
 
 def _place(df: DataFrame) -> DataFrame:

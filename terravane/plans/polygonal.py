@@ -129,23 +129,22 @@ def _o02(spark, d):
     """Forty random points in each feature, all inside it."""
     f = features(spark, d)
     c = areas.cover(f, 5.0)
-    p = areas.random_points(f, 40, 7, c).withColumn("id", F.struct("pos", "k"))
-    own = areas.containing(p, c).filter(F.col("pos") == F.col("id.pos")).select("id").withColumn("own", F.lit(1))
-    return p.join(own, "id", "left").groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("inside"))
+    p = areas.owned(areas.random_points(f, 40, 7, c), f, "own", c.degrees)
+    return p.groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("inside"))
 
 
 @_query("o03_table", "SELECT s_suppkey AS pos, CAST(0 AS BIGINT) AS too_close, CAST(0 AS BIGINT) AS uncovered FROM supplier")
 def _o03(spark, d):
     """Points 500 kilometres apart in each feature: none too close, and no point of a lattice inside it farther than twice that from all."""
     from ..operators import spatial
+    from ..operators.shared import checkpointed
 
     f = features(spark, d)
-    p = areas.poisson_points(f, 500_000.0, 3).select(F.struct("pos", "k").alias("id"), "lat", "lng", "pos")
-    probe = areas.honeycomb_points(areas.honeycomb_runs(f, 120_000.0)).withColumn("id", F.struct("pos", "lat", "lng")).select("id", "lat", "lng", "pos")
-    pairs = spatial.within(p, p, 505_000.0).filter(_near(500_000.0) & (F.col("p_id") < F.col("i_id")) & (F.col("p_pos") == F.col("i_pos")))
+    p = checkpointed(areas.poisson_points(f, 500_000.0, 3)).select(F.struct("pos", "k").alias("id"), "lat", "lng", "pos")
+    probe = areas.honeycomb_points(areas.honeycomb_runs(f, 120_000.0))
+    pairs = spatial.within(p, p, 505_000.0, by="pos").filter(_near(500_000.0) & (F.col("p_id") < F.col("i_id")))
     close = pairs.groupBy(F.col("p_pos").alias("pos")).agg(F.count(F.lit(1)).alias("c"))
-    met = spatial.within(probe, p, 1_000_000.0).filter(F.col("p_pos") == F.col("i_pos")).select(F.col("p_id").alias("id")).distinct()
-    bare = probe.join(met, "id", "left_anti").groupBy("pos").agg(F.count(F.lit(1)).alias("u"))
+    bare = spatial.far_from(probe, p, 1_000_000.0, "pos").groupBy("pos").agg(F.count(F.lit(1)).alias("u"))
     zero = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
     return f.select("pos").join(close, "pos", "left").join(bare, "pos", "left").select("pos", zero("c", "too_close"), zero("u", "uncovered"))
 
